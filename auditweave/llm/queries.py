@@ -5,9 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from auditweave.llm import bpe, packing
-from auditweave.llm.common import table
+from auditweave.llm import bpe, packing, quality, url_filter
+from auditweave.llm.common import id_bucket, table
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), "quality", lambda doc_id: id_bucket(doc_id, 5) != 0)
+    held_out = (id_bucket("doc_id", 5) == 0).alias("held_out")
+    return quality.score(docs, model).select("doc_id", held_out, "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rules_table(spark))
 
 
 def op8_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,8 +32,10 @@ def op9_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_quality_classifier": op3_quality_classifier,
+    "op6_url_filters": op6_url_filters,
     "op8_bpe_transducer": op8_bpe_transducer,
     "op9_sum_of_squares_packing": op9_sum_of_squares_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_url_filters": url_filter.sql()}
