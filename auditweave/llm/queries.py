@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditweave.llm import bpe, packing, quality, url_filter
+from auditweave.llm import bpe, packing, quality, toxicity, url_filter
 from auditweave.llm.common import id_bucket, table
 
 
@@ -18,6 +18,13 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", held_out, "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op4_block_max_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), "toxic", lambda doc_id: id_bucket(doc_id, 4) != 2)
+    held_out = (id_bucket("doc_id", 4) == 2).alias("held_out")
+    return toxicity.score(docs, model).select("doc_id", held_out, "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "evidence")
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rules_table(spark))
 
@@ -33,6 +40,7 @@ def op9_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_block_max_neighbours": op4_block_max_neighbours,
     "op6_url_filters": op6_url_filters,
     "op8_bpe_transducer": op8_bpe_transducer,
     "op9_sum_of_squares_packing": op9_sum_of_squares_packing,
