@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditweave.llm import bpe, packing, quality, toxicity, url_filter
+from auditweave.llm import ann, bpe, embed_dedup, packing, quality, toxicity, url_filter
 from auditweave.llm.common import id_bucket, table
 
 
+def op2_spherical_cap_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.link(table(spark, sf_dir, "embeddings"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(docs, table(spark, sf_dir, "labels"), "quality", lambda doc_id: id_bucket(doc_id, 5) != 0)
@@ -25,6 +29,10 @@ def op4_block_max_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out, "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "evidence")
 
 
+def op5_cross_polytope_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rules_table(spark))
 
@@ -39,11 +47,13 @@ def op9_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_spherical_cap_dedup": op2_spherical_cap_dedup,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_block_max_neighbours": op4_block_max_neighbours,
+    "op5_cross_polytope_neighbours": op5_cross_polytope_neighbours,
     "op6_url_filters": op6_url_filters,
     "op8_bpe_transducer": op8_bpe_transducer,
     "op9_sum_of_squares_packing": op9_sum_of_squares_packing,
 }
 
-ORACLES: dict[str, str] = {"op6_url_filters": url_filter.sql()}
+ORACLES: dict[str, str] = {"op2_spherical_cap_dedup": embed_dedup.SQL, "op6_url_filters": url_filter.sql()}
