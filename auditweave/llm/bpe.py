@@ -29,8 +29,10 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from auditweave.llm.common import stored
+
 LEXICON_WORDS = 100_000
-MEMO_WORDS = 400_000
+MEMO_WORDS = 250_000
 #: White space as the vocabulary's pre-tokeniser sees it (Unicode White_Space).
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 BLANK = re.compile(f"[{SPACE}]+")
@@ -324,7 +326,14 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 def build_lexicon(docs: DataFrame, vocabulary: str, words: int = LEXICON_WORDS, text: str = "text") -> str:
     """Compiles the most frequent words (at most `words`, so the file's size is bounded) and sends the file to all executors."""
     spark = docs.sparkSession
-    top = word_counts(docs, text).where("count > 1").orderBy(F.desc("count"), "word").limit(words).select("word").collect()
+    counted = stored(word_counts(docs, text).where("count > 1"), "word-counts")
+    # the smallest count that at most `words` words reach: from how many words have each count, a table of few rows
+    least, taken = 2, 0
+    for row in counted.groupBy("count").agg(F.count("*").alias("n")).orderBy(F.desc("count")).toLocalIterator():
+        if (taken := taken + row.n) > words:
+            least = row["count"] + 1
+            break
+    top = counted.where(F.col("count") >= least).select("word").collect()
     merge = merger(vocabulary)
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     with open(os.path.join(tempfile.mkdtemp(prefix="spark-"), name), "wb") as f:
