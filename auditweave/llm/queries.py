@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditweave.llm import ann, bpe, embed_dedup, packing, quality, toxicity, url_filter
+from auditweave.llm import ann, bpe, embed_dedup, jaccard, packing, quality, toxicity, url_filter
 from auditweave.llm.common import id_bucket, table
 
 
@@ -37,6 +37,10 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rules_table(spark))
 
 
+def op7_bayesian_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, vocabulary = table(spark, sf_dir, "documents"), bpe.default_vocabulary()
     return bpe.encode(docs, vocabulary, bpe.build_lexicon(docs, vocabulary), keep_ids=False)
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_block_max_neighbours": op4_block_max_neighbours,
     "op5_cross_polytope_neighbours": op5_cross_polytope_neighbours,
     "op6_url_filters": op6_url_filters,
+    "op7_bayesian_jaccard_join": op7_bayesian_jaccard_join,
     "op8_bpe_transducer": op8_bpe_transducer,
     "op9_sum_of_squares_packing": op9_sum_of_squares_packing,
 }
