@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditweave.llm import ann, bpe, embed_dedup, jaccard, packing, quality, toxicity, url_filter
+from auditweave.llm import ann, bpe, embed_dedup, jaccard, packing, pii, quality, secrets, toxicity, url_filter
 from auditweave.llm.common import id_bucket, table
 
 
+def op1_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digested(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 def op2_spherical_cap_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.link(table(spark, sf_dir, "embeddings"))
 
@@ -50,7 +54,12 @@ def op9_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), bpe.default_vocabulary()).drop("ids")
 
 
+def op10_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digested(pii.extract(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_trigram_secrets": op1_trigram_secrets,
     "op2_spherical_cap_dedup": op2_spherical_cap_dedup,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_block_max_neighbours": op4_block_max_neighbours,
@@ -59,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_bayesian_jaccard_join": op7_bayesian_jaccard_join,
     "op8_bpe_transducer": op8_bpe_transducer,
     "op9_sum_of_squares_packing": op9_sum_of_squares_packing,
+    "op10_bootstrapped_pii": op10_bootstrapped_pii,
 }
 
-ORACLES: dict[str, str] = {"op2_spherical_cap_dedup": embed_dedup.SQL, "op6_url_filters": url_filter.sql()}
+ORACLES: dict[str, str] = {"op1_trigram_secrets": secrets.sql(), "op2_spherical_cap_dedup": embed_dedup.SQL, "op6_url_filters": url_filter.sql()}
