@@ -229,3 +229,19 @@ def link(docs: DataFrame, *, threshold: float = THRESHOLD, tolerance: float = TO
     joined = known.select("doc_id", "hi", "lo").join(judged, ["hi", "lo"]).select("doc_id", "class_id", "n_links", "component_id")
     alone = light.where("hi is null or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("component_id"))
     return joined.union(alone).withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
+
+
+def keep_one(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
+    """docs with one document of each group of near-duplicates: the one with the smallest id.
+
+    Texts stay where they are as long as the ids to be dropped, or repeated, are few enough to be sent to every executor.
+    """
+    judged = stored(link(docs, threshold=threshold, text=text, doc_id=doc_id).select("doc_id", "kept"), "jaccard-kept")
+    gone = judged.where("not kept").select(F.col("doc_id").alias(doc_id)).distinct()
+    again = judged.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias(doc_id)).count().where("count > 1").select(doc_id)
+    sent = lambda ids: F.broadcast(ids) if ids.count() <= 2 * FEW_MEMBERS else ids
+    left = docs.join(sent(gone), doc_id, "left_anti").select(docs.columns)
+    if again.isEmpty():
+        return left
+    repeated = left.join(sent(again), doc_id, "left_semi").select(docs.columns).dropDuplicates([doc_id])
+    return left.join(sent(again), doc_id, "left_anti").select(docs.columns).union(repeated)

@@ -27,6 +27,8 @@ KINDS = ("email", "ip", "card", "phone", "id")
 ROUNDS = 3
 MIN_SEEDS = 3
 MIN_CONFIDENCE = 0.7
+#: Documents with discovered spans are sent to every executor up to so many; beyond, they are joined by shuffle.
+FEW_LEARNED = 100_000
 CONTEXT = 80  # code points looked at on each side of an instance
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -176,8 +178,9 @@ def redact(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> Da
     """docs with every span replaced by its kind, such as [EMAIL]; overlapping spans become one, named by the first."""
     learned = extract(docs, text=text, doc_id=doc_id).where(F.size("learned") > 0).select(F.col("doc_id").alias("_doc"), F.col("print").alias("_print"), "learned").dropDuplicates(["_doc", "_print"])
     # only documents with discovered spans match; the others are redacted from their own text alone
-    side = learned.groupBy("_doc").agg(F.collect_list(F.struct("_print", "learned")).alias("_learned"))
-    joined = docs.join(side, docs[doc_id].eqNullSafe(F.col("_doc")), "left").drop("_doc")
+    side = stored(learned.groupBy("_doc").agg(F.collect_list(F.struct("_print", "learned")).alias("_learned")), "pii-learned")
+    few = side.count() <= FEW_LEARNED
+    joined = docs.join(F.broadcast(side) if few else side, docs[doc_id].eqNullSafe(F.col("_doc")), "left").drop("_doc")
     at = docs.columns.index(text)
 
     def run(batches):
