@@ -1,14 +1,55 @@
-"""The training-data pipeline: stages over documents, each writing what the next one reads."""
+"""The training-data pipeline: five stages over documents, each writing what the next one reads.
+
+1. quality: documents that the quality classifier rejects go.
+2. toxicity: documents that the neighbours' votes call toxic go.
+3. near_duplicates: one document of each group stays, the one with the smallest id.
+4. personal_data: e-mail addresses, IPs, cards, phones and discovered identifiers are replaced by their kind.
+5. packing: the remaining documents' tokens, packed into windows.
+
+The first four return the columns of their input; the last returns the packed pieces. Labels of held-out rows (by id, as
+in the registered queries) are never used for training.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from auditweave.llm import bpe, jaccard, packing, pii, quality, toxicity
+from auditweave.llm.common import id_bucket, stored, table
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = quality.train(docs, table(spark, sf_dir, "labels"), "quality", lambda doc_id: id_bucket(doc_id, 5) != 0)
+    return quality.score(docs, model).where(F.col("score") >= quality.THRESHOLD).select(docs.columns)
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), "toxic", lambda doc_id: id_bucket(doc_id, 4) != 2)
+    return toxicity.score(docs, model).where(F.col("score") < toxicity.THRESHOLD).select(docs.columns)
+
+
+def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.keep_one(docs)
+
+
+def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.redact(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, bpe.default_vocabulary())
 
-from auditweave.llm.common import stored, table
 
-STAGES: list = []
+STAGES = [
+    ("quality", quality_stage),
+    ("toxicity", toxicity_stage),
+    ("near_duplicates", near_duplicates_stage),
+    ("personal_data", personal_data_stage),
+    ("packing", packing_stage),
+]
 
-#: The stages learn models, so SQL can't express them; tests hold them against brute-force versions.
+#: The first two stages learn models, so SQL can't express the result; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
