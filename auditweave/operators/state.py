@@ -113,6 +113,6 @@ def innermost(rows: DataFrame, absolute_path: str, line: int) -> DataFrame:
     return found.orderBy(F.col("end_line") - F.col("line"), "line").limit(1)
 
 
-def sessions_last(events: DataFrame, key: str, ts: str, value: str, gap: str = f"{catalog.DEBOUNCE_MS} milliseconds") -> DataFrame:
-    """Debounce: of every burst of edits (gaps up to `gap`) the last value."""
-    return events.groupBy(key, F.session_window(ts, gap).alias("w")).agg(F.max_by(value, ts).alias(value), F.max(ts).alias("last"), F.count("*").alias("edits")).drop("w")
+def sessions_last(events: DataFrame, key: str, ts: str, value: str, tie: str, gap: str = f"{catalog.DEBOUNCE_MS} milliseconds") -> DataFrame:
+    """Debounce: of every burst of edits (gaps under `gap`) the last value; equal times go to the larger tie."""
+    return events.groupBy(key, F.session_window(ts, gap).alias("w")).agg(F.max_by(value, F.struct(ts, tie)).alias(value), F.max(ts).alias("last"), F.count("*").alias("edits")).drop("w")
