@@ -12,6 +12,7 @@ raw text as the tokenizers library does; texts of any length are encoded whole;
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
@@ -88,6 +89,8 @@ def normalise(text: str) -> str:
 def words_of(text: str) -> list[str]:
     fast, full = splitter()
     text = normalise(text)
+    if text.isalpha():
+        return [text]
     return fast(text) if text.isascii() or not ASTRAL.search(text) else full(text)
 
 
@@ -117,7 +120,7 @@ class Merger:
         out: list = [None] * len(words)
         data = [w.encode("utf-8", "replace") for w in words]
         size = np.fromiter(map(len, data), np.int64, len(data))
-        for low, high in ((0, 8), (8, 12), (12, 20), (20, 48)):
+        for low, high in ((0, 5), (5, 7), (7, 9), (9, 11), (11, 14), (14, 18), (18, 26), (26, 48)):
             for at in np.array_split(np.flatnonzero((size > low) & (size <= high)), 1 + len(words) // 50_000):
                 if len(at):
                     for i, ids in zip(at.tolist(), self._side_by_side([data[i] for i in at.tolist()], high)):
@@ -166,9 +169,11 @@ class Merger:
                 return out
             n = np.arange(len(rows))
             parts[n, i] = made[least]
-            shift = cols[:-1] + (cols[:-1] > i[:, None])
-            parts = np.concatenate((np.take_along_axis(parts, shift, 1), np.full((len(rows), 1), -1, np.int32)), 1)
-            best = np.concatenate((np.take_along_axis(best, shift[:, :-1], 1), np.full((len(rows), 1), none, np.int32)), 1)
+            later = cols[1:-1] > i[:, None]  # what stands behind the pair moves up by one
+            parts[:, 1:-1] = np.where(later, parts[:, 2:], parts[:, 1:-1])
+            parts[:, -1] = -1
+            best[:, :-1] = np.where(cols[: width - 2] > i[:, None] - 1, best[:, 1:], best[:, :-1])
+            best[:, -1] = none
             left = np.flatnonzero(i > 0)
             best[left, i[left] - 1] = rank(parts[left, i[left] - 1], parts[left, i[left]])
             best[n, np.minimum(i, width - 2)] = np.where(i <= width - 2, rank(parts[n, i], parts[n, np.minimum(i + 1, width - 1)]), best[n, width - 2])
@@ -389,6 +394,13 @@ class Encoder:
 
     def entries(self, texts: list[str | None]) -> Iterator[list]:
         """For each text, what is kept of each of its runs, in order."""
+        gc.disable()  # nothing here is cyclic, and the collector would walk the memo again and again
+        try:
+            yield from self._entries(texts)
+        finally:
+            gc.enable()
+
+    def _entries(self, texts: list[str | None]) -> Iterator[list]:
         for from_ in range(0, len(texts), 128):
             split = [self.runs(text) if text else [] for text in texts[from_ : from_ + 128]]
             if len(self.memo) > MEMO_WORDS or self.held > 16 * MEMO_WORDS:
