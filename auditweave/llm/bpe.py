@@ -56,28 +56,24 @@ def byte_symbols() -> list[str]:
     return out
 
 
-def _class(kind: str) -> str:
-    """A character class of the Basic Multilingual Plane's characters whose general category starts with kind."""
+def _class(kind: str, end: int) -> str:
+    """A character class of the code points below `end` whose general category starts with kind."""
     spans, start = [], None
-    for c in range(0x10000):
-        inside = unicodedata.category(chr(c))[0] == kind
+    for c in range(end + 1):
+        inside = c < end and unicodedata.category(chr(c))[0] == kind
         if inside and start is None:
             start = c
         elif not inside and start is not None:
             spans.append((start, c - 1))
             start = None
-    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in spans)
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans)
 
 
-@lru_cache(1)
-def splitter():
-    """Two splitters of normalised text into words: for texts within the basic plane, and for any text."""
-    import regex
-
-    letters, numbers = _class("L"), _class("N")
-    fast = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{SPACE}{letters}{numbers}]+")
-    full = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
-    return fast.findall, full.findall
+@lru_cache(2)
+def splitter(end: int = 0x10000):
+    """Splits normalised text whose code points are all below `end` into words; small classes match faster."""
+    letters, numbers = _class("L", end), _class("N", end)
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{SPACE}{letters}{numbers}]+").findall
 
 
 def normalise(text: str) -> str:
@@ -87,11 +83,10 @@ def normalise(text: str) -> str:
 
 
 def words_of(text: str) -> list[str]:
-    fast, full = splitter()
     text = normalise(text)
     if text.isalpha():
         return [text]
-    return fast(text) if text.isascii() or not ASTRAL.search(text) else full(text)
+    return splitter(0x110000 if ASTRAL.search(text) else 0x10000)(text)
 
 
 class Merger:
