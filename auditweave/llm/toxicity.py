@@ -217,8 +217,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str, use: Callable[[Column]
     return Model(index, rate, silent, levels, rates)
 
 
-def score(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
-    """docs with `score` (0 to 1) and `evidence` (ids of the nearest examples, nearest first)."""
+def score(docs: DataFrame, model: Model, *, text: str = "text", output: str = "score", evidence: str = "evidence") -> DataFrame:
+    """docs with a score (0 to 1) and the ids of the nearest examples, nearest first, in columns that replace any of those names."""
+    docs = docs.select([c for c in docs.columns if c.lower() not in (output.lower(), evidence.lower())])
     sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
 
     def run(batches):
@@ -226,7 +227,7 @@ def score(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
 
         for batch in batches:
             found = [sent.value.score(t) for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], pa.list_(pa.int64()))], names=[*batch.schema.names, "score", "evidence"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], pa.list_(pa.int64()))], names=[*batch.schema.names, output, evidence])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, score double, evidence array<long>")
+    return docs.mapInArrow(run, f"{fields}, `{output}` double, `{evidence}` array<long>")
