@@ -95,8 +95,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str, use: Callable[[Column]
         import pyarrow as pa
 
         order = np.argsort(rows.column("turn").to_numpy(), kind="stable")
-        y, i, v = (rows.column(c).to_pylist() for c in ("y", "i", "v"))
-        at, w = ftrl([(np.array(i[k]), np.array(v[k]), y[k]) for k in order.tolist()])
+        y, i, v = rows.column("y").to_numpy(), rows.column("i").combine_chunks(), rows.column("v").combine_chunks()
+        off, i, v = i.offsets.to_numpy(), i.values.to_numpy(), v.values.to_numpy()
+        at, w = ftrl([(i[off[k] : off[k + 1]], v[off[k] : off[k + 1]].astype(float), y[k]) for k in order.tolist()])
         return pa.table({"i": pa.array(at, pa.int32()), "w": pa.array(w, pa.float64())})
 
     sparse = rows.select("turn", "label", text).mapInArrow(featurise, "part int, turn long, y int, i array<int>, v array<float>")
@@ -104,8 +105,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str, use: Callable[[Column]
     return model.i.to_numpy(), model.w.to_numpy()
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], *, text: str = "text") -> DataFrame:
-    """docs with `score`, 0 to 1."""
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], *, text: str = "text", output: str = "score") -> DataFrame:
+    """docs with a score, 0 to 1, in column `output`, which replaces one of that name."""
+    docs = docs.select([c for c in docs.columns if c.lower() != output.lower()])
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
 
@@ -119,7 +121,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], *, text: str =
             for k, t in enumerate(batch.column(at).to_pylist()):
                 i, v = features(t, hashes)
                 out[k] = 1 / (1 + np.exp(-np.clip(dense[i] @ v, -35, 35)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, output])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, score double")
+    return docs.mapInArrow(run, f"{fields}, `{output}` double")
