@@ -21,12 +21,12 @@ from auditweave.llm.common import id_bucket, stored, table
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.train(docs, table(spark, sf_dir, "labels"), "quality", lambda doc_id: id_bucket(doc_id, 5) != 0)
-    return quality.score(docs, model).where(F.col("score") >= quality.THRESHOLD).select(docs.columns)
+    return quality.score(docs, model, output="_quality").where(F.col("_quality") >= quality.THRESHOLD).select(docs.columns)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), "toxic", lambda doc_id: id_bucket(doc_id, 4) != 2)
-    return toxicity.score(docs, model).where(F.col("score") < toxicity.THRESHOLD).select(docs.columns)
+    return toxicity.score(docs, model, output="_toxicity", evidence="_evidence").where(F.col("_toxicity") < toxicity.THRESHOLD).select(docs.columns)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
