@@ -21,6 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditweave.llm.common import stored
 from auditweave.llm.groups import map_groups
 from auditweave.llm.vectors import comparable, matrix, unit, widened
 
@@ -67,12 +68,9 @@ def band(norms: np.ndarray) -> np.ndarray:
     return np.floor(np.log2(norms) * 4 + 0.5).astype(np.int64)
 
 
-def neighbours(embeddings: DataFrame, is_query, *, k: int = K, tables: int = TABLES, probes: int = PROBES, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found for each row for which is_query (a Column over vec_id) holds."""
-    rows = comparable(embeddings, vec_id, embedding)
-    width = rows.agg(F.max(F.size("v"))).first()[0] or 1
+def found_pairs(rows: DataFrame, width: int, k: int, tables: int, probes: int) -> DataFrame:
+    """query_id, vec_id, score: of every bucket that a query (rows with vec_id, v, query) probes its k nearest."""
     probes = min(probes, 2 << max(0, width - 1).bit_length())
-    rows = rows.withColumn("query", is_query(F.col("vec_id")))
 
     def hashed(batches):
         import pyarrow as pa
@@ -90,7 +88,7 @@ def neighbours(embeddings: DataFrame, is_query, *, k: int = K, tables: int = TAB
     blocks = {(r.t, r.a, r.b): -(-r.n // BLOCK) for r in counts}
     n_queries = rows.where("query").count()
     query_blocks = max(1, -(-n_queries * probes // (2 * BLOCK * max(1, width))))
-    sent = embeddings.sparkSession.sparkContext.broadcast(blocks)
+    sent = rows.sparkSession.sparkContext.broadcast(blocks)
 
     def dealt(batches):
         import pyarrow as pa
@@ -120,8 +118,7 @@ def neighbours(embeddings: DataFrame, is_query, *, k: int = K, tables: int = TAB
             keys = [pa.array(c, pa.int64()) for c in out[1:]]
             yield pa.RecordBatch.from_arrays([*keys, batch.column(0).take(at), batch.column(1).take(at)], names=["t", "a", "b", "d", "qb", "q", "vec_id", "v"])
 
-    element = "double"
-    placed = rows.mapInArrow(dealt, f"t long, a long, b long, d long, qb long, q long, vec_id long, v array<{element}>")
+    placed = rows.mapInArrow(dealt, "t long, a long, b long, d long, qb long, q long, vec_id long, v array<double>")
 
     def search(table, starts):
         import pyarrow as pa
@@ -146,7 +143,25 @@ def neighbours(embeddings: DataFrame, is_query, *, k: int = K, tables: int = TAB
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["query_id", "vec_id", "score"])
 
-    pairs = map_groups(placed, ["t", "a", "b", "d", "qb"], search, "query_id long, vec_id long, score double")
-    best = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return map_groups(placed, ["t", "a", "b", "d", "qb"], search, "query_id long, vec_id long, score double")
+
+
+def neighbours(embeddings: DataFrame, is_query, *, k: int = K, tables: int = TABLES, probes: int = PROBES, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found for each row for which is_query (a Column over vec_id) holds.
+
+    A query whose buckets held fewer than k candidates probes all buckets of one table, so it sees every vector.
+    """
+    rows = comparable(embeddings, vec_id, embedding)
+    width, total = rows.agg(F.max(F.size("v")), F.count("*")).first()
+    width = width or 1
+    rows = rows.withColumn("query", is_query(F.col("vec_id")))
+    merge = lambda pairs: pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    best = stored(merge(found_pairs(rows, width, k, tables, probes)), "neighbours")
+    counted = best.groupBy("query_id").agg(F.count("*").alias("n"))
+    short = rows.where("query").select(F.col("vec_id").alias("query_id")).join(counted, "query_id", "left").where(F.coalesce("n", F.lit(0)) < min(k, total - 1))
+    short = stored(short.select(F.col("query_id").alias("vec_id"), F.lit(True).alias("query")), "neighbours-short")
+    if not short.isEmpty():
+        again = rows.drop("query").join(short, "vec_id", "left").withColumn("query", F.coalesce("query", F.lit(False)))
+        best = merge(best.union(found_pairs(again, width, k, 1, 2 << 62)))
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
