@@ -169,4 +169,9 @@ RULES = [
 SEVERITIES = ("critical", "high", "medium", "low", "info")
 SENSITIVE_NAMES = "(?i)(?:auth|login|admin|upload|download|payment|billing|token|secret|config|account|user|permission|session|webhook|callback)"
 STATUSES = ("unreviewed", "in_review", "reviewed", "blocked")
-EVIDENCE_TYPES = ("Observation", "Hypothesis", "Confirmed", "Mitigated", "False positive")
+EVIDENCE_TYPES = ("Source", "Sink", "Authorization", "Validation", "Observation")
+MODEL_SETTINGS = ("flowMaxDepth", "flowMaxPaths")
+# Fixed values. Labels.
+STATUS_LABELS = {"unreviewed": "Not reviewed", "in_review": "In review", "reviewed": "Reviewed", "blocked": "Needs context"}
+ROLE_LABELS = {"input": "External input", "parameter": "Parameter", "assignment": "Assignment", "condition": "Control check", "validation": "Validation", "security-decision": "Security decision", "sensitive-use": "Sensitive use", "reference": "Reference"}
+CONFIDENCE_LABELS = {"high": "High match", "medium": "Medium match", "review": "Check call target"}

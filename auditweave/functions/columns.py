@@ -146,9 +146,5 @@ def trace_role(code: Name, identifier: str, kinds: Name) -> Column:
     )
 
 
-STATUS_LABELS = {"unreviewed": "Unreviewed", "in_review": "In review", "reviewed": "Reviewed", "blocked": "Blocked"}
-ROLE_LABELS = {"input": "Input", "sensitive-use": "Sensitive use", "validation": "Validation", "security-decision": "Security decision", "assignment": "Assignment", "condition": "Condition", "parameter": "Parameter", "reference": "Reference"}
-
-
-def label_of(values: dict, key: Name) -> Column:
-    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in values.items() for x in kv)), col(key)), col(key))
+def label_of(values: dict, key: Name, default: str) -> Column:
+    return constant_map(values, F.coalesce(col(key), F.lit("")), default)
