@@ -2,8 +2,9 @@
 
 1. Each rule's regex is taken apart on the driver into a Boolean trigram query: alternatives of trigram sets, one of which
    any match must contain whole. Rules without such trigrams (hex) scan every text.
-2. The index: one posting (trigram, document) for each queried trigram that a text holds, of the documents that hold at
-   least one trigram of every set they could satisfy (checked where the text is read).
+2. The lengths of the queried trigrams' posting lists are counted over all documents. The index then holds one posting
+   (trigram, document) for each queried trigram of the documents on some alternative's shortest list: an intersection
+   starts from there (checked where the text is read).
 3. Postings of one document and one alternative are intersected by counting: an alternative all of whose trigrams are there
    makes the document a candidate of the rule.
 4. Candidates are joined back to their texts and verified by the regex itself. Only documents that passed step 2's test
@@ -152,9 +153,12 @@ def scan(docs: DataFrame, rules: list[Rule] = RULES, *, text: str = "text", doc_
 
     if not asked:
         return verified(read, lambda r: F.lit(False))
-    # a text that lacks the middle trigram of every alternative satisfies none
+    # a text that lacks the rarest trigram of every alternative satisfies none
+    grams = sorted({t for _, _, tris in asked for t in tris})
+    lengths = read.agg(*(F.count_if(F.contains("low", F.lit(g))).alias(f"g{n}") for n, g in enumerate(grams))).first()
+    length = {g: lengths[f"g{n}"] for n, g in enumerate(grams)}
     could = F.lit(False)
-    for gram in sorted({tris[len(tris) // 2] for _, _, tris in asked}):
+    for gram in sorted({min(tris, key=lambda t: (length[t], t)) for _, _, tris in asked}):
         could = could | F.contains("low", F.lit(gram))
     found = candidates(read.where(could), asked).withColumnsRenamed({"doc": "_doc", "print": "_print"})
     able = read.where(could).drop("low")
