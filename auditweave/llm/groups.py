@@ -111,9 +111,11 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     before = print_of(now)
     while before.n:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        small = large.groupBy("a").agg(F.min("b").alias("m"))
+        # Smallest neighbours are summed up before the shuffle and written, so that the joins have a shuffle on either side
+        # and adaptive execution can split a node with a large share of all edges.
+        least = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), name)
+        large = stored(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), name)
+        small = stored(large.groupBy("a").agg(F.min("b").alias("m")), name)
         joined = large.join(small, "a")
         now = stored(joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(joined.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), name)
         after = print_of(now)

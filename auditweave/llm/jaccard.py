@@ -36,8 +36,8 @@ STEP = 24
 TOLERANCE = 1e-6
 BLOCK_SHINGLES = 1_000_000
 BLOCK_CLASSES = 4096
-#: Component members are sent to every executor up to so many (under 50 MB); beyond, they are joined by shuffle.
-FEW_MEMBERS = 1_000_000
+#: Component members are sent to every executor up to so many (seven numbers each, about 30 MB); beyond, they are joined by shuffle.
+FEW_MEMBERS = 300_000
 WORDS = re.compile(r"\w+")
 
 
@@ -169,7 +169,8 @@ def link(docs: DataFrame, *, threshold: float = THRESHOLD, tolerance: float = TO
     classes = stored(known.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("bands").alias("bands")), "shingle-classes")
 
     banded = classes.select("rep", F.posexplode("bands").alias("band", "key"))
-    least = banded.groupBy("band", "key").agg(F.min("rep").alias("m"), F.count("*").alias("c")).where("c > 1")
+    # written, so that the join below has a shuffle on either side and adaptive execution can split a crowded band
+    least = stored(banded.groupBy("band", "key").agg(F.min("rep").alias("m"), F.count("*").alias("c")).where("c > 1").drop("c"), "band-heads")
     edges = banded.join(least, ["band", "key"]).select(F.col("rep").alias("a"), F.col("m").alias("b"))
     groups = components(edges, "band-components")
 
