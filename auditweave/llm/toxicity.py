@@ -1,24 +1,28 @@
 """Toxicity from the nearest labelled examples, by exact TF-IDF cosine over a block-max inverted index.
 
-1. Terms: of the words of at most MAX_EXAMPLES labelled documents, those that occur clearly more often (likelihood ratio) in
-   the positive ones, at most MAX_TERMS. A document's vector holds these terms alone.
-2. Document frequencies of the terms are counted over all documents, in one distributed pass.
-3. The examples' unit TF-IDF vectors become an inverted index, posting lists cut into blocks of BLOCK neighbouring examples,
-   each with its largest weight per term. Its size is bounded by the examples and terms, so it is broadcast.
-4. Each document looks for its K nearest examples: blocks in order of their upper bounds until no bound beats the K-th
-   best, so the cosines are exact and the result is that of a full scan. Ties go to smaller example ids.
+1. A text's vector holds all its words (by 64-bit hash): log term frequency times idf. Words that occur more often in the
+   positive ones of at most MAX_EXAMPLES labelled documents weigh 1 + sqrt(likelihood ratio) times as much, all others once;
+   no word is left out of a vector or its norm.
+2. Document frequencies are counted over all documents, in one distributed pass: exactly for each word of the examples, in
+   2^OTHER_BITS counters by hash for the words of no example, which only enter a text's norm.
+3. The examples' unit vectors become an inverted index in blocks of BLOCK alike examples, with each block's largest weight
+   for the DENSE most frequent words. Its size is bounded by the examples' words, so it is broadcast.
+4. Each document looks for its K nearest examples: the postings of rarer words are added up in full, the frequent words
+   block by block, where the block's upper bound reaches the K-th best so far. What remains is computed again in double
+   precision, so the result is that of a full scan. Ties go to smaller example ids.
 5. Votes weigh by squared cosine, with PRIOR votes for the base rate; a monotone map fitted to the examples' own
    leave-one-out votes turns them into scores. `evidence` lists the nearest examples.
 
-Defined results: texts without terms (null and empty ones too) have no neighbours and the examples' rate of such texts as
-score; several labels of one document count as their mean, rounded up; repeated rows get repeated scores; without labels
-all scores are 0; an empty table gives no rows.
+Defined results: texts without words (null and empty ones too) have no neighbours and the examples' rate of such texts as
+score; texts that share no word with an example score as the base rate; several labels of one document count as their
+mean, rounded up; repeated rows get repeated scores; without labels all scores are 0; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import math
 import re
+from array import array
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable
 
@@ -26,89 +30,224 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auditweave.llm.common import WordHashes
 from auditweave.llm.quality import one_label, sample_labels
 
 MAX_EXAMPLES = 12_000
-MAX_TERMS = 2_000
-MIN_RATIO = 15.0
-MIN_DOCS = 5
 K = 15
 BLOCK = 64
+DENSE = 1024
+FIRST = 3
+BATCH = 256
+OTHER_BITS = 20
+MARGIN = 1e-5
 PRIOR = 0.3
 THRESHOLD = 0.3
 WORDS = re.compile(r"\w+")
 
 
-def term_counts(text: str | None, terms) -> dict[str, int]:
-    words = WORDS.findall((text or "").lower())
-    found = terms.keys() & set(words)
-    return {w: words.count(w) for w in found} if len(found) < 4 else {w: n for w, n in Counter(words).items() if w in found}
+def term_counts(text: str | None, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the text's words, and how often each occurs."""
+    found = Counter(WORDS.findall((text or "").lower()))
+    return hashes.of(found), np.fromiter(found.values(), np.int64, len(found))
 
 
-def likelihood_ratio(a: int, b: int, n: int, m: int) -> float:
-    """Of a term in a of n positive and b of m negative documents; 0 if it isn't more frequent among the positive."""
-    if not n or not m or a / n <= b / m:
-        return 0.0
-    part = lambda x, e: x * math.log(x / e) if x else 0.0
-    p, q = (a + b) / (n + m), 1 - (a + b) / (n + m)
-    return 2 * (part(a, n * p) + part(n - a, n * q) + part(b, m * p) + part(m - b, m * q))
+def find(keys: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of hashes in ascending keys, and which of them are there."""
+    if not len(keys):
+        return np.zeros(len(words), np.int64), np.zeros(len(words), bool)
+    at = np.searchsorted(keys, words).clip(max=len(keys) - 1)
+    return at, keys[at] == words
+
+
+class Places(WordHashes):
+    """word -> its place in ascending keys, or -1 - its counter; memoised."""
+
+    def __init__(self, keys: np.ndarray):
+        super().__init__()
+        self.keys, self.hashes = array("Q", keys.tobytes()), WordHashes(1)
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.bound:
+            self.clear()
+        key = self.hashes[word]
+        at = bisect_left(self.keys, key)
+        value = self[word] = at if at < len(self.keys) and self.keys[at] == key else -1 - (key >> (64 - OTHER_BITS))
+        return value
+
+    def of(self, words) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+    def counted(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the text's words, and how often each occurs."""
+        found = Counter(WORDS.findall((text or "").lower()))
+        return self.of(found), np.fromiter(found.values(), np.int64, len(found))
+
+
+def other(words: np.ndarray) -> np.ndarray:
+    return (words >> np.uint64(64 - OTHER_BITS)).astype(np.int64)
+
+
+def likelihood_ratios(a: np.ndarray, b: np.ndarray, n: int, m: int) -> np.ndarray:
+    """Of terms in a of n positive and b of m negative documents; 0 where not more frequent among the positive."""
+    if not n or not m:
+        return np.zeros(len(a))
+    part = lambda x, e: x * np.log(np.where(x > 0, x, 1) / np.where(x > 0, e, 1))
+    p = (a + b) / (n + m)
+    return np.where(a / n > b / m, 2 * (part(a, n * p) + part(n - a, n * (1 - p)) + part(b, m * p) + part(m - b, m * (1 - p))), 0.0).clip(0)
+
+
+def slices(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Positions of all slices, one after another."""
+    return np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
 
 
 class Index:
-    """Block-max inverted index of unit vectors over terms."""
+    """Block-max inverted index of unit vectors over all words."""
 
     def __init__(self, ids: list[int], labels: list[int], counts: list[dict[str, int]], terms: dict[str, int], df: dict[str, int], n_docs: int):
-        self.terms, self.idf = terms, np.array([math.log((1 + n_docs) / (1 + df.get(t, 0))) + 1 for t in terms])
-        vectors = [self.vector(c) for c in counts]
+        """From words; `build` takes hashes."""
+        hashes = WordHashes()
+        by = {hashes[t]: df.get(t, 0) for t in terms}
+        keys = np.array(sorted(by), np.uint64)
+        self.build(ids, labels, [self.hashed(c) for c in counts], keys, np.array([by[k] for k in keys.tolist()]), np.zeros(1 << OTHER_BITS), n_docs)
+
+    @classmethod
+    def of(cls, *args) -> Index:
+        index = cls.__new__(cls)
+        index.build(*args)
+        return index
+
+    @staticmethod
+    def hashed(counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        return WordHashes().of(list(counts)), np.array(list(counts.values()), np.int64)
+
+    def build(self, ids: list[int], labels: list[int], counts: list[tuple[np.ndarray, np.ndarray]], keys: np.ndarray, df: np.ndarray, others: np.ndarray, n_docs: int) -> None:
+        self.keys = keys
+        positive, negative, n = np.zeros(len(keys)), np.zeros(len(keys)), sum(1 for y in labels if y)
+        for y, (words, _) in zip(labels, counts):
+            at, known = find(keys, words)
+            (positive if y else negative)[at[known]] += 1
+        self.idf_of = np.concatenate(((np.log((1 + n_docs) / (1 + df)) + 1) * (1 + np.sqrt(likelihood_ratios(positive, negative, n, len(labels) - n))), (np.log((1 + n_docs) / (1 + others)) + 1)[::-1]))
+        vectors = [self.weighed(*c) for c in counts]
         kept = [k for k, (i, _) in enumerate(vectors) if len(i)]
-        kept.sort(key=lambda k: (vectors[k][0][vectors[k][1].argmax()], ids[k]))  # alike examples share blocks
         self.ids = np.array([ids[k] for k in kept], np.int64)
         self.labels = np.array([labels[k] for k in kept], np.float64)
-        self.n_blocks = -(-len(kept) // BLOCK)
-        lists: list[list[tuple[int, float]]] = [[] for _ in terms]
-        for row, k in enumerate(kept):
-            for t, w in zip(*vectors[k]):
-                lists[t].append((row, w))
-        self.rows = [np.array([r for r, _ in x], np.int64) for x in lists]
-        self.weights = [np.array([w for _, w in x]) for x in lists]
-        self.cuts = [np.searchsorted(r, np.arange(self.n_blocks + 1) * BLOCK) for r in self.rows]
-        self.most = np.zeros((len(terms), self.n_blocks))
-        for t, (r, w) in enumerate(zip(self.rows, self.weights)):
-            np.maximum.at(self.most[t], r // BLOCK, w)
+        self.sizes = np.array([len(vectors[k][0]) for k in kept], np.int64)
+        self.i = np.concatenate([vectors[k][0] for k in kept]).astype(np.int32) if kept else np.zeros(0, np.int32)
+        self.v = np.concatenate([vectors[k][1] for k in kept]) if kept else np.zeros(0)
+        self.common = np.argsort(-(positive + negative), kind="stable")[:DENSE]
+        order = self.alike()
+        at = slices((np.cumsum(self.sizes) - self.sizes)[order], self.sizes[order])
+        self.ids, self.labels, self.sizes, self.i, self.v = self.ids[order], self.labels[order], self.sizes[order], self.i[at], self.v[at]
+        self.invert()
+
+    def alike(self) -> np.ndarray:
+        """An order in which alike examples are neighbours: by the nearest of some examples' means, over the frequent words."""
+        place = np.full(len(self.keys), -1)
+        place[self.common] = np.arange(len(self.common))
+        x = np.zeros((len(self.ids), len(self.common)), np.float32)
+        row, t = np.repeat(np.arange(len(self.ids)), self.sizes), place[self.i]
+        x[row[t >= 0], t[t >= 0]] = self.v[t >= 0]
+        order = np.argsort(self.ids, kind="stable")
+        means = x[order[::BLOCK]]
+        near = np.zeros(len(x), np.int64)
+        for _ in range(4 if len(x) else 0):
+            near = (x @ (means / np.sqrt((means * means).sum(1, keepdims=True)).clip(1e-12)).T).argmax(1)
+            means = np.stack([x[near == c].sum(0) if (near == c).any() else means[c] for c in range(len(means))])
+        return np.lexsort((self.ids, near))
+
+    def invert(self) -> None:
+        """What the search needs beside the vectors, in each process."""
+        n, self.n_blocks = len(self.ids), -(-len(self.ids) // BLOCK)
+        self.offsets = np.cumsum(self.sizes) - self.sizes
+        self.place = np.full(len(self.keys), -1)
+        self.place[self.common] = np.arange(len(self.common))
+        row, place = np.repeat(np.arange(n), self.sizes), self.place[self.i]
+        self.dense = np.zeros((self.n_blocks, len(self.common), BLOCK), np.float32)
+        own = place >= 0
+        self.dense[row[own] // BLOCK, place[own], row[own] % BLOCK] = self.v[own]
+        self.most = self.dense.max(2).T.copy() if n else np.zeros((len(self.common), 0), np.float32)
+        t, row, v = self.i[~own], row[~own], self.v[~own]
+        order = np.argsort(t, kind="stable")
+        self.rows, self.weights = row[order], v[order]
+        self.starts = np.searchsorted(t[order], np.arange(len(self.keys) + 1))
+        self.query = np.zeros(len(self.keys))
+
+    def __getstate__(self) -> dict:
+        return {k: self.__dict__[k] for k in ("keys", "idf_of", "ids", "labels", "sizes", "i", "v", "common")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.invert()
+
+    def weighed(self, words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The part of a unit vector on the examples' words; its norm is that of all words."""
+        at, known = find(self.keys, words)
+        return self.placed(np.where(known, at, -1 - other(words)), counts)
+
+    def placed(self, at: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """`weighed` of places that Places gives."""
+        known = at >= 0
+        v = (1 + np.log(counts)) * self.idf_of[at]  # counters stand at the end, backwards
+        return at[known], v[known] / np.sqrt((v * v).sum()) if len(v) else v
 
     def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        i = np.array(sorted(self.terms[w] for w in counts), np.int64)
-        if not len(i):
-            return i, i.astype(float)
-        tf = {self.terms[w]: 1 + math.log(n) for w, n in counts.items()}
-        v = np.array([tf[t] for t in i.tolist()]) * self.idf[i]
-        return i, v / math.sqrt((v * v).sum())
+        return self.weighed(*self.hashed(counts))
 
     def nearest(self, i: np.ndarray, v: np.ndarray, k: int = K, but: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Rows and cosines of the k nearest examples with a cosine above 0, without the example whose id is `but`."""
-        if not len(i) or not self.n_blocks:
-            return np.zeros(0, np.int64), np.zeros(0)
-        bounds = v @ self.most[i]
-        rows, scores, floor = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or bounds[b] < floor - 1e-9:
-                break
-            own = np.zeros(BLOCK)
-            for t, w in zip(i.tolist(), v.tolist()):
-                lo, hi = self.cuts[t][b], self.cuts[t][b + 1]
-                own[self.rows[t][lo:hi] - b * BLOCK] += w * self.weights[t][lo:hi]
-            at = np.flatnonzero(own > 0)
-            found = at + b * BLOCK
+        return self.nearest_of([(i, v)], k, None if but is None else [but])[0]
+
+    def nearest_of(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int = K, but: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """`nearest` of each vector, together."""
+        if not self.n_blocks:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * len(vectors)
+        n, width = len(vectors), self.n_blocks * BLOCK
+        scores, q = np.zeros((n, width), np.float32), np.zeros((n, len(self.common)), np.float32)
+        for b, (i, v) in enumerate(vectors):
+            place = self.place[i]
+            q[b, place[place >= 0]] = v[place >= 0]
+            t, w = i[place < 0], v[place < 0]
+            lo, hi = self.starts[t], self.starts[t + 1]
+            if len(t):
+                at = list(map(slice, lo.tolist(), hi.tolist()))
+                scores[b] = np.bincount(np.concatenate([self.rows[x] for x in at]), np.repeat(w, hi - lo) * np.concatenate([self.weights[x] for x in at]), width)
             if but is not None:
-                at, found = at[self.ids[found] != but], found[self.ids[found] != but]
-            rows, scores = np.concatenate((rows, found)), np.concatenate((scores, own[at]))
+                scores[b, np.flatnonzero(self.ids == but[b])] = -4.0
+        blocks = scores.reshape(n, self.n_blocks, BLOCK)
+        bounds = blocks.max(2) + q @ self.most
+        first = np.argsort(-bounds, 1, kind="stable")[:, : max(FIRST, -(-k // BLOCK))]
+        need = np.zeros(bounds.shape, bool)
+        np.put_along_axis(need, first, True, 1)
+        self.finish(blocks, q, need)
+        best = np.take_along_axis(blocks, first[:, :, None], 1).reshape(n, -1)
+        floor = np.partition(best, -k, 1)[:, -k].clip(0) if best.shape[1] >= k else np.zeros(n)
+        later = (bounds > 0) & (bounds >= floor[:, None] - MARGIN) & ~need
+        self.finish(blocks, q, later)
+        blocks[~(need | later)] = 0
+        out = []
+        for b, (i, v) in enumerate(vectors):
+            rows = np.flatnonzero((scores[b] > 0) & (scores[b] >= floor[b] - MARGIN))
             if len(rows) > k:
-                best = np.lexsort((self.ids[rows], -np.round(scores, 12)))[:k]
-                rows, scores = rows[best], scores[best]
-            if len(rows) == k:
-                floor = scores.min()
-        best = np.lexsort((self.ids[rows], -np.round(scores, 12)))
-        return rows[best], scores[best]
+                rows = rows[scores[b, rows] >= np.partition(scores[b, rows], -k)[-k] - MARGIN]
+            if not len(rows):
+                out.append((rows, np.zeros(0)))
+                continue
+            self.query[i] = v
+            sizes = self.sizes[rows]
+            at = slices(self.offsets[rows], sizes)
+            exact = np.add.reduceat(self.query[self.i[at]] * self.v[at], np.cumsum(sizes) - sizes)
+            self.query[i] = 0
+            best = np.lexsort((self.ids[rows], -np.round(exact, 12)))[:k]
+            out.append((rows[best], exact[best]))
+        return out
+
+    def finish(self, blocks: np.ndarray, q: np.ndarray, need: np.ndarray) -> None:
+        """Adds the frequent words' part where needed."""
+        for b in np.flatnonzero(need.any(0)).tolist():
+            r = np.flatnonzero(need[:, b])
+            blocks[r, b] += q[r] @ self.dense[b]
 
 
 def vote(labels: np.ndarray, cosines: np.ndarray, rate: float) -> float:
@@ -133,88 +272,91 @@ class Model:
         self.index, self.rate, self.silent, self.levels, self.rates = index, rate, silent, levels, rates
 
     def score(self, text: str | None) -> tuple[float, list[int]]:
-        rows, cosines = self.index.nearest(*self.index.vector(term_counts(text, self.index.terms)))
-        if not len(rows):
-            return self.silent, []
-        raw = vote(self.index.labels[rows], cosines, self.rate)
-        return float(np.clip(np.interp(raw, self.levels, self.rates), 0, 1)), self.index.ids[rows].tolist()
+        return self.scores([text], Places(self.index.keys))[0]
+
+    def scores(self, texts: list[str | None], places: Places) -> list[tuple[float, list[int]]]:
+        counts, out = [places.counted(t) for t in texts], []
+        for (words, _), (rows, cosines) in zip(counts, self.index.nearest_of([self.index.placed(*c) for c in counts])):
+            raw = vote(self.index.labels[rows], cosines, self.rate)
+            out.append((float(np.clip(np.interp(raw, self.levels, self.rates), 0, 1)) if len(words) else self.silent, self.index.ids[rows].tolist()))
+        return out
 
 
-def document_frequencies(docs: DataFrame, terms: dict[str, int], text: str = "text") -> tuple[dict[str, int], int]:
-    """In how many of all documents each term occurs, and how many documents there are."""
-    sent = docs.sparkSession.sparkContext.broadcast(terms)
+def document_frequencies(docs: DataFrame, keys: np.ndarray, text: str = "text") -> tuple[np.ndarray, np.ndarray, int]:
+    """In how many of all documents each word of ascending keys occurs, other words by counter, and how many documents there are."""
+    sent = docs.sparkSession.sparkContext.broadcast(keys)
 
     def count(batches):
         import pyarrow as pa
 
-        known, total, found = sent.value, 0, Counter()
+        known, total = sent.value, 0
+        places = Places(known)
+        found = np.zeros(len(known) + (1 << OTHER_BITS), np.int64)
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 total += 1
-                found.update(known.keys() & set(WORDS.findall((t or "").lower())))
-        found[""] = total
-        yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["term", "n"])
+                at = places.of(set(WORDS.findall((t or "").lower())))
+                found[at[at >= 0]] += 1
+                np.add.at(found, len(known) - 1 - at[at < 0], 1)
+        at = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(found[at], total), pa.int64())], names=["term", "n"])
 
-    rows = docs.select(text).mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # at most the terms
-    df = {r.term: r.n for r in rows}
-    return df, df.pop("", 0)
+    rows = docs.select(text).mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # at most the keys and counters
+    term, n = rows.column("term").to_numpy(), rows.column("n").to_numpy()
+    out = np.zeros(len(keys) + (1 << OTHER_BITS), np.int64)
+    out[term[term >= 0]] = n[term >= 0]
+    return out[: len(keys)], out[len(keys) :], int(n[term < 0].sum())
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str, use: Callable[[Column], Column], *, statistics: DataFrame | None = None, most: int = MAX_EXAMPLES, text: str = "text", doc_id: str = "doc_id") -> Model:
     """A model of the labelled rows whose id passes `use`; statistics: the documents to count over, docs unless given."""
     chosen = sample_labels(one_label(labels.where(use(F.col(doc_id))), label, doc_id), most, doc_id)
     rows = docs.select(doc_id, text).dropna(subset=[doc_id]).join(F.broadcast(chosen.select(doc_id, "label")), doc_id)  # at most `most` ids
-
-    def words_in(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            n, pos = Counter(), Counter()
-            for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = set(WORDS.findall((t or "").lower()))
-                words.add("")  # counts the documents
-                n.update(words)
-                if y:
-                    pos.update(words)
-            yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64()), pa.array([pos[w] for w in n], pa.int64())], names=["term", "n", "pos"])
-
-    counted = rows.select(text, "label").mapInArrow(words_in, "term string, n long, pos long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
-    # Only terms that a likelihood ratio could select reach the driver: positives at least twice as frequent as expected.
-    totals = chosen.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("pos")).first()
-    share = totals.pos / totals.n if totals.n else 1.0
-    able = counted.where((F.col("term") == "") | ((F.col("pos") >= MIN_DOCS) & (F.col("pos") > 1.5 * share * F.col("n")))).orderBy(F.desc("pos"), "term").limit(20 * MAX_TERMS).collect()
-    whole = next((r for r in able if r.term == ""), None)
-    n, pos = (whole.n, whole.pos) if whole else (0, 0)
-    ratios = sorted(((likelihood_ratio(r.pos, r.n - r.pos, pos, n - pos), r.term) for r in able if r.term), key=lambda x: (-x[0], x[1]))
-    terms = {t: k for k, (g, t) in enumerate(ratios[:MAX_TERMS]) if g >= MIN_RATIO}
-    df, n_docs = document_frequencies(statistics if statistics is not None else docs, terms, text) if terms else ({}, 0)
-
-    sent = docs.sparkSession.sparkContext.broadcast(terms)
+    rows = rows.select(F.col(doc_id).cast("long").alias("doc_id"), "label", F.col(text).alias("text"))
 
     def counts_of(batches):
         import pyarrow as pa
 
+        hashes = WordHashes()
         for batch in batches:
-            found = [term_counts(t, sent.value) for t in batch.column(2).to_pylist()]
+            found = [term_counts(t, hashes) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([list(f) for f in found], pa.list_(pa.string())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))],
-                names=["doc_id", "label", "terms", "counts"],
+                [batch.column(0), batch.column(1), pa.array([w.view(np.int64) for w, _ in found], pa.list_(pa.int64())), pa.array([n.astype(np.int32) for _, n in found], pa.list_(pa.int32()))],
+                names=["doc_id", "label", "words", "counts"],
             )
 
-    examples = rows.select(F.col(doc_id).cast("long").alias("doc_id"), "label", text).mapInArrow(counts_of, "doc_id long, label int, terms array<string>, counts array<int>").collect()  # at most `most`, a few terms each
-    examples.sort(key=lambda r: (r.doc_id, r.label, r.terms))
-    rate = sum(r.label for r in examples) / len(examples) if examples else 0.0
-    index = Index([r.doc_id for r in examples], [r.label for r in examples], [dict(zip(r.terms, r.counts)) for r in examples], terms, df, n_docs)
-    without = [r.label for r in examples if not r.terms]
-    silent = (sum(without) + 0.5 * rate) / (len(without) + 0.5) if examples else 0.0
-    votes, truth = [], []
-    for r in examples:
-        if r.terms:
-            found, cosines = index.nearest(*index.vector(dict(zip(r.terms, r.counts))), but=r.doc_id)
-            votes.append(vote(index.labels[found], cosines, rate))
-            truth.append(r.label)
-    levels, rates = monotone(np.array(votes), np.array(truth, float)) if votes else (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
-    return Model(index, rate, silent, levels, rates)
+    got = rows.mapInArrow(counts_of, "doc_id long, label int, words array<long>, counts array<int>").toArrow()  # at most `most` documents
+    ids, truth = got.column("doc_id").to_pylist(), got.column("label").to_pylist()
+    counts = [(w.values.to_numpy().view(np.uint64), n.values.to_numpy()) for w, n in zip(got.column("words"), got.column("counts"))]
+    order = sorted(range(len(ids)), key=lambda k: (ids[k], truth[k], counts[k][0].tobytes(), counts[k][1].tobytes()))
+    ids, truth, counts = ([x[k] for k in order] for x in (ids, truth, counts))
+    keys = np.unique(np.concatenate([w for w, _ in counts])) if counts else np.zeros(0, np.uint64)
+    df, others, n_docs = document_frequencies(statistics if statistics is not None else docs, keys, text) if len(keys) else (np.zeros(0), np.zeros(1 << OTHER_BITS), 0)
+    index = Index.of(ids, truth, counts, keys, df, others, n_docs)
+    rate = sum(truth) / len(truth) if truth else 0.0
+    without = [y for y, (w, _) in zip(truth, counts) if not len(w)]
+    silent = (sum(without) + 0.5 * rate) / (len(without) + 0.5) if truth else 0.0
+    del got, counts
+    if not len(index.ids):
+        return Model(index, rate, silent, np.array([0.0, 1.0]), np.array([0.0, 1.0]))
+    sent = docs.sparkSession.sparkContext.broadcast(index)
+
+    def votes_of(batches):
+        import pyarrow as pa
+
+        own = sent.value
+        places = Places(own.keys)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, BATCH):
+                batch = whole.slice(lo, BATCH)
+                all_ids, y, counts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), [places.counted(t) for t in batch.column(2).to_pylist()]
+                found = own.nearest_of([own.placed(*c) for c in counts], but=all_ids)
+                made = [(i, c, vote(own.labels[r], cosines, rate)) for i, c, (w, _), (r, cosines) in zip(all_ids, y, counts, found) if len(w)]
+                yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.int32()), pa.array([m[2] for m in made], pa.float64())], names=["doc_id", "label", "vote"])
+
+    votes = sorted(map(tuple, rows.mapInArrow(votes_of, "doc_id long, label int, vote double").collect()))  # at most `most` documents
+    sent.unpersist()
+    return Model(index, rate, silent, *monotone(np.array([v for _, _, v in votes]), np.array([y for _, y, _ in votes], float)))
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", output: str = "score", evidence: str = "evidence") -> DataFrame:
@@ -225,8 +367,10 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", output: str = "s
     def run(batches):
         import pyarrow as pa
 
+        places = Places(sent.value.index.keys)
         for batch in batches:
-            found = [sent.value.score(t) for t in batch.column(at).to_pylist()]
+            texts = batch.column(at).to_pylist()
+            found = [x for lo in range(0, len(texts), BATCH) for x in sent.value.scores(texts[lo : lo + BATCH], places)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], pa.list_(pa.int64()))], names=[*batch.schema.names, output, evidence])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
