@@ -3,7 +3,7 @@
 1. Equal vectors are one class, represented by its smallest id.
 2. ROTATIONS random rotations each cut a vector into two halves of unit length; a filter direction is a pair of random
    codes, one for each half (CODES x CODES directions a rotation). List decoding finds all directions whose inner product
-   with the vector exceeds CAP: both halves' products are sorted, and for each code of one half a binary search tells which
+   with the vector exceeds a cap that follows the width and the threshold (cap_of): both halves' products are sorted, and for each code of one half a binary search tells which
    codes of the other reach the cap.
 3. Vectors meet in a filter's bucket with a 256-bit sign sketch each. Pairs whose sketches could belong to the wanted
    cosine join their trees, so a bucket gives fewer edges than members. The edges' components hold every candidate pair.
@@ -35,8 +35,8 @@ ROTATIONS = 6
 CODES = 256
 CAP = 0.42
 SKETCH = 256
-#: A pair at cosine 0.9 differs in 37 of 256 signs on average, with a deviation of 5.6; at 0 in 128.
-MOST_DIFFERENT = 78
+PAIRS = 200
+SHARED = 6
 BLOCK = 2048
 MANY_HOT = 100_000
 
@@ -49,7 +49,32 @@ def directions(width: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarr
     return turns, codes, rng.normal(size=(width, SKETCH))
 
 
-def filters_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def most_different(threshold: float) -> int:
+    """Signs of a sketch in which a pair at the threshold may differ: 7.4 deviations above the mean (at 0.9: 78)."""
+    p = np.arccos(np.clip(threshold, -1, 1)) / np.pi
+    return int(SKETCH * p + 7.4 * np.sqrt(SKETCH * p * (1 - p)))
+
+
+@lru_cache(16)
+def cap_of(width: int, threshold: float) -> float:
+    """CAP, or the lower level at which each of PAIRS random pairs at the threshold shares SHARED directions."""
+    turns, codes, _ = directions(width)
+    rng, half = np.random.default_rng([11, width]), width // 2
+    x = unit(rng.normal(size=(PAIRS, width)))
+    apart = rng.normal(size=x.shape)
+    apart = unit(apart - (apart * x).sum(1, keepdims=True) * x)
+    y = threshold * x + np.sqrt(max(0.0, 1 - threshold**2)) * apart
+    best = np.full((PAIRS, 0), 0.0)
+    for turn, code in zip(turns, codes):
+        sums = []
+        for z in (x @ turn, y @ turn):
+            a, b = unit(z[:, :half]) / np.sqrt(2) @ code[0].T, unit(z[:, half:]) / np.sqrt(2) @ code[1].T
+            sums.append((a[:, :, None] + b[:, None, :]).astype(np.float32).reshape(PAIRS, -1))
+        best = np.concatenate((best, np.partition(np.minimum(*sums), -SHARED, 1)[:, -SHARED:]), 1)
+    return float(min(CAP, np.partition(best, -SHARED, 1)[:, -SHARED].min()))
+
+
+def filters_of(x: np.ndarray, cap: float = CAP) -> tuple[np.ndarray, np.ndarray]:
     """Rows and filter numbers of all exceeding directions of unit vectors of even width."""
     turns, codes, _ = directions(x.shape[1])
     half, rows, found = x.shape[1] // 2, [], []
@@ -59,7 +84,9 @@ def filters_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(-b, 1)
         b = -np.take_along_axis(b, order, 1)
         for i in range(len(x)):
-            reach = np.searchsorted(b[i], a[i] - CAP, "right")  # how many of the other half's codes, best first
+            reach = np.searchsorted(b[i], a[i] - cap, "right")  # how many of the other half's codes, best first
+            if not reach.any():
+                reach[a[i].argmax()] = 1  # below the cap: the best direction
             own = np.flatnonzero(reach)
             n = reach[own]
             second = order[i][np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
@@ -80,13 +107,14 @@ def link(embeddings: DataFrame, *, threshold: float = THRESHOLD, vec_id: str = "
     classes = stored(classes, "vector-classes")
     width = classes.agg(F.max(F.size("v"))).first()[0] or 2
     width += width % 2
+    cap, most = cap_of(width, threshold), most_different(threshold)
 
     def decode(batches):
         import pyarrow as pa
 
         for batch in batches:
             x = unit(widened(matrix(batch.column(1)), width))
-            row, number = filters_of(x)
+            row, number = filters_of(x, cap)
             bits = np.packbits(x @ directions(width)[2] > 0, axis=1)
             sketch = pa.array([b.tobytes() for b in bits], pa.binary())
             at = pa.array(row)
@@ -111,7 +139,7 @@ def link(embeddings: DataFrame, *, threshold: float = THRESHOLD, vec_id: str = "
             own, apart = words[lo:hi], np.zeros((hi - lo, hi - lo), np.int16)
             for j in range(own.shape[1]):
                 apart += np.bitwise_count(own[:, None, j] ^ own[None, :, j])
-            for x, y in forest_of(apart <= MOST_DIFFERENT):
+            for x, y in forest_of(apart <= most):
                 a.append(reps[lo + x])
                 b.append(reps[lo + y])
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
