@@ -32,11 +32,10 @@ TOKENS = re.compile(r"\w+|[^\w\s]+")
 
 def features(text: str | None, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
     """Indices and values; index 0 is the bias."""
-    mask = np.uint64((1 << BITS) - 2)
     words = hashes.of(TOKENS.findall(text or ""))
     with np.errstate(over="ignore"):
         pairs = mix64(words[:-1] * np.uint64(3) + words[1:]) if len(words) > 1 else words[:0]
-    index, count = np.unique(np.concatenate((words, pairs)) & mask, return_counts=True)
+    index, count = np.unique(np.concatenate((words, pairs)) % np.uint64((1 << BITS) - 1), return_counts=True)
     value = np.log1p(count)
     norm = np.sqrt((value * value).sum()) or 1.0
     return np.concatenate(([0], index.astype(np.int64) + 1)), np.concatenate(([1.0], value / norm * 4))
