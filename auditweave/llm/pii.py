@@ -1,9 +1,10 @@
 """Personal data: fixed patterns, and identifiers discovered from the contexts in which those occur.
 
 1. E-mail addresses, IPv4 addresses, card numbers (Luhn) and phone numbers are found by fixed patterns: the seed entities.
-   In the same pass every other white-space-delimited run that holds a digit becomes a candidate instance. Seeds and
-   candidates are written with their lexical patterns: the two words before, the word before and the word after, the two
-   words after.
+   In the same pass every other white-space-delimited run that holds a digit, and five code points after trimming, becomes a candidate
+   instance; shorter runs and runs without a digit are no candidates. Seeds and candidates are written with their lexical
+   patterns: the two words before, the word before and the word after, the two words after. Words are whole, however long
+   and however far away.
 2. Spark scores the graph of patterns and instances: a pattern's confidence is the mean score of its instances (seeds 1)
    with one unit of doubt, an instance's score is the noisy-or of its patterns' confidences. ROUNDS rounds.
 3. Patterns of at least MIN_SEEDS different seeds and MIN_CONFIDENCE mark the candidates they hold as spans of kind `id`.
@@ -17,6 +18,7 @@ length are read whole, in linear time; repeated rows give repeated results; an e
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,15 +31,15 @@ MIN_SEEDS = 3
 MIN_CONFIDENCE = 0.7
 #: Documents with discovered spans are sent to every executor up to so many; beyond, they are joined by shuffle.
 FEW_LEARNED = 100_000
-CONTEXT = 80  # code points looked at on each side of an instance
+LONG_WORD = 64  # longer words stand in patterns by their 128-bit hash
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]+)")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-RUN = re.compile(r"\S*[0-9]\S*")
 WORD = re.compile(r"\S+")
+RUN = re.compile(r"(?<!\S)[^\s0-9]*+[0-9]\S*")  # starts where a run does, so no run is read twice
 EDGE = "\"'`.,;:!?()[]{}<>|*#$%&="
 
 
@@ -66,7 +68,7 @@ def emails(text: str) -> list[tuple[int, int]]:
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end), by kind and start."""
     out = [(0, a, b) for a, b in emails(text)] if "@" in text else []
-    out += [(1, m.start(), m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.groups())]
+    out += [(1, m.start(), m.end()) for m in IP.finditer(text) if all(len(p := part.lstrip("0")) <= 3 and int(p or 0) <= 255 for part in m.groups())]
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 16:
             digits = m.group().replace(" ", "").replace("-", "")
@@ -77,9 +79,40 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def contexts(text: str, start: int, end: int) -> list[str]:
-    before = [w.strip(EDGE).lower() or w for w in WORD.findall(text[max(0, start - CONTEXT) : start])[-2:]]
-    after = [w.strip(EDGE).lower() or w for w in WORD.findall(text[end : end + CONTEXT])[:2]]
+def plain(word: str) -> str:
+    """A word as patterns name it."""
+    import xxhash
+
+    word = word.strip(EDGE).lower() or word
+    return word if len(word) <= LONG_WORD else "#" + xxhash.xxh3_128_hexdigest(word.encode("utf-8", "replace"))
+
+
+class Words:
+    """The white-space-delimited runs of a text, found in one pass."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.runs = [m.span() for m in WORD.finditer(text)]
+        self.starts = [a for a, _ in self.runs]
+        self.said: dict[int, str] = {}  # run -> its name, once asked for
+
+    def name(self, k: int) -> str:
+        if k not in self.said:
+            self.said[k] = plain(self.text[slice(*self.runs[k])])
+        return self.said[k]
+
+    def around(self, start: int, end: int) -> tuple[list[str], list[str]]:
+        """Up to two words before start and after end; what a run holds beside the instance is a word of its own."""
+        first, last = bisect_right(self.starts, start) - 1, bisect_left(self.starts, end) - 1
+        before = [plain(self.text[self.runs[first][0] : start])] if self.runs[first][0] < start else []
+        after = [plain(self.text[end : self.runs[last][1]])] if end < self.runs[last][1] else []
+        before = [self.name(k) for k in range(max(0, first - 2 + len(before)), first)] + before
+        after += [self.name(k) for k in range(last + 1, min(len(self.runs), last + 3 - len(after)))]
+        return before, after
+
+
+def contexts(words: Words, start: int, end: int) -> list[str]:
+    before, after = words.around(start, end)
     out = []
     if len(before) == 2:
         out.append(f"{before[0]} {before[1]} _")
@@ -126,9 +159,11 @@ def first_pass(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
             for t in batch.column(1).to_pylist():
                 t = t or ""
                 base = base_spans(t)
+                held = instances(t, base)
+                words = Words(t) if held else None
                 prints.append(signed(t))
                 spans.append([{"kind": k, "start": a, "end": b} for k, a, b in base])
-                found.append([{"start": a, "end": b, "seed": s, "instance": signed(t[a:b]), "patterns": contexts(t, a, b)} for a, b, s in instances(t, base)])
+                found.append([{"start": a, "end": b, "seed": s, "instance": signed(t[a:b]), "patterns": contexts(words, a, b)} for a, b, s in held])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(found, pa.list_(found_type))], names=["doc_id", "print", "base", "found"])
 
     source = docs.select(F.col(doc_id), F.col(text))

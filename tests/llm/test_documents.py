@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import duckdb
@@ -136,6 +137,28 @@ def test_pii_base_spans(text):
     assert [(pii.KINDS[k], a, b) for k, a, b in pii.base_spans(text)] == brute_pii(text)
 
 
+def test_pii_contexts_are_whole_words():
+    words = pii.Words("ein " + "w" * 200 + "  \n" + " " * 300 + "tel:x7 (Ende)")
+    assert words.around(511, 513) == (["#" + pii.plain("w" * 200)[1:], "tel"], ["ende"])
+    rest = pii.Words("a b c1 d e")
+    assert pii.contexts(rest, 4, 6) == ["a b _", "b _ d", "_ d e"]
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["0" * 5000 + "1.1.1.1", "x" * 1_000_000, "Qk" * 500_000 + "=", "9" * 1_000_000, "1." * 500_000, "+1" + "(" * 1_000_000, "a@" * 500_000, "a" * 500_000 + "@b", "7 " * 500_000, "0" * 500_000 + ".0.0.0", "token1 " * 150_000],
+    ids=range(11),
+)
+def test_pii_of_long_texts_takes_linear_time(text):
+    began = time.process_time()
+    held = pii.instances(text, pii.base_spans(text))
+    words = pii.Words(text)
+    assert all(len(words.around(a, b)[0]) <= 2 for a, b, _ in held[:1000])
+    assert time.process_time() - began < 2
+    if text.startswith("0"):
+        assert (1, 0, len(text)) in pii.base_spans(text)
+
+
 def test_pii_against_brute_force(spark, texts):
     for r in queries.op10_bootstrapped_pii(spark, SF).collect():
         want = ",".join(f"{k}:{a}:{b}" for k, a, b in brute_pii(texts[r.doc_id]))
