@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from auditweave.storage import stored
 
-__all__ = ["WordHashes", "id_bucket", "mix64", "partitions", "rows_of", "stored", "table"]
+__all__ = ["WordHashes", "id_bucket", "marked", "mix64", "partitions", "rows_of", "stored", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,25 @@ def id_bucket(doc_id: str | Column, modulus: int) -> Column:
     return F.crc32((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string")) % modulus
 
 
+#: Bits of a bitmap of hashed keys, 2 MB at most in words of 64.
+MARK_BITS = 24
+
+
+def marked(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """row (all of df's columns), marked: false where df's key is surely not among wanted's; nulls are not marked.
+
+    The bitmap has at most 2^18 words whatever wanted holds, so it is sent to every executor; the more keys it holds, the more
+    others are marked too. Callers join what is marked and let the rest pass.
+    """
+    place = lambda k: F.pmod(F.xxhash64(k), F.lit(1 << MARK_BITS))
+    bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int"))
+    at = wanted.where(F.col(key).isNotNull()).select(place(F.col(key).cast("long")).alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(bit(F.col("at"))).alias("bits"))
+    rows = df.select(F.struct("*").alias("row")).withColumn("at", place(F.col("row")[key].cast("long")))
+    joined = rows.withColumn("word", F.when(F.col("row")[key].isNotNull(), F.shiftright("at", 6))).join(F.broadcast(words), "word", "left")
+    return joined.select("row", F.coalesce(F.col("bits").bitwiseAND(bit(F.col("at"))) != 0, F.lit(False)).alias("marked"))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on unsigned 64-bit integers."""
     x = x.astype(np.uint64, copy=True)

@@ -1,9 +1,10 @@
 """N-gram Jaccard join with Bayesian candidate pruning.
 
 1. A document's set is its runs of SHINGLE lower-case words (the whole text, if it has fewer words), hashed to 64 bits.
-   Documents with equal sets are one class, represented by the smallest doc_id; only classes go on.
+   Documents with equal sets are one class with a number of its own; only classes go on.
 2. 120 MinHash values in 24 bands of 5: classes that share a band lead to the band's smallest class. The components of these
-   edges hold all candidate pairs (a pair at the threshold meets in some band with probability 0.99993).
+   edges hold all candidate pairs (a pair at the threshold meets in some band with probability 0.99993). The sets of their
+   members are made again from the texts, so sets are shuffled, and texts never; one bitmap of fixed size tells which.
 3. Inside components, blocks of classes are compared. MinHash values are compared 24 at a time; with a uniform prior the
    posterior of the similarity is a beta distribution, and a pair is dropped once the probability that it reaches the
    threshold is below TOLERANCE. What is left is verified exactly on the sets.
@@ -12,8 +13,10 @@
 Components beyond a block's bounds are dealt to pairs of blocks, each a group of its own. No pair of rows is written out,
 and copies are never expanded.
 
-Defined results: null, empty and wordless texts link with nothing and stand alone, kept; so do rows with a null doc_id;
-repeated rows of one doc_id count as copies of each other; an empty table gives no rows.
+Defined results: null, empty and wordless texts link with nothing and stand alone, kept; so do rows with a null doc_id.
+Rows of one doc_id with different texts are documents of their own; repeated rows of one doc_id and text count as copies of
+each other, and keep_one keeps one of them. Of a group the row with the smallest doc_id stays (then the smallest hash of its
+text). An empty table gives no rows; extra columns, of any name, are passed on by keep_one.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditweave.llm.common import WordHashes, mix64, stored
+from auditweave.llm.common import WordHashes, marked, mix64, stored
 from auditweave.llm.groups import block_pairs, components, forest_of, map_groups
 
 SHINGLE = 5
@@ -36,8 +39,6 @@ STEP = 24
 TOLERANCE = 1e-6
 BLOCK_SHINGLES = 1_000_000
 BLOCK_CLASSES = 4096
-#: Component members are sent to every executor up to so many (seven numbers each, about 30 MB); beyond, they are joined by shuffle.
-FEW_MEMBERS = 300_000
 WORDS = re.compile(r"\w+")
 
 
@@ -70,6 +71,13 @@ def minhash(found: np.ndarray) -> np.ndarray:
     return (out >> np.uint64(32)).astype(np.uint32)
 
 
+def digest(found: np.ndarray) -> tuple[int, int]:
+    import xxhash
+
+    d = xxhash.xxh3_128_digest(found.tobytes())
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+
+
 def band_keys(values: np.ndarray) -> np.ndarray:
     key = np.zeros(BANDS, np.uint64)
     with np.errstate(over="ignore"):
@@ -138,76 +146,73 @@ def linked_sets(sets: list[np.ndarray], threshold: float = THRESHOLD, tolerance:
 
 
 def digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, hi and lo (a 128-bit digest of the set, null for empty sets), n (its size), bands."""
+    """doc_id, print (of the text), hi and lo (a 128-bit digest of the set, null for empty sets), n (its size), bands."""
 
     def run(batches):
         import pyarrow as pa
-        import xxhash
 
         hashes = WordHashes()
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for t in batch.column(1).to_pylist():
+            for t in batch.column(2).to_pylist():
                 found = shingles(t, hashes)
-                if len(found):
-                    d = xxhash.xxh3_128_digest(found.tobytes())
-                    row = (int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), len(found), band_keys(minhash(found)))
-                else:
-                    row = (None, None, 0, None)
+                row = (*digest(found), len(found), band_keys(minhash(found))) if len(found) else (None, None, 0, None)
                 for c, v in zip(out, row):
                     c.append(v)
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(out, kinds))], names=["doc_id", "hi", "lo", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(out, kinds))], names=["doc_id", "print", "hi", "lo", "n", "bands"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text)).mapInArrow(run, "doc_id long, hi long, lo long, n long, bands array<long>")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("print"), F.col(text)).mapInArrow(run, "doc_id long, print long, hi long, lo long, n long, bands array<long>")
 
 
-def link(docs: DataFrame, *, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per document: doc_id, class_id, n_links, component_id, kept."""
+def sets_of(docs: DataFrame, wanted: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """hi, lo, found (the set itself) of the documents whose id is among wanted's, and of few others."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        hashes, sent = WordHashes(), set()
+        for batch in batches:
+            kept = []
+            for t in batch.column(0).to_pylist():
+                found = shingles(t, hashes)
+                if len(found) and (key := digest(found)) not in sent:  # copies in one task are sent once
+                    sent.add(key)
+                    kept.append((*key, found.tobytes()))
+                    if len(sent) > 100_000:
+                        sent.clear()
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in kept], k) for c, k in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["hi", "lo", "found"])
+
+    return marked(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "doc_id", wanted).where("marked").select("row.text").mapInArrow(run, "hi long, lo long, found binary")
+
+
+def judged_rows(docs: DataFrame, threshold: float, tolerance: float, text: str, doc_id: str) -> DataFrame:
+    """One row per document: doc_id, print, class_id, n_links, best (doc_id and print that stay of its group), total (rows of it)."""
     light = stored(digests(docs, text, doc_id), "shingle-digests")
     known = light.where("hi is not null and doc_id is not null")
-    classes = stored(known.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("bands").alias("bands")), "shingle-classes")
+    classes = known.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "print")).alias("best"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = stored(classes.withColumn("key", F.monotonically_increasing_id()), "shingle-classes")  # ids may repeat, keys don't
 
-    banded = classes.select("rep", F.posexplode("bands").alias("band", "key"))
+    banded = classes.select("key", F.posexplode("bands").alias("band", "value"))
     # written, so that the join below has a shuffle on either side and adaptive execution can split a crowded band
-    least = stored(banded.groupBy("band", "key").agg(F.min("rep").alias("m"), F.count("*").alias("c")).where("c > 1").drop("c"), "band-heads")
-    edges = banded.join(least, ["band", "key"]).select(F.col("rep").alias("a"), F.col("m").alias("b"))
+    least = stored(banded.groupBy("band", "value").agg(F.min("key").alias("m"), F.count("*").alias("c")).where("c > 1").drop("c"), "band-heads")
+    edges = banded.join(least, ["band", "value"]).select(F.col("key").alias("a"), F.col("m").alias("b"))
     groups = components(edges, "band-components")
 
-    members = classes.drop("bands").join(groups.withColumnRenamed("node", "rep"), "rep")
+    members = classes.select("key", "hi", "lo", "best.doc_id", "size", "n").join(groups.withColumnRenamed("node", "key"), "key")
     weight = members.groupBy("component").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_CLASSES)).cast("long").alias("blocks"))
     members = stored(members.join(weight, "component"), "band-members")
-    few = members.count() <= FEW_MEMBERS
-    texts = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("_text"))
-    whole = texts.join(F.broadcast(members) if few else members, "rep")
-
-    def reread(batches):
-        import pyarrow as pa
-        import xxhash
-
-        hashes = WordHashes()
-        for batch in batches:
-            at, data = [], []
-            texts_now, hi = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for row, t in enumerate(texts_now):
-                found = shingles(t, hashes)
-                if len(found) and int.from_bytes(xxhash.xxh3_128_digest(found.tobytes())[:8], "little", signed=True) == hi[row]:
-                    at.append(row)
-                    data.append(found.tobytes())
-            at = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in range(2, 6)), pa.array(data, pa.binary())], names=["component", "rep", "size", "blocks", "found"])
-
-    sets = whole.select("_text", "hi", "component", "rep", "size", "blocks").mapInArrow(reread, "component long, rep long, size long, blocks long, found binary")
-    dealt = block_pairs(sets, "blocks", "rep")
+    sets = sets_of(docs, members.select("doc_id"), text, doc_id).join(members, ["hi", "lo"]).select("component", "key", "size", "blocks", "found")
+    dealt = block_pairs(sets, "blocks", "key")
 
     def verify(table, starts):
         import pyarrow as pa
 
-        reps, block, size, bi, bj = (table.column(c).to_numpy() for c in ("rep", "block", "size", "bi", "bj"))
+        keys, block, size, bi, bj = (table.column(c).to_numpy() for c in ("key", "block", "size", "bi", "bj"))
         data = table.column("found")
         out: list[list] = [[], [], []]
         for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist()):
-            rows = lo + np.unique(reps[lo:hi], return_index=True)[1]  # a repeated doc_id stands for one
+            rows = lo + np.unique(keys[lo:hi], return_index=True)[1]  # a class that came from several tasks
             if len(rows) < 2:
                 continue
             linked = linked_sets([np.frombuffer(data[r].as_py(), np.uint64) for r in rows.tolist()], threshold, tolerance)
@@ -215,34 +220,44 @@ def link(docs: DataFrame, *, threshold: float = THRESHOLD, tolerance: float = TO
                 linked &= block[rows][:, None] != block[rows]
             n = linked @ size[rows]
             for i in np.flatnonzero(n).tolist():
-                for c, v in zip(out, (reps[rows[i]], n[i], None)):
+                for c, v in zip(out, (keys[rows[i]], n[i], None)):
                     c.append(v)
             for i, j in forest_of(linked):
-                for c, v in zip(out, (reps[rows[i]], 0, reps[rows[j]])):
+                for c, v in zip(out, (keys[rows[i]], 0, keys[rows[j]])):
                     c.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["a", "n", "b"])
 
     links = stored(map_groups(dealt, ["component", "bi", "bj"], verify, "a long, n long, b long"), "jaccard-links")
-    found = components(links.where("b is not null").select("a", "b"), "jaccard-components").withColumnRenamed("node", "rep")
-    counts = links.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("more"))
-    judged = classes.join(counts, "rep", "left").join(found, "rep", "left").select(
-        "hi", "lo", F.col("rep").alias("class_id"), (F.coalesce("more", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    joined = known.select("doc_id", "hi", "lo").join(judged, ["hi", "lo"]).select("doc_id", "class_id", "n_links", "component_id")
-    alone = light.where("hi is null or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("component_id"))
-    return joined.union(alone).withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
+    found = stored(components(links.where("b is not null").select("a", "b"), "jaccard-components").withColumnRenamed("node", "key"), "jaccard-groups")
+    counts = links.groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("more"))
+    heads = found.join(classes.select("key", "best", "size"), "key").groupBy("component").agg(F.min("best").alias("head"), F.sum("size").alias("rows"))
+    judged = classes.join(counts, "key", "left").join(found.join(heads, "component"), "key", "left").select(
+        "hi", "lo", F.col("best.doc_id").alias("class_id"), (F.coalesce("more", F.lit(0)) + F.col("size") - 1).alias("n_links"),
+        F.coalesce("head", "best").alias("best"), F.coalesce("rows", "size").alias("total"))
+    joined = known.select("doc_id", "print", "hi", "lo").join(judged, ["hi", "lo"]).drop("hi", "lo")
+    alone = light.where("hi is null or doc_id is null").select("doc_id", "print", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.struct("doc_id", "print").alias("best"), F.lit(1).cast("long").alias("total"))
+    return joined.union(alone)
+
+
+def link(docs: DataFrame, *, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row per document: doc_id, class_id, n_links, component_id, kept."""
+    kept = F.struct("doc_id", "print") == F.col("best")
+    return judged_rows(docs, threshold, tolerance, text, doc_id).select("doc_id", "class_id", "n_links", F.col("best.doc_id").alias("component_id"), kept.alias("kept"))
 
 
 def keep_one(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """docs with one document of each group of near-duplicates: the one with the smallest id.
 
-    Texts stay where they are as long as the ids to be dropped, or repeated, are few enough to be sent to every executor.
+    Only documents whose id may stand for one to be dropped or repeated are joined with the verdicts; the others stay where
+    they are.
     """
-    judged = stored(link(docs, threshold=threshold, text=text, doc_id=doc_id).select("doc_id", "kept"), "jaccard-kept")
-    gone = judged.where("not kept").select(F.col("doc_id").alias(doc_id)).distinct()
-    again = judged.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias(doc_id)).count().where("count > 1").select(doc_id)
-    sent = lambda ids: F.broadcast(ids) if ids.count() <= 2 * FEW_MEMBERS else ids
-    left = docs.join(sent(gone), doc_id, "left_anti").select(docs.columns)
-    if again.isEmpty():
-        return left
-    repeated = left.join(sent(again), doc_id, "left_semi").select(docs.columns).dropDuplicates([doc_id])
-    return left.join(sent(again), doc_id, "left_anti").select(docs.columns).union(repeated)
+    rows = stored(judged_rows(docs, threshold, TOLERANCE, text, doc_id).where("total > 1").select("doc_id", "print", (F.struct("doc_id", "print") == F.col("best")).alias("stays")), "jaccard-verdicts")
+    verdicts = rows.groupBy("doc_id", "print").agg(F.first("stays").alias("stays"), F.count("*").alias("n")).where("not stays or n > 1").select(F.col("doc_id").alias("_id"), F.col("print").alias("_print"), "stays")
+    verdicts = stored(verdicts, "jaccard-dropped")
+    dealt = marked(docs, doc_id, verdicts.select(F.col("_id").alias(doc_id)))
+    clear = dealt.where("not marked").select("row.*")
+    asked = dealt.where("marked").select("row", F.col("row")[doc_id].cast("long").alias("_id"), F.xxhash64(F.col("row")[text]).alias("_print")).join(verdicts, ["_id", "_print"], "left")
+    single = asked.where("stays is null").select("row.*")
+    # equal in id and text: one row, by a hash over all its columns
+    again = asked.where("stays").groupBy("_id", "_print").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
+    return clear.unionAll(single).unionAll(again)

@@ -201,6 +201,17 @@ def test_jaccard_against_brute_force(spark, texts):
     assert {r.doc_id: (r.n_links, r.component_id) for r in got} == {d: (links[d], find(d)) for d in ids}
 
 
+def test_one_id_with_different_texts_loses_none(spark):
+    words = [f"wort{i}" for i in range(90)]
+    a, b, c = " ".join(words[:30]), " ".join(words[30:60]), " ".join(words[60:])
+    rows = [(1, a, "w"), (5, a, "x"), (5, b, "y"), (7, a, "z"), (7, c, "v"), (7, c, "v"), (8, c, None), (9, "allein", "u"), (9, None, "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, marked string")
+    got = {(r.doc_id, r.class_id): (r.n_links, r.component_id, r.kept) for r in jaccard.link(docs).where("class_id < 9").collect()}
+    assert got == {(1, 1): (2, 1, True), (5, 1): (2, 1, False), (7, 1): (2, 1, False), (5, 5): (0, 5, True), (7, 7): (2, 7, True), (8, 7): (2, 7, False)}
+    left = jaccard.keep_one(docs).collect()
+    assert sorted((r.doc_id, r.text or "", r.marked) for r in left) == sorted([(1, a, "w"), (5, b, "y"), (7, c, "v"), (9, "allein", "u"), (9, "", "t")])
+
+
 def test_linked_sets_dense_and_sparse():
     rng = np.random.default_rng(3)
     core = rng.integers(0, 2**63, 300).astype(np.uint64)
