@@ -38,7 +38,7 @@ BANDS, ROWS = 24, 5
 STEP = 24
 TOLERANCE = 1e-6
 BLOCK_SHINGLES = 1_000_000
-BLOCK_CLASSES = 4096
+BLOCK_CLASSES = 512
 WORDS = re.compile(r"\w+")
 
 
