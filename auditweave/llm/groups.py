@@ -62,26 +62,6 @@ def block_pairs(df: DataFrame, blocks: str, key: str) -> DataFrame:
     return own.select("*", other.alias("_other")).withColumns({"bi": F.least("block", "_other"), "bj": F.greatest("block", "_other")}).drop("_other")
 
 
-class Forest:
-    """Union-find over positions; keeps one edge for each join of two trees."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def top(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def link(self, a: int, b: int) -> bool:
-        a, b = self.top(a), self.top(b)
-        if a == b:
-            return False
-        self.up[max(a, b)] = min(a, b)
-        return True
-
-
 def forest_of(linked: np.ndarray) -> list[tuple[int, int]]:
     """Edges of a spanning forest of a symmetric Boolean matrix: breadth first, whole rows at a time."""
     n, out = len(linked), []
