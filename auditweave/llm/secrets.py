@@ -2,19 +2,18 @@
 
 1. Each rule's regex is taken apart on the driver into a Boolean trigram query: alternatives of trigram sets, one of which
    any match must contain whole. Rules without such trigrams (hex) scan every text.
-2. The lengths of the queried trigrams' posting lists are counted over all documents. The index then holds one posting
-   (trigram, document) for each queried trigram of the documents on some alternative's shortest list: an intersection
-   starts from there (checked where the text is read).
+2. One pass over the texts writes the index's postings, by document. The lengths of the queried trigrams' posting lists
+   are counted over all of them; an intersection starts from each alternative's shortest list.
 3. Postings of one document and one alternative are intersected by counting: an alternative all of whose trigrams are there
    makes the document a candidate of the rule.
-4. Candidates are joined back to their texts and verified by the regex itself. Only documents that passed step 2's test
-   take part in the join; the others are scanned for hex where they are read.
+4. Candidates are joined back to their texts and verified by the regex itself. Only documents that a bitmap of the
+   candidates marks take part in the join; the others are scanned for hex where they are read.
 
 Spans come from split() and regexp_extract_all(), which cut and return the same leftmost non-overlapping matches: running
 sums of the pieces' lengths are the offsets, in code points.
 
 Defined results: null text is the empty text; documents are told apart by id and text, so null ids and repeated rows are
-scanned each for itself; an empty table gives no rows; whole texts of any length are scanned.
+scanned each for itself; an empty table gives no rows; whole texts of any length and any number of matches are scanned.
 """
 
 from __future__ import annotations
@@ -27,6 +26,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auditweave.llm.common import marked, stored
+
 
 class Rule(NamedTuple):
     kind: str
@@ -111,61 +112,85 @@ def queries(rules: list[Rule]) -> list[tuple[int, int, list[str]]]:
     return [(r, a, tris) for r, rule in enumerate(rules) for a, tris in enumerate(trigram_query(rule.regex))]
 
 
+SPANS = "array<struct<start:int,kind:int,end:int>>"
+CHUNK = 256
+
+
+def bound(value: Column, use) -> Column:
+    """use(value) with value computed once, also where use reads it inside other lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def spans_of(text: Column, rule: Rule, number: int) -> Column:
-    """The rule's matches as array<struct<start, kind, end>>."""
+    """The rule's matches as array<struct<start, kind, end>>.
+
+    Appending copies an array, so matches are walked in chunks: first the chunks' lengths, then each chunk from its start.
+    """
     regex = F.lit(rule.regex)
     matches, pieces = F.regexp_extract_all(text, regex, F.lit(0)), F.split(text, rule.regex, -1)
     counted = F.regexp_extract_all(text, regex, F.lit(rule.group)) if rule.group else matches
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    none = F.array().cast(SPANS)
     rows = F.arrays_zip(F.transform(pieces, F.length).alias("gap"), F.transform(matches, F.length).alias("size"), F.transform(counted, F.length).alias("counts"))
+    long = lambda row: row["gap"] + F.coalesce(row["size"], F.lit(0))
+
+    def start(state, chunk):
+        return F.struct((state.at + F.aggregate(chunk, F.lit(0), lambda n, row: n + long(row))).alias("at"), F.array_append(state.starts, state.at).alias("starts"))
 
     def step(state, row):
-        start = state.at + row["gap"]
-        span = F.struct(start.alias("start"), F.lit(number).alias("kind"), (start + row["size"]).alias("end"))
-        return F.struct((start + F.coalesce(row["size"], F.lit(0))).alias("at"), F.when(row["counts"] >= rule.least, F.array_append(state.spans, span)).otherwise(state.spans).alias("spans"))
+        begin = state.at + row["gap"]
+        span = F.struct(begin.alias("start"), F.lit(number).alias("kind"), (begin + row["size"]).alias("end"))
+        return F.struct((state.at + long(row)).alias("at"), F.when(row["counts"] >= rule.least, F.array_append(state.spans, span)).otherwise(state.spans).alias("spans"))
+
+    def walked(chunks):
+        starts = F.aggregate(chunks, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")), start, lambda s: s.starts)
+        return F.flatten(F.zip_with(chunks, starts, lambda chunk, at: F.aggregate(chunk, F.struct(at.alias("at"), none.alias("spans")), step, lambda s: s.spans)))
+
+    def chunked(rows):
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / CHUNK).cast("int")), lambda c: F.slice(rows, c * CHUNK + 1, CHUNK))
+
+    found = bound(rows, lambda rows: bound(chunked(rows), walked))
+    return F.when(F.rlike(text, regex), found).otherwise(none)
+
 
-    walked = F.aggregate(rows, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda s: s.spans)
-    return F.when(F.rlike(text, regex), walked).otherwise(none)
+def postings(read: DataFrame, grams: list[str]) -> DataFrame:
+    """doc, print, grams (their numbers): the queried trigrams that each text holds, for texts that hold any."""
+    held = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(g)), F.lit(n)) for n, g in enumerate(grams))))
+    return read.select("doc", "print", F.lower("text").alias("low")).select("doc", "print", held.alias("grams")).where(F.size("grams") > 0)
 
 
-def candidates(read: DataFrame, asked: list[tuple[int, int, list[str]]]) -> DataFrame:
+def candidates(index: DataFrame, asked: list[tuple[int, int, list[int]]]) -> DataFrame:
     """doc, print, rules: which rules' trigram queries each document satisfies."""
-    spark = read.sparkSession
-    grams = sorted({t for _, _, tris in asked for t in tris})
-    postings = read.select("doc", "print", F.explode(F.array_compact(F.array(*(F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in grams)))).alias("gram"))
     # the queries: a table whose size depends on the rules alone
-    wanted = spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(t).alias("gram"), F.lit(r).alias("rule"), F.lit(a).alias("alternative"), F.lit(len(tris)).alias("all")) for r, a, tris in asked for t in tris))))
-    met = postings.join(F.broadcast(wanted), "gram").groupBy("doc", "print", "rule", "alternative").agg(F.size(F.collect_set("gram")).alias("n"), F.first("all").alias("all"))
+    wanted = index.sparkSession.range(1).select(F.inline(F.array(*(F.struct(F.lit(t).alias("gram"), F.lit(r).alias("rule"), F.lit(a).alias("alternative"), F.lit(len(grams)).alias("all")) for r, a, grams in asked for t in grams))))
+    met = index.select("doc", "print", F.explode("grams").alias("gram")).join(F.broadcast(wanted), "gram").groupBy("doc", "print", "rule", "alternative").agg(F.size(F.collect_set("gram")).alias("n"), F.first("all").alias("all"))
     return met.where("n = all").groupBy("doc", "print").agg(F.collect_set("rule").alias("rules"))
 
 
 def scan(docs: DataFrame, rules: list[Rule] = RULES, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, spans: array<struct<start, kind (number of the rule), end>> of every document, in order."""
-    asked = queries(rules)
-    always = [r for r in range(len(rules)) if r not in {q[0] for q in asked}]
+    queried = queries(rules)
+    always = [r for r in range(len(rules)) if r not in {q[0] for q in queried}]
     words = F.coalesce(F.col(text), F.lit(""))
-    read = docs.select(F.col(doc_id).alias("doc"), words.alias("text"), F.xxhash64(words).alias("print"), F.lower(words).alias("low"))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    read = docs.select(F.col(doc_id).alias("doc"), words.alias("text"), F.xxhash64(F.col(doc_id), words).alias("print"))
+    none = F.array().cast(SPANS)
 
     def verified(df: DataFrame, rules_of) -> DataFrame:
-        each = [F.when(rules_of(r), spans_of(F.col("text"), rule, r)).otherwise(none) if r not in always else spans_of(F.col("text"), rule, r) for r, rule in enumerate(rules)]
-        return df.select(F.col("doc").alias(doc_id), F.array_sort(F.concat(*each)).alias("spans"))
-
-    if not asked:
-        return verified(read, lambda r: F.lit(False))
-    # a text that lacks the rarest trigram of every alternative satisfies none
-    grams = sorted({t for _, _, tris in asked for t in tris})
-    lengths = read.agg(*(F.count_if(F.contains("low", F.lit(g))).alias(f"g{n}") for n, g in enumerate(grams))).first()
-    length = {g: lengths[f"g{n}"] for n, g in enumerate(grams)}
-    could = F.lit(False)
-    for gram in sorted({min(tris, key=lambda t: (length[t], t)) for _, _, tris in asked}):
-        could = could | F.contains("low", F.lit(gram))
-    found = candidates(read.where(could), asked).withColumnsRenamed({"doc": "_doc", "print": "_print"})
-    able = read.where(could).drop("low")
+        each = [spans_of(F.col("text"), rule, r) if r in always else F.when(rules_of(r), spans_of(F.col("text"), rule, r)).otherwise(none) for r, rule in enumerate(rules) if r in always or rules_of]
+        return df.select(F.col("doc").alias(doc_id), F.array_sort(F.concat(*each)).alias("spans") if each else none.alias("spans"))
+
+    if not queried:
+        return verified(read, None)
+    grams = sorted({t for _, _, tris in queried for t in tris})
+    asked = [(r, a, [grams.index(t) for t in tris]) for r, a, tris in queried]
+    index = stored(postings(read, grams), "secret-postings")  # the only pass that looks for trigrams
+    length = {r.gram: r["count"] for r in index.select(F.explode("grams").alias("gram")).groupBy("gram").count().collect()}
+    # an intersection starts from the shortest list: a text that is on none of these satisfies no query
+    least = sorted({min(tris, key=lambda t: (length.get(t, 0), t)) for _, _, tris in asked})
+    found = stored(candidates(index.where(F.arrays_overlap("grams", F.array(*map(F.lit, least)))), asked), "secret-candidates").withColumnsRenamed({"doc": "_doc", "print": "_print"})
+    dealt = marked(read, "print", found.select(F.col("_print").alias("print")))
+    able = dealt.where("marked").select("row.*")
     able = able.join(found, able["doc"].eqNullSafe(F.col("_doc")) & (able["print"] == F.col("_print")), "left").select("doc", "text", F.coalesce("rules", F.array().cast("array<int>")).alias("rules"))
-    rest = verified(read.where(~could).select("doc", "text"), lambda r: F.lit(False)) if not always else read.where(~could).select(
-        F.col("doc").alias(doc_id), F.array_sort(F.concat(*(spans_of(F.col("text"), rules[r], r) for r in always))).alias("spans"))
-    return verified(able, lambda r: F.array_contains("rules", r)).union(rest)
+    return verified(able, lambda r: F.array_contains("rules", r)).union(verified(dealt.where("not marked").select("row.*"), None))
 
 
 def digested(scanned: DataFrame, rules: list[Rule] = RULES, doc_id: str = "doc_id") -> DataFrame:

@@ -112,6 +112,17 @@ def test_secrets_against_brute_force(spark, texts):
     assert "github:0:44" in got[10_004].spans and "pem:45:76" in got[10_004].spans
 
 
+def test_secrets_of_many_matches_in_one_text(spark):
+    texts = {1: "0123456789abcdef01234567 " * 200_000, 2: "token=abcdef1 " * 3_000 + "é" + " api_key: geheim77" * 2_000, 3: "token=abcdef1 " * 257, 4: "AKIA" + "B" * 16}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    secrets.scan(docs.limit(0)).collect()
+    began = time.time()
+    got = {r.doc_id: r for r in secrets.digested(secrets.scan(docs)).collect()}
+    assert time.time() - began < 40
+    assert got[1].n_hex == 200_000 and got[2].n_assign == 5_000
+    assert all(got[d].base_sha256 == hashlib.sha256(brute_secrets(t).encode()).hexdigest() for d, t in texts.items())
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.sampled_from([r.regex for r in secrets.RULES]), st.text("abcdefkeyptokrsAKIxob_-=:'1 ", max_size=40))
 def test_trigram_queries_are_necessary(regex, text):
