@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from auditweave import catalog
 from auditweave.functions import columns as C
@@ -20,26 +22,37 @@ def with_ids(files: DataFrame) -> DataFrame:
     return files.withColumn("file_id", C.short_hash(C.slashed("absolute_path")))
 
 
+REFERENCES = "array<struct<local:string,target:string,kind:string>>"
+LINE = f"file_id string, language string, line int, raw string, masked string, plain string, block_end int, facts {FACTS}, given struct<target:string,assigned:array<string>>, named array<string>, references {REFERENCES}"
+
+
 def lines(files: DataFrame) -> DataFrame:
-    """file_id, language, line, raw, masked (no strings or comments), plain (no comments), block_end."""
+    """file_id, language, line, raw, masked (no strings or comments), plain (no comments), block_end, and what each line says.
+
+    facts: of the masked line, null if blank; given, named: assignment and names of the raw line; references: of the whole
+    file, on its first line. Everything that needs Python is read in this one pass.
+    """
     from auditweave.functions import lexing
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            ids, languages, texts = (batch.column(i).to_pylist() for i in range(3))
-            for file_id, language, text in zip(ids, languages, texts):
-                text = (text or "").replace("\r\n", "\n")
-                raw, masked, plain = (x.split("\n") for x in (text, lexing.blanked(text, language), lexing.blanked(text, language, False)))
-                ends = lexing.indent_ends(raw) if language == "python" else lexing.block_ends(masked)
-                n = len(raw)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([file_id] * n), pa.array([language] * n, pa.string()), pa.array(range(1, n + 1), pa.int32()), pa.array(raw), pa.array(masked), pa.array(plain), pa.array(ends, pa.int32())],
-                    names=["file_id", "language", "line", "raw", "masked", "plain", "block_end"],
-                )
+        kinds = to_arrow_schema(schema)
+        for whole in batches:
+            for from_ in range(0, whole.num_rows, 256):
+                out: list[list] = [[] for _ in kinds]
+                for file_id, language, text in zip(*(c.to_pylist() for c in whole.slice(from_, 256).columns)):
+                    text = (text or "").replace("\r\n", "\n")
+                    raw, masked, plain = (x.split("\n") for x in (text, lexing.blanked(text, language), lexing.blanked(text, language, False)))
+                    n = len(raw)
+                    of_file = ([file_id] * n, [language] * n, range(1, n + 1), raw, masked, plain, lexing.indent_ends(raw) if language == "python" else lexing.block_ends(masked),
+                               [lexing.line_facts(x) if x.strip() else None for x in masked], [lexing.given(x) for x in raw], [lexing.identifiers(x.strip()) for x in raw], [lexing.file_references(plain, language), *[None] * (n - 1)])
+                    for column, values in zip(out, of_file):
+                        column.extend(values)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(out, kinds)], schema=kinds)
 
-    return with_ids(files).select("file_id", "language", "text").mapInArrow(run, "file_id string, language string, line int, raw string, masked string, plain string, block_end int")
+    schema = StructType.fromDDL(LINE)
+    return with_ids(files).select("file_id", "language", "text").mapInArrow(run, schema)
 
 
 def signals(lines: DataFrame) -> DataFrame:
@@ -184,31 +197,21 @@ def scopes(files: DataFrame, lines: DataFrame, functions: DataFrame, signals: Da
     loose = entries.where("function_line is null").groupBy("file_id").agg(F.min_by("title", "line").alias("entry_title"))
     rest = free.join(wanted, "file_id", "left_semi").groupBy("file_id", "language").agg(F.min("line").alias("line"), F.max("line").alias("end_line")).join(info, "file_id").join(loose, "file_id", "left")
     rest = rest.select(C.short_hash(F.concat_ws(":", C.slashed("relative_path"), "language", F.lit("global-scope"))).alias("scope_id"), "file_id", F.lit("global scope").alias("name"), F.array().cast("array<string>").alias("parameters"), "line", "end_line", "language", "absolute_path", "relative_path", F.col("entry_title").isNotNull().alias("is_entry"), "entry_title", F.lit(True).alias("is_global"))
-    return fn.unionByName(rest).join(references(lines), "file_id", "left").withColumn("references", F.coalesce("references", F.array().cast("array<struct<local:string,target:string,kind:string>>")))
+    return fn.unionByName(rest).join(references(lines), "file_id", "left").withColumn("references", F.coalesce("references", F.array().cast(REFERENCES)))
 
 
 def references(lines: DataFrame) -> DataFrame:
     """file_id, references: the imports and typed receivers of each file, in order."""
-    from auditweave.functions import lexing
-
-    plain = lines.groupBy("file_id", "language").agg(F.transform(F.array_sort(F.collect_list(F.struct("line", "plain"))), lambda x: x.plain).alias("plain"))
-    found = F.udf(lexing.file_references, "array<struct<local:string,target:string,kind:string>>", useArrow=True)
-    return plain.select("file_id", found("plain", "language").alias("references"))
+    return lines.where("line = 1").select("file_id", "references")
 
 
 def operations(scopes: DataFrame, lines: DataFrame, functions: DataFrame, signals: DataFrame) -> DataFrame:
     """The events of every scope: scope_id, line, kind, ord (their order on a line), nth, code, variables, target, label, category, kinds, guards, call."""
-    from auditweave.functions import lexing
-
-    facts = F.udf(lexing.line_facts, FACTS, useArrow=True)
-    names = F.udf(lexing.identifiers, "array<string>", useArrow=True)
-    assigns = F.udf(lambda code: (lambda a: {"target": a[0], "assigned": a[1]} if a else None)(lexing.assignment(code)), "struct<target:string,assigned:array<string>>", useArrow=True)
-
     own = scopes.where("not is_global").select("scope_id", "file_id", F.col("line").alias("fn_line"))
     inside = function_signals(functions, signals, lines).join(own, ["file_id", "fn_line"]).select("scope_id", "file_id", "line", "ordinal", "kind", "label", "category", "code")
     outside = uncovered(signals, functions).join(scopes.where("is_global").select("scope_id", "file_id"), "file_id").select("scope_id", "file_id", "line", "ordinal", "kind", "label", "category", "code")
     seen = inside.union(outside).join(scopes.select("scope_id", F.col("line").alias("scope_line"), "parameters"), "scope_id")
-    seen = seen.join(lines.select("file_id", "line", "raw"), ["file_id", "line"]).withColumn("a", assigns("raw")).withColumn("named", names("code"))
+    seen = seen.join(lines.select("file_id", "line", F.col("given").alias("a"), "named"), ["file_id", "line"])
     held = F.when((F.col("kind") == "source") & F.col("a").isNotNull(), F.array("a.target")).otherwise(F.coalesce("a.assigned", "named"))
     held = F.when((F.col("line") <= F.col("scope_line")) & (F.size("parameters") > 0), F.array_distinct(F.concat("parameters", held))).otherwise(held)
     guards = F.when(F.col("kind").isin("auth", "sanitizer"), C.guard_capabilities("kind", "label", "code")).otherwise(F.array().cast("array<string>"))
@@ -219,7 +222,7 @@ def operations(scopes: DataFrame, lines: DataFrame, functions: DataFrame, signal
 
     spans = scopes.where("not is_global").select("scope_id", "file_id", "name", F.col("line").alias("scope_line"), F.explode(F.sequence("line", F.greatest("line", "end_line"))).alias("line"))
     free = uncovered(lines.select("file_id", "line"), functions).join(scopes.where("is_global").select("scope_id", "file_id", "name", F.col("line").alias("scope_line")), "file_id")
-    told = lines.where(F.trim("masked") != "").select("file_id", "line", F.trim("raw").alias("code"), facts("masked").alias("f"))
+    told = lines.where(F.trim("masked") != "").select("file_id", "line", F.trim("raw").alias("code"), F.col("facts").alias("f"))
     told = spans.unionByName(free.select(spans.columns)).join(told, ["file_id", "line"])
     # a header's own name on its line is its declaration, not a call
     real = F.filter("f.calls", lambda c: ~((F.col("line") == F.col("scope_line")) & (c.callee == F.col("name"))))

@@ -178,7 +178,7 @@ def q_potential_ranks(spark, sf_dir):
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     edges = s.select(name("n", "s_nationkey").alias("node"), name("s", "s_suppkey").alias("neighbour")).union(n.select(name("r", "n_regionkey"), name("n", "n_nationkey")))
     ranks = s.select(name("s", "s_suppkey").alias("node"), (F.col("s_suppkey") % 7).cast("bigint").alias("rank")).union(n.select(name("n", "n_nationkey"), F.lit(0))).union(r.select(name("r", "r_regionkey"), F.lit(0)))
-    return calls.propagate_max(ranks, edges, "node", "neighbour", 4)
+    return calls.propagate_max(ranks, edges, "node", "neighbour", stored, 4)
 
 
 @query("with recursive hit(file) as (select 3::bigint union select p_partkey from part join hit on p_partkey // 2 = hit.file and p_partkey > 0 and p_partkey <> 3) select file from hit")

@@ -101,8 +101,8 @@ def recursive_paths(fns, state, depth, most):
 
 
 def test_frontier_equals_recursion(sample):
-    facts = flow.return_facts(sample.scopes, sample.operations, sample.resolved, sample.keep)
-    fns = {r["scope_id"]: r.asDict(True) for r in flow.flow_functions(sample.scopes, sample.operations, sample.resolved, facts).collect()}
+    found = flow.functions_with_facts(sample.scopes, sample.operations, sample.resolved, sample.keep)
+    fns = {r["scope_id"]: r.asDict(True) for r in found.collect()}
     want = 0
     for r in flow.roots(sample.scopes, sample.operations).collect():
         state = {"root": 0, "trail": [], "scope_id": r.scope_id, "tainted": r.names, "start_line": r.at, "steps": [r.step.asDict(True)], "visited": [flow.visit_key(r.scope_id, r.names)]}
