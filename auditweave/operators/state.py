@@ -36,6 +36,18 @@ def set_status(statuses: DataFrame, item_id: str, status: str, now: str, legacy_
     return left.unionByName(row.select(left.columns))
 
 
+def focus(items: DataFrame, statuses: DataFrame, item_id: str, now: str) -> DataFrame:
+    """statuses after an item (item_id, legacy_ids) was opened: what was unreviewed is in review now."""
+    row = with_status(items.where(F.col("item_id") == item_id), statuses).first()
+    return set_status(statuses, item_id, "in_review", now, row.legacy_ids) if row and row.status == "unreviewed" else statuses
+
+
+def set_status_at(targets: DataFrame, statuses: DataFrame, absolute_path: str, line: int, status: str, now: str) -> DataFrame:
+    """statuses after the innermost target at a place got one; as they were if none is there."""
+    row = innermost(targets, absolute_path, line).first()
+    return set_status(statuses, row.target_id, status, now, [row.legacy_id]) if row else statuses
+
+
 def with_status(items: DataFrame, statuses: DataFrame) -> DataFrame:
     """items (item_id, legacy_ids) with their status, by id or the first legacy id that has one; else unreviewed."""
     known = statuses.select("item_id", F.col("status").alias("_own"))
@@ -107,6 +119,37 @@ def affected_files(changed: DataFrame, owns: DataFrame, depends: DataFrame, keep
         front = owns.join(new, "file").select("function_id").distinct()
 
 
+def update_cache(records: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cache records after files were analysed, and which functions changed.
+
+    Both hold file, version, functions (array<struct<id, fingerprint>>) and dependencies (function ids). A file whose version
+    is known already is a hit: its record stays and nothing changed. changes: file, function_id; affected_files() goes on
+    from there.
+    """
+    known = records.select("file", "version").withColumn("hit", F.lit(True))
+    new = incoming.join(known, ["file", "version"], "left_anti")
+    each = lambda df: df.select("file", F.explode("functions").alias("f")).select("file", "f.id", "f.fingerprint")
+    before = each(records.join(new.select("file"), "file", "left_semi")).withColumnRenamed("fingerprint", "_before").withColumn("_old", F.lit(True))
+    both = each(new).withColumn("_new", F.lit(True)).join(before, ["file", "id"], "full_outer")
+    changed = both.where("_new is null or _old is null or not (fingerprint <=> _before)").select("file", F.col("id").alias("function_id"))
+    return upsert(records, new, ["file"]), changed
+
+
+def remove_cached(records: DataFrame, file: str) -> tuple[DataFrame, DataFrame]:
+    """Cache records without a file, and its functions as changes."""
+    gone = records.where(F.col("file") == file)
+    return records.where(F.col("file") != file), gone.select("file", F.explode("functions").alias("f")).select("file", F.col("f.id").alias("function_id"))
+
+
+def cache_tables(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """owns and depends of affected_files()."""
+    return records.select("file", F.explode("functions").alias("f")).select("file", F.col("f.id").alias("function_id")), records.select("file", F.explode("dependencies").alias("function_id"))
+
+
+def cache_snapshot(records: DataFrame) -> DataFrame:
+    return records.select(F.col("file").alias("key"), "version", F.size("functions").alias("functions"), F.size(F.array_distinct("dependencies")).alias("dependencies"))
+
+
 def innermost(rows: DataFrame, absolute_path: str, line: int) -> DataFrame:
     """The smallest item (line, end_line) that holds a place."""
     found = rows.where((F.lower("absolute_path") == absolute_path.lower()) & (F.col("line") <= line) & (F.col("end_line") >= line))

@@ -80,6 +80,10 @@ _GO = r"^\s*func\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)\s*\(([^)]*)\)"
 HEADERS = {"java": [_JAVA], "php": [_PHP], "javascript": [_JS_DECLARED, _JS_ARROW, _JS_INLINE, _JS_METHOD], "typescript": [_JS_DECLARED, _JS_ARROW, _JS_INLINE, _JS_METHOD], "python": [_PYTHON], "csharp": [_CSHARP], "go": [_GO]}
 
 
+#: Fixed value: parameter types of Go request handlers.
+GO_HANDLER = r"\b(?:http\.ResponseWriter|\*http\.Request|\*gin\.Context|echo\.Context)\b"
+
+
 def functions(lines: DataFrame) -> DataFrame:
     """file_id, language, name, parameters (raw), line, end_line."""
     header = None
@@ -164,12 +168,16 @@ def entries(lines: DataFrame, functions: DataFrame, signals: DataFrame, files: D
         F.when(is_direct, get("plain", direct, 1)).otherwise(get("plain", router, 2)).alias("route"), "line", F.when(is_direct, get("plain", direct, 2)).otherwise(get("plain", router, 3)).alias("handler"))
     handlers = functions.groupBy("file_id", F.col("name").alias("handler")).agg(F.min_by(F.struct(F.col("line").alias("function_line"), "end_line"), "line").alias("f"))
     routed = named.join(handlers, ["file_id", "handler"], "left").select("file_id", "method", "route", F.coalesce("f.function_line", "line").alias("line"), F.coalesce("f.end_line", "f.function_line", "line").alias("end_line"), "f.function_line", F.when(F.col("f").isNotNull(), F.col("handler")).alias("function_name"))
-    typed = functions.where(F.col("language").eqNullSafe("go") & F.rlike("parameters", F.lit(r"\b(?:http\.ResponseWriter|gin\.Context|echo\.Context)\b|\*http\.Request\b|\*gin\.Context\b")))
+    typed = functions.where(F.col("language").eqNullSafe("go") & F.rlike("parameters", F.lit(GO_HANDLER)))
     typed = typed.join(routed.where("function_line is not null").select("file_id", F.col("function_line").alias("line")).distinct(), ["file_id", "line"], "left_anti")
     typed = typed.select("file_id", F.lit("REQUEST").alias("method"), F.col("name").alias("route"), "line", "end_line", F.col("line").alias("function_line"), F.col("name").alias("function_name"))
 
     every = headed.unionByName(declared).unionByName(script).unionByName(routed).unionByName(typed)
-    return every.dropDuplicates(["file_id", "method", "route", "line"]).withColumn("title", F.concat_ws(" ", "method", "route"))
+    # scripts can name one entry twice on a line: the first that ends stays
+    script_files = with_ids(files).where(F.col("language").isin("javascript", "typescript")).select("file_id")
+    key = ["file_id", "method", "route", "line"]
+    once = every.join(script_files, "file_id", "left_semi").groupBy(*key).agg(F.min(F.struct("end_line", "function_line", "function_name")).alias("f")).select(*key, "f.*")
+    return once.unionByName(every.join(script_files, "file_id", "left_anti")).withColumn("title", F.concat_ws(" ", "method", "route"))
 
 
 def _within(rows: DataFrame, functions: DataFrame) -> DataFrame:
@@ -205,6 +213,16 @@ def references(lines: DataFrame) -> DataFrame:
     return lines.where("line = 1").select("file_id", "references")
 
 
+def mentions(lines: DataFrame, signals: DataFrame, identifier: str) -> DataFrame:
+    """file_id, line, column, end_column, code, role, kinds of every mention of an identifier."""
+    from auditweave.functions import lexing
+
+    found = F.udf(lambda masked: [{"column": b, "end_column": c} for _, b, c in lexing.occurrences([masked], identifier)], "array<struct<column:int,end_column:int>>", useArrow=True)
+    kinds = signals.groupBy("file_id", "line").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
+    rows = lines.where(F.contains("masked", F.lit(identifier))).join(kinds, ["file_id", "line"], "left").withColumn("kinds", F.coalesce("kinds", F.array().cast("array<string>")))
+    return rows.select("file_id", "line", F.trim("raw").alias("code"), C.trace_role("raw", identifier, "kinds").alias("role"), "kinds", F.explode(found("masked")).alias("m")).select("file_id", "line", "m.column", "m.end_column", "code", "role", "kinds")
+
+
 def operations(scopes: DataFrame, lines: DataFrame, functions: DataFrame, signals: DataFrame) -> DataFrame:
     """The events of every scope: scope_id, line, kind, ord (their order on a line), nth, code, variables, target, label, category, kinds, guards, call."""
     own = scopes.where("not is_global").select("scope_id", "file_id", F.col("line").alias("fn_line"))

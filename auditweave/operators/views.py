@@ -76,6 +76,25 @@ def evidence_of_target(target: DataFrame, kind: str, note: str, created_at: str)
     return target.select(C.short_hash(F.concat_ws(":", F.lit(created_at), "absolute_path", F.col("line").cast("string"), F.lit(kind), code)).alias("id"), F.lit(kind).alias("type"), F.lit(note).alias("note"), code.alias("code"), "relative_path", "absolute_path", "line", "end_line", F.lit(created_at).alias("created_at"))
 
 
+def evidence_of_selection(files: DataFrame, absolute_path: str, line: int, end_line: int, kind: str, note: str, created_at: str) -> DataFrame:
+    """An evidence row from selected lines of a file, the code trimmed."""
+    if kind not in catalog.EVIDENCE_TYPES:
+        raise ValueError(f"unknown evidence type {kind}")
+    one = files.where(C.slashed("absolute_path") == absolute_path.replace("\\", "/").lower())
+    code = F.trim(F.array_join(F.slice(F.split("text", "\r?\n"), line, end_line - line + 1), "\n"))
+    place = {"line": F.lit(line), "end_line": F.lit(end_line)}
+    return one.select(C.short_hash(F.concat_ws(":", F.lit(created_at), "absolute_path", F.lit(str(line)), F.lit(kind), code)).alias("id"), F.lit(kind).alias("type"), F.lit(note).alias("note"), code.alias("code"), "relative_path", "absolute_path", *(v.alias(k) for k, v in place.items()), F.lit(created_at).alias("created_at"))
+
+
+def of_file(rows: DataFrame, absolute_path: str) -> DataFrame:
+    """The rows of one file, of any table with file_id: lines, signals, functions, entries."""
+    return rows.where(F.col("file_id") == C.short_hash(C.slashed(F.lit(absolute_path))))
+
+
+def signals_at(signals: DataFrame, absolute_path: str, line: int) -> DataFrame:
+    return of_file(signals, absolute_path).where(F.col("line") == line)
+
+
 def needs_rebuild(changed_settings: list[str]) -> bool:
     """Whether changed settings invalidate paths and findings."""
     return any(s.rsplit(".", 1)[-1] in catalog.MODEL_SETTINGS for s in changed_settings)

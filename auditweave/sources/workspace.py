@@ -59,10 +59,36 @@ def scan(spark: SparkSession, roots: dict[str, str], *, most: int = catalog.MAX_
     return files.withColumn("language", C.language_of("relative_path")), {"discovered": len(found), "truncated": len(found) > most}
 
 
+def one(spark: SparkSession, roots: dict[str, str], absolute_path: str, *, largest: int = catalog.MAX_FILE_BYTES) -> DataFrame:
+    """One file from disk as files; no row if it is outside the roots, of no known language, too large or unreadable, so that an index that replaces its rows by these drops it."""
+    path = os.path.normpath(absolute_path)
+    for name, root in roots.items():
+        relative = os.path.relpath(path, root).replace(os.sep, "/")
+        if not relative.startswith(".."):
+            try:
+                if os.stat(path).st_size <= largest:
+                    with open(path, encoding="utf-8", errors="replace", newline="") as f:
+                        return buffer(spark, path, f"{name}/{relative}" if len(roots) > 1 else relative, f.read(), largest=largest)
+            except OSError:
+                pass
+    return buffer(spark, path, path, "").limit(0)
+
+
+def sized(files: DataFrame, largest: int = catalog.MAX_FILE_BYTES) -> DataFrame:
+    """The files whose text has at most `largest` bytes."""
+    return files.where(F.octet_length("text") <= largest)
+
+
+def limited(files: DataFrame, most: int = catalog.MAX_FILES) -> tuple[DataFrame, bool]:
+    """The first `most` files by path, and whether there are more."""
+    some = files.orderBy("relative_path").limit(most + 1)
+    return some.orderBy("relative_path").limit(most), some.count() > most
+
+
 def buffer(spark: SparkSession, absolute_path: str, relative_path: str, text: str, *, largest: int = catalog.MAX_FILE_BYTES) -> DataFrame:
     """One text in memory as files; no row if it is too large or of no known language."""
     one = spark.createDataFrame([(absolute_path, relative_path, text)], "absolute_path string, relative_path string, text string")
-    return one.withColumn("language", C.language_of("relative_path")).where(F.col("language").isNotNull() & (F.octet_length("text") <= largest))
+    return sized(one.withColumn("language", C.language_of("relative_path")).where("language is not null"), largest)
 
 
 def resolve(roots: dict[str, str], relative_path: str) -> str | None:

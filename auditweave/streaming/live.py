@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditweave import catalog
 from auditweave.storage import stored
 
+BUCKETS = 64
+LOG = "batch long, bucket int, path string"
 CHANGE = "absolute_path string, relative_path string, language string, text string, version long, op string, ts timestamp"
 
 
@@ -32,24 +36,49 @@ def latest(rows: DataFrame) -> DataFrame:
 
 
 class LiveIndex:
-    """The current corpus, replaced batch by batch: stale versions are ignored, deletes remove, a failed batch changes nothing."""
-
-    def __init__(self, spark: SparkSession, rebuild: Callable[[DataFrame], object] | None = None):
-        self.files = spark.createDataFrame([], CHANGE)
-        self.rebuild, self.batch = rebuild, -1
+    """The current corpus, replaced batch by batch: stale versions are ignored, deletes remove, a failed batch changes nothing.
+
+    Files lie in BUCKETS buckets by path. A batch reads and writes only the buckets it touches, as a new version beside the
+    old one, and then commits by one append to a log (batch, bucket, path). An index opened on the same folder, which all
+    executors share, goes on where the log ends, so a restart loses nothing and a batch that comes again is passed over.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, rebuild: Callable[[DataFrame], object] | None = None):
+        self.spark, self.folder, self.rebuild = spark, folder.rstrip("/"), rebuild
+        try:
+            rows = spark.read.schema(LOG).parquet(f"{self.folder}/log").groupBy("bucket").agg(F.max_by("path", "batch").alias("path"), F.max("batch").alias("batch")).collect()
+        except AnalysisException:  # no batch yet
+            rows = []
+        self.parts, self.batch = {r.bucket: r.path for r in rows}, max((r.batch for r in rows), default=-1)
+
+    def read(self, parts: dict[int, str]) -> DataFrame:
+        by_path: dict[str, list[int]] = {}
+        for bucket, path in parts.items():
+            by_path.setdefault(path, []).append(bucket)
+        out = self.spark.createDataFrame([], f"{CHANGE}, bucket int")
+        for path, buckets in sorted(by_path.items()):
+            out = out.unionByName(self.spark.read.schema(f"{CHANGE}, bucket int").parquet(path).where(F.col("bucket").isin(buckets)))
+        return out
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
         if batch_id <= self.batch:
             return  # a batch that is tried again
-        new = latest(batch.select([c.split()[0] for c in CHANGE.split(", ")]))
-        merged = stored(latest(self.files.unionByName(new)), "live-files")
+        new = batch.select([c.split()[0] for c in CHANGE.split(", ")]).withColumn("bucket", F.pmod(F.xxhash64(F.lower("absolute_path")), F.lit(BUCKETS)).cast("int"))
+        new = stored(latest(new), "live-changes")
+        touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # BUCKETS at most
+        path = f"{self.folder}/files-{batch_id}-{uuid.uuid4().hex}"
+        held = self.read({b: p for b, p in self.parts.items() if b in touched})
+        latest(held.unionByName(new)).write.partitionBy("bucket").parquet(path)
+        parts = self.parts | dict.fromkeys(touched, path)
         if self.rebuild:
-            self.rebuild(merged.where("op <> 'delete'"))  # raises before anything is replaced
-        self.files, self.batch = merged, batch_id
+            self.rebuild(self.read(parts).where("op <> 'delete'").drop("bucket"))  # raises before anything is committed
+        if touched:
+            self.spark.createDataFrame([(batch_id, b, path) for b in touched], LOG).coalesce(1).write.mode("append").parquet(f"{self.folder}/log")
+        self.parts, self.batch = parts, batch_id
 
     @property
     def current(self) -> DataFrame:
-        return self.files.where("op <> 'delete'")
+        return self.read(self.parts).where("op <> 'delete'").drop("bucket")
 
     def start(self, stream: DataFrame, checkpoint: str):
         return stream.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

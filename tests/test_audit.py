@@ -108,3 +108,25 @@ def test_frontier_equals_recursion(sample):
         state = {"root": 0, "trail": [], "scope_id": r.scope_id, "tainted": r.names, "start_line": r.at, "steps": [r.step.asDict(True)], "visited": [flow.visit_key(r.scope_id, r.names)]}
         want += len(recursive_paths(fns, state, 0, 6)) if r.scope_id in fns else 0
     assert want >= sample.paths.count() > 0
+
+
+def test_a_language_can_be_added(spark):
+    from auditweave import frontends
+    from auditweave.functions import columns as C
+    from auditweave.operators import views
+
+    frontends.register("ruby", (".rb",), [("source", "Request data", r"\bparams\[", None, False), ("sink", "Command", r"\bsystem\s*\(", "command", False)], [r"^\s*def\s+([a-z_]\w*)\s*\(([^)]*)\)"])
+    try:
+        files = spark.createDataFrame([("/ws/a.rb", "a.rb", "def run(x) {\n  y = params[x];\n  system(y);\n}\n")], "absolute_path string, relative_path string, text string")
+        a = Audit(files.withColumn("language", C.language_of("relative_path")))
+        assert [r.name for r in a.functions.collect()] == ["run"] and {r.category for r in a.signals.collect()} == {"source", "command"}
+        assert [r.category for r in a.paths.collect()] == ["command"] and "ruby" in frontends.languages()
+        assert [r.kind for r in views.signals_at(a.signals, "/ws/a.rb", 3).collect()] == ["sink"] and views.of_file(a.lines, "/ws/b.rb").isEmpty()
+        note = views.evidence_of_selection(files, "/WS/a.rb", 2, 3, "Sink", "see", "2026-01-01").first()
+        assert note.code == "y = params[x];\n  system(y);" and (note.line, note.end_line) == (2, 3)
+    finally:
+        frontends.unregister("ruby")
+    with pytest.raises(TypeError):
+        frontends.register("", (), [], [])
+    with pytest.raises(ValueError):
+        frontends.register("x", (), [("odd", "", "a", None, False)], [])

@@ -51,13 +51,16 @@ def test_changes_and_invalidation(spark):
 
 def test_sessions(spark):
     evidence = spark.createDataFrame([("n1", "Observation", "note", "code", "a.js", "/ws/a.js", 3, 4, "2026-08-01")], "id string, type string, note string, code string, relative_path string, absolute_path string, line int, end_line int, created_at string")
-    text = sessions.export(rows(spark, ("t1", "reviewed", "2026-08-01", None)), evidence, "2026-08-21").first().json
+    text = sessions.export(rows(spark, ("t1", "reviewed", "2026-08-01", "2026-08-05")), evidence.withColumn("audit_item_id", F.lit("item")), "2026-08-21").first().json
     payload = json.loads(text)
     assert "absolutePath" not in text and payload["statuses"]["t1"]["status"] == "reviewed"
     payload["evidence"] += [{"id": "n2", "relativePath": "../../etc/passwd"}, {"id": "n3", "relativePath": "b.js", "type": "odd", "line": -1}]
     payload["statuses"]["t2"] = {"status": "odd"}
     statuses, notes = sessions.parse(spark, json.dumps(payload), {"ws": "/ws"})
     assert [r.item_id for r in statuses.collect()] == ["t1"]
+    back = json.loads(sessions.export(statuses, notes, "2026-08-21").first().json)
+    assert back["statuses"]["t1"] == payload["statuses"]["t1"] and {n["id"]: n.get("auditItemId") for n in back["evidence"]}["n1"] == "item"
+    assert {n["id"]: n["createdAt"] for n in back["evidence"]} == {"n1": "2026-08-01", "n3": "1970-01-01T00:00:00.000Z"}
     got = {r.id: r for r in notes.collect()}
     assert set(got) == {"n1", "n3"} and got["n3"].type == "Observation" and (got["n3"].line, got["n3"].end_line) == (1, 1)
     for bad in ('{"version": 99}', "nonsense"):
@@ -74,6 +77,8 @@ def test_workspace_scan(spark, tmp_path):
     assert set(got) == {"a.py", "__init__.py", "big.js"} and got["big.js"].error == "too large" and got["a.py"].language == "python"
     assert counts == {"discovered": 3, "truncated": False}
     assert workspace.scan(spark, {"ws": str(tmp_path)}, most=2)[1]["truncated"]
+    assert workspace.one(spark, {"ws": str(tmp_path)}, str(tmp_path / "a.py")).first().text == "x = 1"
+    assert all(workspace.one(spark, {"ws": str(tmp_path)}, str(p), largest=40).isEmpty() for p in (tmp_path / "big.js", tmp_path / "none.js", tmp_path / "c.md", "/etc/passwd"))
     assert workspace.resolve({"a": "/x", "b": "/y"}, "b/z.js") == "/y/z.js" and workspace.resolve({"a": "/x", "b": "/y"}, "z.js") is None and workspace.resolve({"a": "/x"}, "../z") is None
 
 
@@ -82,17 +87,46 @@ def test_live_index(spark, tmp_path):
     folder.mkdir()
     change = lambda p, v, op, t: json.dumps({"absolute_path": p, "relative_path": p, "language": "python", "text": f"v{v}", "version": v, "op": op, "ts": t}) + "\n"
     (folder / "1.json").write_text(change("/a.py", 2, "save", "2026-01-01T00:00:02Z") + change("/a.py", 1, "save", "2026-01-01T00:00:01Z") + change("/b.py", 1, "create", "2026-01-01T00:00:01Z"))
-    index = live.LiveIndex(spark)
+    index = live.LiveIndex(spark, str(tmp_path / "index"))
     index.start(live.changes(spark, str(folder)), str(tmp_path / "cp")).awaitTermination()
     assert {(r.absolute_path, r.text) for r in index.current.collect()} == {("/a.py", "v2"), ("/b.py", "v1")}
-    (folder / "2.json").write_text(change("/b.py", 2, "delete", "2026-01-01T00:01:00Z"))
+    (folder / "2.json").write_text(change("/b.py", 2, "delete", "2026-01-01T00:01:00Z") + change("/c.py", 1, "create", "2026-01-01T00:01:00Z"))
+    index = live.LiveIndex(spark, str(tmp_path / "index"))  # a restart
+    assert index.batch == 0
     index.start(live.changes(spark, str(folder)), str(tmp_path / "cp")).awaitTermination()
-    assert {r.absolute_path for r in index.current.collect()} == {"/a.py"}
+    assert {r.absolute_path for r in index.current.collect()} == {"/a.py", "/c.py"}
+    index.apply(index.read(index.parts).limit(0), index.batch)  # comes again
+    assert {r.absolute_path for r in live.LiveIndex(spark, str(tmp_path / "index")).current.collect()} == {"/a.py", "/c.py"}
 
     def fail(files):
         raise RuntimeError("no")
 
-    index.rebuild, held = fail, index.files
+    index.rebuild, held = fail, dict(index.parts)
     with pytest.raises(RuntimeError):
-        index.apply(index.files, index.batch + 1)
-    assert index.files is held
+        index.apply(index.read(index.parts).drop("bucket"), index.batch + 1)
+    assert index.parts == held and live.LiveIndex(spark, str(tmp_path / "index")).parts == held
+
+
+def test_cache_of_files(spark):
+    record = "file string, version int, functions array<struct<id:string,fingerprint:int>>, dependencies array<string>"
+    old = spark.createDataFrame([("service", 1, [("s", 1), ("t", 1)], []), ("controller", 1, [("c", 1)], ["s"]), ("routes", 1, [("r", 1)], ["c", "c"])], record)
+    hit, changed = state.update_cache(old, old.where("file = 'service'"))
+    assert changed.isEmpty() and hit.count() == 3
+    new = spark.createDataFrame([("service", 2, [("s", 2), ("t", 1)], [])], record)
+    records, changed = state.update_cache(old, new)
+    assert [tuple(r) for r in changed.collect()] == [("service", "s")]
+    assert {r.file for r in state.affected_files(changed, *state.cache_tables(records), stored).collect()} == {"service", "controller", "routes"}
+    left, gone = state.remove_cached(records, "controller")
+    assert {r.function_id for r in gone.collect()} == {"c"} and left.count() == 2
+    assert {tuple(r) for r in state.cache_snapshot(records).collect()} == {("service", 2, 2, 0), ("controller", 1, 1, 1), ("routes", 1, 1, 1)}
+
+
+def test_focus_and_status_at_a_place(spark):
+    statuses = rows(spark, ("a", "reviewed", "2026-08-01", None))
+    items = spark.createDataFrame([("a", []), ("b", [])], "item_id string, legacy_ids array<string>")
+    opened = {r.item_id: r.status for r in state.focus(items, statuses, "b", "2026-08-02").collect()}
+    assert opened == {"a": "reviewed", "b": "in_review"} and state.focus(items, statuses, "a", "2026-08-02").collect() == statuses.collect()
+    targets = spark.createDataFrame([("t1", "l1", "/ws/a.js", 1, 20), ("t2", "l2", "/ws/a.js", 5, 9)], "target_id string, legacy_id string, absolute_path string, line int, end_line int")
+    at = state.set_status_at(targets, statuses, "/WS/a.js", 6, "blocked", "2026-08-02")
+    assert {(r.item_id, r.status) for r in at.collect()} == {("a", "reviewed"), ("t2", "blocked")}
+    assert state.set_status_at(targets, statuses, "/ws/a.js", 60, "blocked", "2026-08-02").count() == 1
