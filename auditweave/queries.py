@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from auditweave import catalog
 from auditweave.functions import columns as C
-from auditweave.operators import calls, findings, review, state
+from auditweave.operators import calls, findings, flow, review, state, structure
 from auditweave.plans.audit import Audit
+from auditweave.sources import sessions, workspace
 from auditweave.storage import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,15 +59,29 @@ def audit(spark: SparkSession, sf_dir: str) -> Audit:
     return _AUDITS[key]
 
 
+def as_files(rows: DataFrame, path, language, text) -> DataFrame:
+    """Templated source files below /ws."""
+    named = rows.withColumns({"relative_path": path, "language": language, "text": text})
+    return named.withColumn("absolute_path", F.concat(F.lit("/ws/"), "relative_path"))
+
+
+def with_path(rows: DataFrame, files: DataFrame) -> DataFrame:
+    return rows.join(structure.with_ids(files).select("file_id", "relative_path"), "file_id")
+
+
+def many(name: str, key: str, suffix: str):
+    return F.concat(F.lit(name), F.col(key).cast("string"), F.lit(suffix))
+
+
 _CASES = "(values " + ", ".join(f"('{p}', '{c}', '{label}', {rank}, '{rule}', '{sev}', {missing})" for p, (_, c, label, rank, rule, sev, missing) in SINKS.items()) + ") s(priority, category, label, rank, rule_id, severity, missing)"
 _FILES = f"files as (select o_orderkey, 'route-' || o_orderkey || '.js' as path, o_orderstatus = 'O' as checked, s.* from orders join {_CASES} on s.priority = o_orderpriority)"
 _EXPLORED = f"with {_FILES}, explored as (select *, row_number() over (order by rank desc, path) as root from files qualify root <= least(10000, greatest(2000, 20 * greatest(400, 2 * (select count(*) from orders)))))"
 
 
-@query("select doc_id, unnest(range(1, len(p) + 1))::bigint as line, unnest(p) as text from (select doc_id, string_split_regex(text, '\\r?\\n') as p from documents)")
+@query("select 'd' || doc_id || '.php' as relative_path, unnest(range(1, len(p) + 1))::bigint as line, unnest(p) as text from (select doc_id, string_split_regex(coalesce(text, ''), '\\r?\\n') as p from documents)")
 def q_lines_split(spark, sf_dir):
-    split = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\r?\n")).alias("n", "text"))
-    return split.select("doc_id", (F.col("n") + 1).cast("bigint").alias("line"), "text")
+    files = as_files(table(spark, sf_dir, "documents"), many("d", "doc_id", ".php"), F.lit("php"), F.col("text"))
+    return with_path(structure.lines(files), files).select("relative_path", F.col("line").cast("bigint").alias("line"), F.col("raw").alias("text"))
 
 
 @query(f"""with {_FILES} select path as relative_path, 2::bigint as line, 'source' as kind, 'HTTP request data' as label, 'source' as category from files
@@ -78,72 +93,103 @@ def q_signal_scan(spark, sf_dir):
     return a.signals.join(paths, "file_id").select("relative_path", F.col("line").cast("bigint").alias("line"), "kind", "label", "category")
 
 
-_TEXT_PATTERNS = {"secret": r"token\s*=", "email": r"[a-z0-9.]+@[a-z0-9.]+\.[a-z]+", "license": "License"}
+#: What the template of many languages writes, by customer key modulo 5: extension, language, lines, and the signals it holds (line, kind, label, category).
+SPEECH = [
+    (".java", "java", ['String a = request.getParameter("a");', "// new ProcessBuilder(a)", 'String s = "new File(";', "new File(a);"], [(1, "source", "HTTP parameter", "source"), (4, "sink", "Filesystem operation", "file")]),
+    (".php", "php", ["<?php", "$a = $_GET['a'];", "# system($a);", "system(escapeshellarg($a));"], [(2, "source", "HTTP request data", "source"), (4, "sink", "Operating-system command", "command"), (4, "sanitizer", "Shell argument escaping", "sanitizer")]),
+    (".py", "python", ["a = request.args['a']", "# eval(a)", "s = 'pickle.loads('", "pickle.loads(a)"], [(1, "source", "HTTP request data", "source"), (4, "sink", "Object deserialization", "deserialization")]),
+    (".cs", "csharp", ['var a = Request.Query["a"];', "/* Process.Start(a); */", "Process.Start(a);", "File.Delete(a);"], [(1, "source", "HTTP request data", "source"), (3, "sink", "Operating-system command", "command"), (4, "sink", "Filesystem operation", "file")]),
+    (".go", "go", ['a := r.FormValue("a")', "// http.Get(a)", "s := `http.Get(`", "http.Get(a)"], [(1, "source", "HTTP request data", "source"), (4, "sink", "Outbound network request", "network")]),
+]
+_SPOKEN = "(values " + ", ".join(f"({k}, '{x[0]}', {n}, '{kind}', '{label}', '{category}')" for k, x in enumerate(SPEECH) for n, kind, label, category in x[3]) + ") v(k, ext, line, kind, label, category)"
+
+
+def pick(values: list, number):
+    return F.element_at(F.array(*map(F.lit, values)), (number + 1).cast("int"))
 
 
-@query(" union all ".join(f"select doc_id, '{k}' as kind from documents where regexp_matches(text, '{p}')" for k, p in _TEXT_PATTERNS.items()))
+@query(f"select 'c' || c_custkey || ext as relative_path, line::bigint as line, kind, label, category from customer join {_SPOKEN} on c_custkey % 5 = k")
 def q_text_pattern_scan(spark, sf_dir):
-    hits = F.array_compact(F.array(*(F.when(F.rlike("text", F.lit(p)), F.lit(k)) for k, p in _TEXT_PATTERNS.items())))
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(hits).alias("kind"))
+    k = F.col("c_custkey") % 5
+    path = F.concat(F.lit("c"), F.col("c_custkey").cast("string"), pick([x[0] for x in SPEECH], k))
+    files = as_files(table(spark, sf_dir, "customer"), path, C.language_of(path), pick(["\n".join(x[2]) for x in SPEECH], k))
+    return with_path(structure.signals(structure.lines(files)), files).select("relative_path", F.col("line").cast("bigint").alias("line"), "kind", "label", "category")
 
 
-@query("select page_id, length(t)::bigint as n_chars, sha1(t) as digest from (select page_id, regexp_replace(html, '(?s)<script.*?</script>|<!--.*?-->', '', 'g') as t from pages)")
+@query("""select 'm' || c_custkey || '.js' as relative_path, 'x = ' || repeat(' ', length(c_name) + 2) || '; ' || repeat(' ', length(c_name) + 3) as masked,
+'x = "' || c_name || '"; ' || repeat(' ', length(c_name) + 3) as plain from customer""")
 def q_html_mask(spark, sf_dir):
-    bare = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("html", "(?s)<script.*?</script>|<!--.*?-->", "").alias("t"))
-    return bare.select("page_id", F.length("t").cast("bigint").alias("n_chars"), F.sha1(F.col("t").cast("binary")).alias("digest"))
+    text = F.concat(F.lit('x = "'), F.col("c_name"), F.lit('"; // '), F.col("c_name"), F.lit("\ny = `a\nb`; /* c\n"), F.col("c_name"), F.lit(" */ z"))
+    files = as_files(table(spark, sf_dir, "customer"), many("m", "c_custkey", ".js"), F.lit("javascript"), text)
+    masked = with_path(structure.lines(files), files)
+    return masked.where("line = 1").select("relative_path", "masked", "plain")
 
 
-@query("select lang as language, count(*)::bigint as files, sum(length(text))::bigint as chars from documents group by lang")
+_EXTENSIONS = [".java", ".PHTML", ".mjs", ".tsx", ".py", ".cs", ".go", ".md", ""]
+
+
+@query("select case page_id % 9 when 0 then 'java' when 1 then 'php' when 2 then 'javascript' when 3 then 'typescript' when 4 then 'python' when 5 then 'csharp' when 6 then 'go' end as language, count(*)::bigint as files, sum(length(html))::bigint as chars from pages group by 1")
 def q_language_route(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("language")).agg(F.count("*").alias("files"), F.sum(F.length("text")).cast("bigint").alias("chars"))
+    pages = table(spark, sf_dir, "pages")
+    path = F.concat(F.lit("a.b/p"), F.col("page_id").cast("string"), pick(_EXTENSIONS, F.col("page_id") % 9))
+    return pages.groupBy(C.language_of(path).alias("language")).agg(F.count("*").alias("files"), F.sum(F.length("html")).cast("bigint").alias("chars"))
 
 
-@query("select count(*) filter (n_chars <= 2000)::bigint as kept, count(*) filter (n_chars > 2000)::bigint as skipped from documents")
+@query("select doc_id from documents where strlen(text) <= 2000")
 def q_size_filter(spark, sf_dir):
-    return table(spark, sf_dir, "documents").agg(F.count_if(F.col("n_chars") <= 2000).alias("kept"), F.count_if(F.col("n_chars") > 2000).alias("skipped"))
+    return workspace.sized(table(spark, sf_dir, "documents"), 2000).select("doc_id")
 
 
-@query(f"select least(n, {catalog.MAX_FILES + 1})::bigint as discovered, least(n, {catalog.MAX_FILES})::bigint as kept, n > {catalog.MAX_FILES} as truncated from (select count(*) as n from documents)")
+@query("select relative_path, (select count(*) > 300 from documents) as truncated from (select 'd' || doc_id as relative_path from documents) order by relative_path limit 300")
 def q_limit_truncation(spark, sf_dir):
-    found = table(spark, sf_dir, "documents").select("doc_id").limit(catalog.MAX_FILES + 1).agg(F.count("*").alias("discovered"))  # the limit is the feature
-    return found.select("discovered", F.least("discovered", F.lit(catalog.MAX_FILES)).cast("bigint").alias("kept"), (F.col("discovered") > catalog.MAX_FILES).alias("truncated"))
+    kept, truncated = workspace.limited(table(spark, sf_dir, "documents").select(many("d", "doc_id", "").alias("relative_path")), 300)  # the limit is the feature
+    return kept.select("relative_path", F.lit(truncated).alias("truncated"))
+
+
+def nested_files(orders: DataFrame) -> DataFrame:
+    """A function around another one, annotations above, and a source before, in both, in one or after them, by key modulo 4."""
+    read = "const v = req.query.v;\n"
+    parts = [F.when(F.col("o_orderkey") % 4 == k, F.lit(read)).otherwise(F.lit("step;\n")) for k in range(4)]
+    text = F.concat(parts[0], F.lit("function outer(a) {\n"), parts[1], F.lit("function inner(b) {\n"), parts[2], F.lit("}\n}\n"), parts[3])
+    return as_files(orders, many("n", "o_orderkey", ".js"), F.lit("javascript"), text)
 
 
-@query("""select c.event_id, arg_max(v.event_id, (v.ts, v.event_id)) as view_id, count(*)::bigint as containing
-from events c join events v on c.user_id = v.user_id and v.event_type = 'view' and c.ts between v.ts and v.ts + interval 6 hour where c.event_type = 'click' group by c.event_id""")
+@query("""select 'n' || o_orderkey || '.js' as relative_path, fn_line::bigint as fn_line, line::bigint as line from orders
+join (values (1, 2, 3), (2, 2, 5), (2, 4, 5)) v(k, fn_line, line) on o_orderkey % 4 = k""")
 def q_interval_containment(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    slot = lambda t: F.floor(F.unix_timestamp(t) / 21_600)
-    views = e.where("event_type = 'view'").select("user_id", F.col("event_id").alias("view_id"), F.col("ts").alias("from"), F.explode(F.array(slot("ts"), slot("ts") + 1)).alias("slot"))
-    clicks = e.where("event_type = 'click'").select("user_id", "event_id", "ts", slot("ts").alias("slot"))
-    inside = clicks.join(views, ["user_id", "slot"]).where(F.col("ts").between(F.col("from"), F.col("from") + F.expr("interval 6 hours")))
-    return inside.groupBy("event_id").agg(F.max_by("view_id", F.struct("from", "view_id")).alias("view_id"), F.count("*").alias("containing"))
+    files = nested_files(table(spark, sf_dir, "orders"))
+    lines = stored(structure.lines(files), "nested-lines")
+    held = structure.function_signals(structure.functions(lines), structure.signals(lines), lines)
+    return with_path(held, files).select("relative_path", F.col("fn_line").cast("bigint").alias("fn_line"), F.col("line").cast("bigint").alias("line"))
 
 
-@query("select o_orderkey, o_custkey from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey and l_returnflag = 'R')")
+@query("select 'n' || o_orderkey || '.js' as relative_path, line::bigint as line from orders join (values (0, 1), (3, 8)) v(k, line) on o_orderkey % 4 = k")
 def q_uncovered_anti(spark, sf_dir):
-    returned = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
-    return table(spark, sf_dir, "orders").join(returned, "o_orderkey", "left_anti").select("o_orderkey", "o_custkey")
+    files = nested_files(table(spark, sf_dir, "orders"))
+    lines = stored(structure.lines(files), "nested-lines")
+    free = structure.uncovered(structure.signals(lines), structure.functions(lines))
+    return with_path(free, files).select("relative_path", F.col("line").cast("bigint").alias("line"))
 
 
-@query("""select a.event_id, count(b.event_id)::bigint as n from events a left join events b on a.user_id = b.user_id and a.event_id <> b.event_id
-and epoch_us(b.ts) - epoch_us(a.ts) between -2100000000 and 2100000000 where a.event_type = 'error' group by a.event_id""")
+@query("""select 'b' || o_orderkey || '.js' as relative_path, 'POST /x' as title, (case when o_orderkey % 50 + 1 <= 35 then 1 else 0 end)::bigint as sources,
+(case when o_orderkey % 50 + 1 <= 35 then 22 else 18 end)::bigint as score from orders""")
 def q_band_join(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    width = 35 * 60 * 1_000_000
-    slot = F.floor(F.col("us") / width)
-    near = e.select("user_id", F.col("event_id").alias("other"), F.col("us").alias("at"), F.explode(F.array(slot - 1, slot, slot + 1)).alias("slot"))
-    errors = e.where("event_type = 'error'").withColumn("slot", slot)
-    pairs = errors.join(near, ["user_id", "slot"], "left")
-    close = (F.col("other") != F.col("event_id")) & (F.abs(F.col("at") - F.col("us")) <= width)
-    return pairs.groupBy("event_id").agg(F.count_if(close).alias("n"))
+    gap = F.repeat(F.lit("\n"), (F.col("o_orderkey") % 50 + 1).cast("int"))
+    files = as_files(table(spark, sf_dir, "orders"), many("b", "o_orderkey", ".js"), F.lit("javascript"), F.concat(F.lit('router.post("/x", handler);'), gap, F.lit("const v = req.query.v;")))
+    targets = Audit(files.select("absolute_path", "relative_path", "language", "text")).targets
+    return targets.select("relative_path", "title", F.col("sources").cast("bigint").alias("sources"), F.col("score").cast("bigint").alias("score"))
 
 
-@query("""select event_id, coalesce((select v.event_id from events v where v.user_id = p.user_id and v.event_type = 'view' and (v.ts, v.event_id) < (p.ts, p.event_id) order by v.ts desc, v.event_id desc limit 1), -1) as view_id from events p where event_type = 'purchase'""")
+@query("""select 's' || o_orderkey || '.js' as relative_path, 'GET' as method, '/' || o_orderkey as route, (case o_orderkey % 3 when 0 then 1 else 3 end)::bigint as line,
+case o_orderkey % 3 when 0 then null when 1 then 'outer' else 'alone' end as function_name, (case o_orderkey % 3 when 0 then 1 else 5 end)::bigint as end_line from orders""")
 def q_asof_first_containing(spark, sf_dir):
-    before = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.last(F.when(F.col("event_type") == "view", F.col("event_id")), ignorenulls=True).over(before)
-    return table(spark, sf_dir, "events").withColumn("view_id", seen).where("event_type = 'purchase'").select("event_id", F.coalesce("view_id", F.lit(-1)).cast("bigint").alias("view_id"))
+    call = F.concat(F.lit('app.get("/'), F.col("o_orderkey").cast("string"), F.lit('", h);\n'))
+    k = F.col("o_orderkey") % 3
+    text = F.when(k == 0, call).when(k == 1, F.concat(F.lit("function outer() {\nfunction inner() {\n"), call, F.lit("}\n}\n"))).otherwise(F.concat(F.lit("function alone() {\nstep;\n"), call, F.lit("step;\n}\n")))
+    files = as_files(table(spark, sf_dir, "orders"), many("s", "o_orderkey", ".js"), F.lit("javascript"), text)
+    lines = stored(structure.lines(files), "route-lines")
+    found = with_path(structure.entries(lines, structure.functions(lines), structure.signals(lines), files), files)
+    return found.select("relative_path", "method", "route", F.col("line").cast("bigint").alias("line"), "function_name", F.col("end_line").cast("bigint").alias("end_line"))
 
 
 _SCORE = "(case when p_size % 7 = s_suppkey % 7 then 16 else 0 end + case when p_partkey % 3 = s_suppkey % 3 then 6 else 0 end + 2)"
@@ -161,11 +207,15 @@ def q_call_candidates_topk(spark, sf_dir):
     return best.select("p_partkey", "s_suppkey", F.col("score").cast("bigint").alias("score"), F.col("place").cast("bigint").alias("place"), "quality")
 
 
-@query("""select page_id, lower(regexp_replace(regexp_replace(regexp_extract(p, '[^/]*$'), '^(.+)\\.[^.]*$', '\\1'), '[^A-Za-z0-9]', '', 'g')) as stem,
-case when contains(p, '/') then regexp_replace(p, '/[^/]*$', '') else '.' end as directory from (select page_id, regexp_extract(url, '^[a-z]+://([^?#]*)', 1) as p from pages)""")
+@query("""select page_id, case page_id % 6 when 0 then 'exact' when 1 then 'exact' when 2 then 'name' when 3 then 'exact' else 'none' end as match,
+case page_id % 6 when 3 then 'index,m' || page_id else 'm' || page_id end as names from pages""")
 def q_reference_match(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^?#]*)", 1).alias("p"))
-    return p.select("page_id", F.coalesce(F.try_element_at(C.file_names("p"), F.lit(1)), F.lit("")).alias("stem"), C.directory("p").alias("directory"))
+    p = table(spark, sf_dir, "pages").select("page_id", F.col("page_id").cast("string").alias("i"), F.col("page_id") % 6 == 3, F.col("page_id") % 6)
+    p = p.toDF("page_id", "i", "is_index", "k")
+    path = F.when(F.col("is_index"), F.concat(F.lit("src/M-"), "i", F.lit("/index.ts"))).otherwise(F.concat(F.lit("src/lib/M_"), "i", F.lit(".ts")))
+    said = [F.concat(F.lit("./lib/m_"), "i"), F.concat(F.lit("lib.m_"), "i"), F.concat(F.lit("../other/M"), "i"), F.concat(F.lit("../M-"), "i"), F.concat(F.lit("./n"), "i"), F.lit(None)]
+    target = F.element_at(F.array(*said), (F.col("k") + 1).cast("int"))
+    return p.select("page_id", C.reference_match(target, path).alias("match"), F.array_join(C.file_names(path), ",").alias("names"))
 
 
 _RANK_ROUND = "r{n} as (select r.node, greatest(r.rank, coalesce(max(m.rank), 0)) as rank from r{p} r left join edges e on e.node = r.node left join r{p} m on m.node = e.neighbour group by r.node, r.rank)"
@@ -218,9 +268,16 @@ def q_priority_groups(spark, sf_dir):
     return audit(spark, sf_dir).targets.groupBy("priority").agg(F.count("*").alias("targets"))
 
 
-@query(f"with {_FILES} select '- ' || severity || ' ' || rule_id || ' at ' || path || ':' || (case when checked then 4 else 3 end) as line from files where path in (select path from ({_EXPLORED} select path from explored))")
+_RULES = "(values " + ", ".join(f"('{r[0]}', '{r[1]}', '{r[7]}')" for r in catalog.RULES) + ") r(id, title, cwe)"
+
+
+@query(_EXPLORED + f""" select '- **' || severity || '** ' || title || ' (' || cwe || ') at `' || path || ':' || (case when checked then 4 else 3 end) || '`, 1 path(s)' as line from explored join {_RULES} on r.id = rule_id
+union all select '# Audit report' union all select '## Findings' union all select '## Review targets' union all select '## Evidence' union all select 'Coverage: 0% of ' || count(*) || ' targets' from files""")
 def q_report_lines(spark, sf_dir):
-    return audit(spark, sf_dir).findings.select(F.format_string("- %s %s at %s:%d", "severity", "rule_id", "sink.relative_path", "sink.line").alias("line"))
+    a = audit(spark, sf_dir)
+    notes = spark.createDataFrame([], "id string, type string, note string, code string, created_at string")
+    statuses = spark.createDataFrame([], "item_id string, status string")
+    return sessions.report(a.findings, a.targets, notes, a.snapshot(statuses)).where("part <> 5").select(F.col("text").alias("line"))
 
 
 @query("""select l_orderkey, arg_min(l_partkey, (-l_extendedprice, l_partkey, l_suppkey, l_linenumber)) as l_partkey, string_agg(l_linenumber, ',' order by -l_extendedprice, l_partkey, l_suppkey, l_linenumber) as lines, count(*)::bigint as n from lineitem group by l_orderkey""")
@@ -268,9 +325,16 @@ def q_upsert_delete(spark, sf_dir):
     return state.delete(state.upsert(c, changed, ["c_custkey"]), c.where("c_custkey % 11 = 0"), ["c_custkey"])
 
 
-@query("select event_id, k from (select event_id, (props->>'$.k')::bigint as k from events) where k between 1 and 90")
+@query("""select 'u' || c_custkey as item_id, case c_custkey % 3 when 0 then 'reviewed' when 1 then 'in_review' else 'blocked' end as status,
+case when c_custkey % 5 = 0 then '2026-02-03 00:00:00' end as orphaned_at from customer where c_custkey <= 5000 and c_custkey % 4 <> 0""")
 def q_session_import(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint").k.alias("k")).where("k between 1 and 90")
+    c = table(spark, sf_dir, "customer").where("c_custkey <= 5000")  # a session holds 10,000 statuses at most
+    status = F.when(F.col("c_custkey") % 4 == 0, "odd").when(F.col("c_custkey") % 3 == 0, "reviewed").when(F.col("c_custkey") % 3 == 1, "in_review").otherwise("blocked")
+    at = F.to_timestamp(F.lit("2026-02-03 00:00:00"))
+    statuses = c.select(many("u", "c_custkey", "").alias("item_id"), status.alias("status"), at.alias("updated_at"), F.when(F.col("c_custkey") % 5 == 0, at).alias("orphaned_at"))
+    notes = spark.createDataFrame([], "id string, type string, note string, code string, relative_path string, absolute_path string, line int, end_line int, created_at string, audit_item_id string")
+    text = sessions.export(statuses, notes, "2026-02-04").first().json
+    return sessions.parse(spark, text, {"ws": "/ws"})[0].select("item_id", "status", F.date_format("orphaned_at", "yyyy-MM-dd HH:mm:ss").alias("orphaned_at"))
 
 
 @query("""with g as (select *, case when ts - lag(ts) over (partition by user_id order by ts, event_id) < interval 30 minute then 0 else 1 end as new from events),
@@ -280,9 +344,10 @@ def q_debounce_last(spark, sf_dir):
     return state.sessions_last(table(spark, sf_dir, "events"), "user_id", "ts", "value", "event_id", "30 minutes")
 
 
-@query("select min(doc_id) as doc_id, count(*)::bigint as copies from documents group by sha256(text)")
+@query("select l_suppkey % 100 as dedupe, arg_min(l_orderkey, (l_orderkey, l_linenumber)) as root, arg_min(l_linenumber, (l_orderkey, l_linenumber))::bigint as step from lineitem group by 1")
 def q_dedupe_first(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("d")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).drop("d")
+    explored = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("root"), F.array(F.col("l_linenumber").cast("int")).alias("trail"), (F.col("l_suppkey") % 100).alias("dedupe"))
+    return flow.first_alike(explored).select("dedupe", "root", F.col("trail")[0].cast("bigint").alias("step"))
 
 
 @query("select doc_id, repeat('`', greatest(3, 1 + coalesce(list_max(list_transform(regexp_extract_all(text, '`+'), lambda x: length(x))), 0))::int) as fence from documents")
@@ -290,9 +355,13 @@ def q_markdown_fence(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", C.fence("text").alias("fence"))
 
 
-@query("select doc_id, len(regexp_extract_all(text, '\\bof\\b'))::bigint as mentions from documents")
+@query(f"""with {_FILES} select path as relative_path, 2::bigint as line, 9::bigint as "column", 'input' as role from files
+union all select path, 3, 12, 'validation' from files where checked
+union all select path, case when checked then 4 else 3 end, case category when 'command' then 8 when 'database' then 12 when 'network' then 9 when 'redirect' then 16 else 12 end, 'sensitive-use' from files""")
 def q_symbol_trace(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_count("text", F.lit(r"\bof\b")).cast("bigint").alias("mentions"))
+    a = audit(spark, sf_dir)
+    found = with_path(structure.mentions(a.lines, a.signals, "target"), a.files)
+    return found.select("relative_path", F.col("line").cast("bigint").alias("line"), F.col("column").cast("bigint").alias("column"), "role")
 
 
 @query("select p_partkey, substr(sha1(lower(p_brand) || ':' || p_type || ':' || (row_number() over (partition by p_brand, p_type order by p_partkey) - 1)), 1, 16) as stable_id from part")
@@ -307,11 +376,17 @@ def q_next_prev_target(spark, sf_dir):
     return review.neighbours(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice"), ["o_orderpriority", F.desc("o_totalprice"), "o_orderkey"], "o_orderkey")
 
 
-@query("select conv_id, turn, string_agg(role || ':' || length(text), ' ') over (partition by conv_id order by turn, role, text rows between 7 preceding and current row) as context from conversations")
+@query("""select 'A' || o_orderkey || '.java' as relative_path, 'PUT' as method, '/r' as route from orders where o_orderkey % 12 + 1 <= 7
+union all select 'A' || o_orderkey || '.java', 'ANY', '/q' from orders where o_orderkey % 12 + 1 > 7 and o_orderkey % 12 + 1 <= 9""")
 def q_lookback_context(spark, sf_dir):
-    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(-7, 0)
-    said = F.concat("role", F.lit(":"), F.length("text").cast("string"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat_ws(" ", F.collect_list(said).over(w)).alias("context"))
+    # an annotation 1 to 12 lines above a method: up to seven lines above it makes the method an entry; another one stands two lines below the first
+    gap = (F.col("o_orderkey") % 12 + 1).cast("int")
+    blank = lambda n: F.repeat(F.lit("\n"), n)
+    first, method = F.lit('class A {\n@PutMapping("/r")'), F.lit("public String show(String id) {\n}\n}\n")
+    text = F.when(gap > 7, F.concat(first, blank(F.lit(2)), F.lit('@RequestMapping("/q")'), blank(gap - 2), method)).otherwise(F.concat(first, blank(gap), method))
+    files = as_files(table(spark, sf_dir, "orders"), many("A", "o_orderkey", ".java"), F.lit("java"), text)
+    lines = stored(structure.lines(files), "annotated-lines")
+    return with_path(structure.entries(lines, structure.functions(lines), structure.signals(lines), files), files).select("relative_path", "method", "route")
 
 
 _GUARDED = {"O": "Prepared query", "F": "Canonical path check", "P": "Output encoding"}
