@@ -21,8 +21,6 @@ mean, rounded up; repeated rows get repeated scores; without labels all scores a
 from __future__ import annotations
 
 import re
-from array import array
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable
 
@@ -60,28 +58,33 @@ def find(keys: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, keys[at] == words
 
 
-class Places(WordHashes):
-    """word -> its place in ascending keys, or -1 - its counter; memoised."""
+class Places(dict):
+    """word -> its place in ascending keys, or -1 - its counter; memoised, and emptied when it holds `bound` words."""
 
-    def __init__(self, keys: np.ndarray):
+    def __init__(self, keys: np.ndarray, bound: int = 300_000):
         super().__init__()
-        self.keys, self.hashes = array("Q", keys.tobytes()), WordHashes(1)
+        self.keys, self.bound = keys, bound
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.bound:
+    def learn(self, words) -> None:
+        """Looks up the words that are not known yet, all at once."""
+        import xxhash
+
+        if len(self) > self.bound:
             self.clear()
-        key = self.hashes[word]
-        at = bisect_left(self.keys, key)
-        value = self[word] = at if at < len(self.keys) and self.keys[at] == key else -1 - (key >> (64 - OTHER_BITS))
-        return value
+        new = [w for w in words if w not in self]
+        if new:
+            hashes = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in new), np.uint64, len(new))
+            at, known = find(self.keys, hashes)
+            self.update(zip(new, np.where(known, at, -1 - other(hashes)).tolist()))
 
     def of(self, words) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
-    def counted(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the text's words, and how often each occurs."""
-        found = Counter(WORDS.findall((text or "").lower()))
-        return self.of(found), np.fromiter(found.values(), np.int64, len(found))
+    def counted(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text the places of its words, and how often each occurs."""
+        found = [Counter(WORDS.findall((t or "").lower())) for t in texts]
+        self.learn(set().union(*found))
+        return [(self.of(c), np.fromiter(c.values(), np.int64, len(c))) for c in found]
 
 
 def other(words: np.ndarray) -> np.ndarray:
@@ -140,7 +143,7 @@ class Index:
         order = self.alike()
         at = slices((np.cumsum(self.sizes) - self.sizes)[order], self.sizes[order])
         self.ids, self.labels, self.sizes, self.i, self.v = self.ids[order], self.labels[order], self.sizes[order], self.i[at], self.v[at]
-        self.invert()
+        self.ready = False
 
     def alike(self) -> np.ndarray:
         """An order in which alike examples are neighbours: by the nearest of some examples' means, over the frequent words."""
@@ -158,7 +161,8 @@ class Index:
         return np.lexsort((self.ids, near))
 
     def invert(self) -> None:
-        """What the search needs beside the vectors, in each process."""
+        """What the search needs beside the vectors, made in each process that searches."""
+        self.ready = True
         n, self.n_blocks = len(self.ids), -(-len(self.ids) // BLOCK)
         self.offsets = np.cumsum(self.sizes) - self.sizes
         self.place = np.full(len(self.keys), -1)
@@ -170,7 +174,7 @@ class Index:
         self.most = self.dense.max(2).T.copy() if n else np.zeros((len(self.common), 0), np.float32)
         t, row, v = self.i[~own], row[~own], self.v[~own]
         order = np.argsort(t, kind="stable")
-        self.rows, self.weights = row[order], v[order]
+        self.rows, self.weights = row[order].astype(np.int32), v[order]
         self.starts = np.searchsorted(t[order], np.arange(len(self.keys) + 1))
         self.query = np.zeros(len(self.keys))
 
@@ -179,7 +183,7 @@ class Index:
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
-        self.invert()
+        self.ready = False
 
     def weighed(self, words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The part of a unit vector on the examples' words; its norm is that of all words."""
@@ -201,6 +205,8 @@ class Index:
 
     def nearest_of(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int = K, but: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """`nearest` of each vector, together."""
+        if not self.ready:
+            self.invert()
         if not self.n_blocks:
             return [(np.zeros(0, np.int64), np.zeros(0))] * len(vectors)
         n, width = len(vectors), self.n_blocks * BLOCK
@@ -275,7 +281,7 @@ class Model:
         return self.scores([text], Places(self.index.keys))[0]
 
     def scores(self, texts: list[str | None], places: Places) -> list[tuple[float, list[int]]]:
-        counts, out = [places.counted(t) for t in texts], []
+        counts, out = places.counted(texts), []
         for (words, _), (rows, cosines) in zip(counts, self.index.nearest_of([self.index.placed(*c) for c in counts])):
             raw = vote(self.index.labels[rows], cosines, self.rate)
             out.append((float(np.clip(np.interp(raw, self.levels, self.rates), 0, 1)) if len(words) else self.silent, self.index.ids[rows].tolist()))
@@ -289,15 +295,23 @@ def document_frequencies(docs: DataFrame, keys: np.ndarray, text: str = "text")
     def count(batches):
         import pyarrow as pa
 
-        known, total = sent.value, 0
-        places = Places(known)
+        known, total, words = sent.value, 0, Counter()
         found = np.zeros(len(known) + (1 << OTHER_BITS), np.int64)
+
+        def add() -> None:
+            places = Places(known)
+            places.learn(words)
+            at, n = places.of(words), np.fromiter(words.values(), np.int64, len(words))
+            np.add.at(found, np.where(at >= 0, at, len(known) - 1 - at), n)
+            words.clear()
+
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 total += 1
-                at = places.of(set(WORDS.findall((t or "").lower())))
-                found[at[at >= 0]] += 1
-                np.add.at(found, len(known) - 1 - at[at < 0], 1)
+                words.update(set(WORDS.findall((t or "").lower())))
+                if len(words) > 200_000:
+                    add()
+        add()
         at = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(found[at], total), pa.int64())], names=["term", "n"])
 
@@ -349,7 +363,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, use: Callable[[Column]
         for whole in batches:
             for lo in range(0, whole.num_rows, BATCH):
                 batch = whole.slice(lo, BATCH)
-                all_ids, y, counts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), [places.counted(t) for t in batch.column(2).to_pylist()]
+                all_ids, y, counts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), places.counted(batch.column(2).to_pylist())
                 found = own.nearest_of([own.placed(*c) for c in counts], but=all_ids)
                 made = [(i, c, vote(own.labels[r], cosines, rate)) for i, c, (w, _), (r, cosines) in zip(all_ids, y, counts, found) if len(w)]
                 yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.int32()), pa.array([m[2] for m in made], pa.float64())], names=["doc_id", "label", "vote"])
