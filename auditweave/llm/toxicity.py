@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable
+from operator import itemgetter
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -34,9 +35,10 @@ from auditweave.llm.quality import one_label, sample_labels
 MAX_EXAMPLES = 12_000
 K = 15
 BLOCK = 64
-DENSE = 1024
+DENSE = 512
 FIRST = 3
 BATCH = 256
+TOGETHER = 8
 OTHER_BITS = 20
 MARGIN = 1e-5
 PRIOR = 0.3
@@ -78,7 +80,7 @@ class Places(dict):
             self.update(zip(new, np.where(known, at, -1 - other(hashes)).tolist()))
 
     def of(self, words) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return np.array(itemgetter(*words)(self), np.int64) if len(words) > 1 else np.array([self[w] for w in words], np.int64)
 
     def counted(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each text the places of its words, and how often each occurs."""
@@ -174,7 +176,7 @@ class Index:
         self.most = self.dense.max(2).T.copy() if n else np.zeros((len(self.common), 0), np.float32)
         t, row, v = self.i[~own], row[~own], self.v[~own]
         order = np.argsort(t, kind="stable")
-        self.rows, self.weights = row[order].astype(np.int32), v[order]
+        self.rows, self.weights = row[order], v[order]
         self.starts = np.searchsorted(t[order], np.arange(len(self.keys) + 1))
         self.query = np.zeros(len(self.keys))
 
@@ -214,13 +216,18 @@ class Index:
         for b, (i, v) in enumerate(vectors):
             place = self.place[i]
             q[b, place[place >= 0]] = v[place >= 0]
-            t, w = i[place < 0], v[place < 0]
-            lo, hi = self.starts[t], self.starts[t + 1]
-            if len(t):
-                at = list(map(slice, lo.tolist(), hi.tolist()))
-                scores[b] = np.bincount(np.concatenate([self.rows[x] for x in at]), np.repeat(w, hi - lo) * np.concatenate([self.weights[x] for x in at]), width)
-            if but is not None:
-                scores[b, np.flatnonzero(self.ids == but[b])] = -4.0
+        for lo in range(0, n, TOGETHER):
+            part = vectors[lo : lo + TOGETHER]
+            i, v = np.concatenate([x for x, _ in part]), np.concatenate([x for _, x in part])
+            rare = self.place[i] < 0
+            own = np.repeat(np.arange(len(part)) * width, [len(x) for x, _ in part])[rare]
+            i, v = i[rare], v[rare]
+            sizes = self.starts[i + 1] - self.starts[i]
+            at = slices(self.starts[i], sizes)
+            scores[lo : lo + TOGETHER] = np.bincount(self.rows[at] + np.repeat(own, sizes), self.weights[at] * np.repeat(v, sizes), len(part) * width).reshape(-1, width)
+        if but is not None:
+            for b, i in enumerate(but):
+                scores[b, np.flatnonzero(self.ids == i)] = -4.0
         blocks = scores.reshape(n, self.n_blocks, BLOCK)
         bounds = blocks.max(2) + q @ self.most
         first = np.argsort(-bounds, 1, kind="stable")[:, : max(FIRST, -(-k // BLOCK))]
