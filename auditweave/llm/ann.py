@@ -10,7 +10,9 @@ without any structure, the hardest case, for a recall of 0.95 and above; cluster
 
 Codes are dealt to groups of about BLOCK vectors by hash. A vector goes to one group of each table; a query goes once to each
 group that holds some of its codes, with those codes. Groups crowded by copies are cut into parts, which a query visits all.
-Inside, products are taken code by code, and each query's K best of the group leave it with exact scores.
+Inside, products are taken code by code, and each query's K best of the group leave it with exact scores. A first search of
+one code in SCOUT gives each query a floor, the K-th best so far, below which nothing leaves a group in the full search: so
+what groups return grows with the queries, not with queries times groups.
 
 Defined results: null, zero and non-finite vectors take no part; a repeated vec_id is one vector; fewer candidates than K
 give fewer rows; ties go to the smaller vec_id; an empty table gives no rows.
@@ -34,6 +36,7 @@ K = 20
 BLOCK = 4096
 PER_CODE = 32  # vectors a code has at least, on average, before another hash is joined
 MOST_CROWDED = 100_000
+SCOUT = 12
 SEED = 20_240_229
 
 
@@ -121,7 +124,7 @@ class Deal:
     """Where a band's codes go. Groups are numbered over all bands; a group's parts follow each other."""
 
     def __init__(self, plans: dict[int, Plan], crowded: dict[int, int]):
-        self.plans, self.first, at = plans, {}, 0
+        self.plans, self.sizes, self.first, at = plans, crowded, {}, 0
         for b, p in plans.items():
             self.first[b] = at
             at += p.tables * p.groups
@@ -162,7 +165,7 @@ class Deal:
         return row[starts], group[starts], np.append(starts, len(code)), code
 
 
-def best_of_group(ids: np.ndarray, x: np.ndarray, is_query: np.ndarray, starts: np.ndarray, code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+def best_of_group(ids: np.ndarray, x: np.ndarray, is_query: np.ndarray, starts: np.ndarray, code: np.ndarray, k: int, floors: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
     """query id, vector id and score of each query's k best among the vectors with its codes; row r's codes are code[starts[r]:starts[r + 1]]."""
     qs, ds = np.flatnonzero(is_query), np.flatnonzero(~is_query)
     if not len(qs) or not len(ds):
@@ -179,7 +182,7 @@ def best_of_group(ids: np.ndarray, x: np.ndarray, is_query: np.ndarray, starts:
     at, lo, hi = np.append(at, len(asked)), np.searchsorted(own, kinds), np.searchsorted(own, kinds, "right")
     q, v = x[qs], x[ds]
     slack = 1e-12 * np.sqrt((q * q).sum(1)) * np.sqrt((v * v).sum(1).max())  # products of another order of summing
-    floor, pairs = np.full(len(qs), -np.inf), []
+    floor, pairs = np.full(len(qs), -np.inf) if floors is None else floors[qs] - slack, []
     for i in np.flatnonzero(hi > lo).tolist():
         for a in range(at[i], at[i + 1], 512):
             who = asking[a : min(a + 512, at[i + 1])]
@@ -199,8 +202,8 @@ def best_of_group(ids: np.ndarray, x: np.ndarray, is_query: np.ndarray, starts:
     return ids[qs[a[kept]]], ids[ds[b[kept]]], score[kept]
 
 
-def found_pairs(rows: DataFrame, width: int, k: int, make) -> DataFrame:
-    """query_id, vec_id, score: of every group that a query (rows with vec_id, v, query) visits its k nearest; make(rows of a band) is its plan."""
+def dealing(rows: DataFrame, width: int, make) -> Deal | None:
+    """Where vectors (vec_id, v) go; make(rows of a band) is its plan. None without rows."""
 
     def banded(batches):
         import pyarrow as pa
@@ -214,7 +217,7 @@ def found_pairs(rows: DataFrame, width: int, k: int, make) -> DataFrame:
     counts = {r.b: r.n for r in rows.select("v").mapInArrow(banded, "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).collect()}
     plans = {b: make(n) for b, n in sorted(counts.items())}
     if not plans:
-        return rows.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
+        return None
     plain = Deal(plans, {})
 
     def counted(batches):
@@ -228,14 +231,18 @@ def found_pairs(rows: DataFrame, width: int, k: int, make) -> DataFrame:
     # fewer than MOST_CROWDED groups can hold more than that share of all vectors
     total = sum(n * plans[b].tables for b, n in counts.items())
     sizes = rows.select("v").mapInArrow(counted, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
-    crowded = {r.g: -(-r.n // BLOCK) for r in sizes.where(F.col("n") > max(2 * BLOCK, total // MOST_CROWDED)).collect()}
-    most = max(crowded.values(), default=1)
-    sent = rows.sparkSession.sparkContext.broadcast(Deal(plans, crowded))
+    return Deal(plans, {r.g: -(-r.n // BLOCK) for r in sizes.where(F.col("n") > max(2 * BLOCK, total // MOST_CROWDED)).collect()})
+
+
+def found_pairs(rows: DataFrame, width: int, k: int, deal: Deal) -> DataFrame:
+    """query_id, vec_id, score: of every group that a query (rows: vec_id, v, query, floor) visits its k nearest of at least its floor."""
+    most = int(deal.parts.max(initial=1))
+    sent = rows.sparkSession.sparkContext.broadcast(deal)
 
     def dealt(batches):
         import pyarrow as pa
 
-        deal = sent.value
+        deal, names = sent.value, ["g", "q", "vec_id", "v", "floor", "codes"]
         for whole in batches:
             for from_ in range(0, whole.num_rows, 2048):
                 batch = whole.slice(from_, 2048)
@@ -244,7 +251,7 @@ def found_pairs(rows: DataFrame, width: int, k: int, make) -> DataFrame:
                 part = (mix64(ids[row]) % deal.parts_of(group).astype(np.uint64)).astype(np.int64)
                 take = pa.array(row)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1), pa.int32()), pa.array(code))
-                yield pa.RecordBatch.from_arrays([pa.array(group * most + part), pa.array(np.zeros(len(row), bool)), batch.column(0).take(take), batch.column(1).take(take), lists], names=["g", "q", "vec_id", "v", "codes"])
+                yield pa.RecordBatch.from_arrays([pa.array(group * most + part), pa.array(np.zeros(len(row), bool)), batch.column(0).take(take), batch.column(1).take(take), pa.nulls(len(row), pa.float64()), lists], names=names)
                 asks = np.flatnonzero(batch.column(2).to_numpy(zero_copy_only=False).astype(bool))
                 for lo in range(0, len(asks), 128):
                     row, group, starts, code = deal.queries(x, asks[lo : lo + 128])
@@ -253,20 +260,21 @@ def found_pairs(rows: DataFrame, width: int, k: int, make) -> DataFrame:
                     part = np.arange(len(at)) - np.repeat(np.cumsum(parts) - parts, parts)
                     take = pa.array(row[at])
                     lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(code)).take(pa.array(at))
-                    yield pa.RecordBatch.from_arrays([pa.array(group[at] * most + part), pa.array(np.ones(len(at), bool)), batch.column(0).take(take), batch.column(1).take(take), lists], names=["g", "q", "vec_id", "v", "codes"])
+                    yield pa.RecordBatch.from_arrays([pa.array(group[at] * most + part), pa.array(np.ones(len(at), bool)), *(batch.column(c).take(take) for c in (0, 1, 3)), lists], names=names)
 
     kind = rows.schema["v"].dataType.simpleString()
-    placed = rows.select("vec_id", "v", "query").mapInArrow(dealt, f"g long, q boolean, vec_id long, v {kind}, codes array<long>")
+    placed = rows.select("vec_id", "v", "query", "floor").mapInArrow(dealt, f"g long, q boolean, vec_id long, v {kind}, floor double, codes array<long>")
 
     def search(table, starts):
         import pyarrow as pa
 
         ids, is_query, x = table.column("vec_id").to_numpy(), table.column("q").to_numpy(zero_copy_only=False), widened(matrix(table.column("v")), width)
+        floors = table.column("floor").fill_null(-np.inf).to_numpy()
         lists = table.column("codes").combine_chunks()
         off, code = lists.offsets.to_numpy(), lists.values.to_numpy()
         found = []
         for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist()):
-            best = best_of_group(ids[lo:hi], x[lo:hi], is_query[lo:hi].astype(bool), off[lo : hi + 1], code, k)
+            best = best_of_group(ids[lo:hi], x[lo:hi], is_query[lo:hi].astype(bool), off[lo : hi + 1], code, k, floors[lo:hi])
             if best is not None:
                 found.append(best)
         if found:
@@ -287,13 +295,20 @@ def neighbours(embeddings: DataFrame, is_query, *, k: int = K, tables: int | Non
     width = width or 1
     rows = rows.select("vec_id", F.col("v").cast("array<float>").alias("v") if single else "v", F.coalesce(is_query(F.col("vec_id")), F.lit(False)).alias("query"))
     merge = lambda pairs: pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    best = stored(merge(found_pairs(rows, width, k, lambda n: plan(n, width, tables, probes))), "neighbours")
+    deal = dealing(rows, width, lambda n: plan(n, width, tables, probes))
+    if deal is None:
+        return embeddings.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    scouts = Deal({b: p._replace(probes=-(-p.probes // SCOUT)) for b, p in deal.plans.items()}, deal.sizes)
+    nothing = F.lit(None).cast("double").alias("floor")
+    first = stored(merge(found_pairs(rows.select("*", nothing), width, k, scouts)), "neighbours-first")
+    floors = first.groupBy(F.col("query_id").alias("vec_id")).agg(F.try_element_at(F.sort_array(F.collect_list("score"), asc=False), F.lit(k)).alias("floor"))  # k of each table's groups at most
+    best = stored(merge(first.union(found_pairs(rows.join(floors, "vec_id", "left").select("vec_id", "v", "query", "floor"), width, k, deal))), "neighbours")
     counted = best.groupBy("query_id").agg(F.count("*").alias("n"))
     short = rows.where("query").select(F.col("vec_id").alias("query_id")).join(counted, "query_id", "left").where(F.coalesce("n", F.lit(0)) < min(k, total - 1))
     short = stored(short.select(F.col("query_id").alias("vec_id"), F.lit(True).alias("query")), "neighbours-short")
     if not short.isEmpty():
-        again = rows.drop("query").join(short, "vec_id", "left").select("vec_id", "v", F.coalesce("query", F.lit(False)).alias("query"))
+        again = rows.drop("query").join(short, "vec_id", "left").select("vec_id", "v", F.coalesce("query", F.lit(False)).alias("query"), nothing)
         axes = 2 << max(0, width - 1).bit_length()
-        best = merge(best.union(found_pairs(again, width, k, lambda n: Plan(1, 1, axes, -(-n // BLOCK)))))
+        best = merge(best.union(found_pairs(again, width, k, dealing(rows, width, lambda n: Plan(1, 1, axes, -(-n // BLOCK))))))
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

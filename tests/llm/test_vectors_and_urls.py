@@ -73,6 +73,28 @@ def test_neighbours_against_brute_force(spark, clustered):
     assert len(few) == 4 and ann.neighbours(vectors.limit(0), lambda v: v % 20 == 0).isEmpty()
 
 
+@pytest.mark.parametrize("width,per_code,block,spread", [(48, 32, 200, 1), (48, 0.15, 200, 1), (160, 32, 4096, 1), (48, 32, 200, 20)])
+def test_recall_of_plans(spark, monkeypatch, width, per_code, block, spread):
+    """Two hashes a code, crowded groups, wide vectors, lengths that vary twentyfold; nothing without structure is left out."""
+    monkeypatch.setattr(ann, "PER_CODE", per_code)
+    monkeypatch.setattr(ann, "BLOCK", block)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, width))
+    x[2000:2600] = x[1999]
+    x *= np.exp(rng.random(3000) * np.log(spread))[:, None] / np.sqrt((x * x).sum(1, keepdims=True))
+    assert ann.plan(3000, width).hashes == (2 if per_code < 1 else 1)
+    got = ann.neighbours(frame(spark, x), lambda v: v % 50 == 0).toPandas()
+    hits = []
+    for q in range(0, 3000, 50):
+        s = x @ x[q]
+        s[q] = -np.inf
+        own = got[got.query_id == q].sort_values("rank")
+        assert len(own) == 20 and np.allclose(own.score, s[own.vec_id])
+        hits.append((s[own.vec_id] >= np.sort(s)[-20] - 1e-9).mean())
+    print(width, per_code, block, spread, "recall", np.mean(hits))
+    assert np.mean(hits) >= 0.9
+
+
 def test_neighbours_ties(spark):
     rows = frame(spark, np.tile(np.eye(1, 8), (40, 1)))
     got = ann.neighbours(rows, lambda v: v == 5).orderBy("rank").collect()
