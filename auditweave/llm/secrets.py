@@ -154,8 +154,9 @@ def spans_of(text: Column, rule: Rule, number: int) -> Column:
 
 def postings(read: DataFrame, grams: list[str]) -> DataFrame:
     """doc, print, grams (their numbers): the queried trigrams that each text holds, for texts that hold any."""
-    held = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(g)), F.lit(n)) for n, g in enumerate(grams))))
-    return read.select("doc", "print", F.lower("text").alias("low")).select("doc", "print", held.alias("grams")).where(F.size("grams") > 0)
+    held = lambda low: F.array_compact(F.array(*(F.when(F.contains(low, F.lit(g)), F.lit(n)) for n, g in enumerate(grams))))
+    # bound and generated, so that neither the lower-cased text nor the list is made again for each use
+    return read.select("doc", "print", F.explode(F.array(bound(F.lower("text"), held))).alias("grams")).where(F.size("grams") > 0)
 
 
 def candidates(index: DataFrame, asked: list[tuple[int, int, list[int]]]) -> DataFrame:
