@@ -117,8 +117,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], *, text: str =
         dense[sent.value[0]] = sent.value[1]
         for batch in batches:
             out = np.empty(batch.num_rows)
-            for k, t in enumerate(batch.column(at).to_pylist()):
-                i, v = features(t, hashes)
+            for k, t in enumerate(batch.column(at)):
+                i, v = features(t.as_py(), hashes)
                 out[k] = 1 / (1 + np.exp(-np.clip(dense[i] @ v, -35, 35)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, output])
 

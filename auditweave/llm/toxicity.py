@@ -37,7 +37,7 @@ K = 15
 BLOCK = 64
 DENSE = 512
 FIRST = 3
-BATCH = 256
+BATCH = 128
 TOGETHER = 8
 OTHER_BITS = 20
 MARGIN = 1e-5
@@ -63,7 +63,7 @@ def find(keys: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Places(dict):
     """word -> its place in ascending keys, or -1 - its counter; memoised, and emptied when it holds `bound` words."""
 
-    def __init__(self, keys: np.ndarray, bound: int = 300_000):
+    def __init__(self, keys: np.ndarray, bound: int = 150_000):
         super().__init__()
         self.keys, self.bound = keys, bound
 
@@ -176,7 +176,7 @@ class Index:
         self.most = self.dense.max(2).T.copy() if n else np.zeros((len(self.common), 0), np.float32)
         t, row, v = self.i[~own], row[~own], self.v[~own]
         order = np.argsort(t, kind="stable")
-        self.rows, self.weights = row[order], v[order]
+        self.rows, self.weights = row[order].astype(np.int32), v[order].astype(np.float32)
         self.starts = np.searchsorted(t[order], np.arange(len(self.keys) + 1))
         self.query = np.zeros(len(self.keys))
 
@@ -313,10 +313,10 @@ def document_frequencies(docs: DataFrame, keys: np.ndarray, text: str = "text")
             words.clear()
 
         for batch in batches:
-            for t in batch.column(0).to_pylist():
+            for t in (x.as_py() for x in batch.column(0)):
                 total += 1
                 words.update(set(WORDS.findall((t or "").lower())))
-                if len(words) > 200_000:
+                if len(words) > 100_000:
                     add()
         add()
         at = np.flatnonzero(found)
@@ -390,8 +390,8 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", output: str = "s
 
         places = Places(sent.value.index.keys)
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            found = [x for lo in range(0, len(texts), BATCH) for x in sent.value.scores(texts[lo : lo + BATCH], places)]
+            texts = batch.column(at)
+            found = [x for lo in range(0, len(texts), BATCH) for x in sent.value.scores(texts.slice(lo, BATCH).to_pylist(), places)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], pa.list_(pa.int64()))], names=[*batch.schema.names, output, evidence])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
