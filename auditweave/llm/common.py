@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from auditweave.storage import stored
 
-__all__ = ["WordHashes", "id_bucket", "marked", "mix64", "partitions", "rows_of", "stored", "table"]
+__all__ = ["WordHashes", "give_back", "id_bucket", "marked", "mix64", "partitions", "rows_of", "stored", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +46,13 @@ def marked(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     return joined.select("row", F.coalesce(F.col("bits").bitwiseAND(bit(F.col("at"))) != 0, F.lit(False)).alias("marked"))
 
 
+def give_back() -> None:
+    """Returns freed memory to the system where the C library can: the driver and workers that are used again keep it otherwise."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on unsigned 64-bit integers."""
     x = x.astype(np.uint64, copy=True)

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditweave.llm.common import WordHashes, marked, mix64, stored
+from auditweave.llm.common import WordHashes, give_back, marked, mix64, stored
 from auditweave.llm.groups import block_pairs, components, forest_of, map_groups
 
 SHINGLE = 5
@@ -151,6 +151,7 @@ def digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     def run(batches):
         import pyarrow as pa
 
+        give_back()  # what earlier tasks of this worker left
         hashes = WordHashes()
         for batch in batches:
             out: list[list] = [[], [], [], []]

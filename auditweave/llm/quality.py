@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditweave.llm.common import WordHashes, mix64
+from auditweave.llm.common import WordHashes, give_back, mix64
 
 BITS = 18
 MAX_EXAMPLES = 12_000
@@ -113,6 +113,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], *, text: str =
     def run(batches):
         import pyarrow as pa
 
+        give_back()  # what earlier tasks of this worker left
         hashes, dense = WordHashes(), np.zeros(1 << BITS)
         dense[sent.value[0]] = sent.value[1]
         for batch in batches:

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditweave.llm.common import WordHashes
+from auditweave.llm.common import WordHashes, give_back
 from auditweave.llm.quality import one_label, sample_labels
 
 MAX_EXAMPLES = 12_000
@@ -134,33 +134,31 @@ class Index:
             at, known = find(keys, words)
             (positive if y else negative)[at[known]] += 1
         self.idf_of = np.concatenate(((np.log((1 + n_docs) / (1 + df)) + 1) * (1 + np.sqrt(likelihood_ratios(positive, negative, n, len(labels) - n))), (np.log((1 + n_docs) / (1 + others)) + 1)[::-1]))
-        vectors = [self.weighed(*c) for c in counts]
-        kept = [k for k, (i, _) in enumerate(vectors) if len(i)]
-        self.ids = np.array([ids[k] for k in kept], np.int64)
-        self.labels = np.array([labels[k] for k in kept], np.float64)
-        self.sizes = np.array([len(vectors[k][0]) for k in kept], np.int64)
-        self.i = np.concatenate([vectors[k][0] for k in kept]).astype(np.int32) if kept else np.zeros(0, np.int32)
-        self.v = np.concatenate([vectors[k][1] for k in kept]) if kept else np.zeros(0)
         self.common = np.argsort(-(positive + negative), kind="stable")[:DENSE]
-        order = self.alike()
-        at = slices((np.cumsum(self.sizes) - self.sizes)[order], self.sizes[order])
-        self.ids, self.labels, self.sizes, self.i, self.v = self.ids[order], self.labels[order], self.sizes[order], self.i[at], self.v[at]
+        vectors = [(i.astype(np.int32), v) for i, v in (self.weighed(*c) for c in counts)]
+        kept = np.array([k for k, (i, _) in enumerate(vectors) if len(i)], np.int64)
+        kept = kept[self.alike(np.array(ids, np.int64)[kept], [vectors[k] for k in kept.tolist()])]
+        self.ids, self.labels = np.array(ids, np.int64)[kept], np.array(labels, np.float64)[kept]
+        self.sizes = np.array([len(vectors[k][0]) for k in kept.tolist()], np.int64)
+        self.i = np.concatenate([np.zeros(0, np.int32), *(vectors[k][0] for k in kept.tolist())])
+        self.v = np.concatenate([np.zeros(0), *(vectors[k][1] for k in kept.tolist())])
         self.ready = False
 
-    def alike(self) -> np.ndarray:
+    def alike(self, ids: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """An order in which alike examples are neighbours: by the nearest of some examples' means, over the frequent words."""
         place = np.full(len(self.keys), -1)
         place[self.common] = np.arange(len(self.common))
-        x = np.zeros((len(self.ids), len(self.common)), np.float32)
-        row, t = np.repeat(np.arange(len(self.ids)), self.sizes), place[self.i]
-        x[row[t >= 0], t[t >= 0]] = self.v[t >= 0]
-        order = np.argsort(self.ids, kind="stable")
+        x = np.zeros((len(ids), len(self.common)), np.float32)
+        for row, (i, v) in zip(x, vectors):
+            t = place[i]
+            row[t[t >= 0]] = v[t >= 0]
+        order = np.argsort(ids, kind="stable")
         means = x[order[::BLOCK]]
         near = np.zeros(len(x), np.int64)
         for _ in range(4 if len(x) else 0):
             near = (x @ (means / np.sqrt((means * means).sum(1, keepdims=True)).clip(1e-12)).T).argmax(1)
             means = np.stack([x[near == c].sum(0) if (near == c).any() else means[c] for c in range(len(means))])
-        return np.lexsort((self.ids, near))
+        return np.lexsort((ids, near))
 
     def invert(self) -> None:
         """What the search needs beside the vectors, made in each process that searches."""
@@ -357,7 +355,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str, use: Callable[[Column]
     rate = sum(truth) / len(truth) if truth else 0.0
     without = [y for y, (w, _) in zip(truth, counts) if not len(w)]
     silent = (sum(without) + 0.5 * rate) / (len(without) + 0.5) if truth else 0.0
-    del got, counts
+    del got, counts, keys, df, others
+    give_back()
     if not len(index.ids):
         return Model(index, rate, silent, np.array([0.0, 1.0]), np.array([0.0, 1.0]))
     sent = docs.sparkSession.sparkContext.broadcast(index)
@@ -393,6 +392,8 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", output: str = "s
             texts = batch.column(at)
             found = [x for lo in range(0, len(texts), BATCH) for x in sent.value.scores(texts.slice(lo, BATCH).to_pylist(), places)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], pa.list_(pa.int64()))], names=[*batch.schema.names, output, evidence])
+        places.clear()
+        give_back()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(run, f"{fields}, `{output}` double, `{evidence}` array<long>")
