@@ -1,18 +1,18 @@
 """Exact duplicates by a stateful stream over a table's files.
 
-1. Each task digests the texts of an Arrow batch and joins equal ones on the spot, their bytes compared, so a text with a
-   third of all rows becomes one row a batch before anything is shuffled.
-2. Those rows, without texts, meet the keyed state: RocksDB on disk, without expiry. It holds per digest the stable
-   identifier and the content locator (file, row in the file) of the first document that had it. A row whose digest is
-   known is a hit; a new digest is stored.
-3. Hits are checked on full bytes: the texts at the locators of hits and first documents are read again (a bitmap keeps
-   the others out of the shuffle) and must be one text a class. Where they are not, two texts share a digest, and rows of
-   that digest are told apart by the texts themselves.
+1. Arrivals: a stream reads each file once. Each task digests the texts of an Arrow batch and joins equal ones on the spot,
+   their bytes compared, so a text with a third of all rows becomes one row a batch before anything is shuffled.
+2. State: a second stream reads those rows, without texts, into keyed state: RocksDB on disk, without expiry. It holds per
+   digest the stable identifier and the content locator (file, row in the file) of the first document that had it, and
+   gives out the digests that a batch touched.
+3. Arrivals of a digest that is known already are hits, and are checked on full bytes: the texts at the locators of hits
+   and first documents are read again (a bitmap keeps the others out of the shuffle) and must be one text a class. Where
+   they are not, two texts share a digest, and rows of that digest are told apart by the texts themselves.
 4. Every batch leaves its members in a folder of its own, written anew if the batch is tried again. The result joins them
    with their class's largest id and size.
 
-The stream reads each file once. Opened again on the same `work` folder, it reads only files that have come since and
-joins their documents to the classes known.
+Opened again on the same `work` folder, the streams read only files that have come since, and join their documents to the
+classes known.
 
 Defined results: null text is the empty text and equal to it; nothing else is normalised. Of equal texts the row with the
 largest id stays, null ids last; of rows with the same text and id the one in the last file and row. Extra columns are not
@@ -25,7 +25,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from auditweave.llm.common import marked
 from auditweave.storage import shared_dir, stored
@@ -73,23 +73,10 @@ def local_classes(docs: DataFrame, digest_bits: int) -> DataFrame:
     return docs.mapInArrow(run, f"key string, sha string, file string, row long, members array<struct<id:{docs.schema[0].dataType.simpleString()},row:long>>")
 
 
-def hold(key, frames, state: GroupState):
-    """The rows of one digest with the locator of its class; a digest that is new is kept for good."""
-    for frame in frames:
-        if state.exists:
-            _, file, row = state.get
-        else:
-            file, row = frame["file"].iloc[0], int(frame["row"].iloc[0])
-            state.update((frame["first_id"].iloc[0], file, row))
-        yield frame.assign(key=key[0], class_file=file, class_row=row)[["key", "sha", *PLACE, *CLASS, "members"]]
-
-
-def classified(rows: DataFrame) -> DataFrame:
-    """local_classes() rows with class_file and class_row, by the keyed state."""
-    told = rows.withColumn("members", F.to_json("members")).withColumn("first_id", F.get_json_object("members", "$[0].id"))
-    schema = "key string, sha string, file string, row long, class_file string, class_row long, members string"
-    held = told.groupBy("key").applyInPandasWithState(hold, schema, "id string, file string, row long", "append", GroupStateTimeout.NoTimeout)
-    return held.withColumn("members", F.from_json("members", rows.schema["members"].dataType))
+def first_of_each(arrivals: DataFrame) -> DataFrame:
+    """key, first (batch, file, row, id: the stable identifier and locator), last batch: the keyed state of a stream of arrivals."""
+    first = F.min(F.struct("batch", *PLACE, F.col("members")[0].id.alias("id")))
+    return arrivals.groupBy("key").agg(first.alias("first"), F.max("batch").alias("last"))
 
 
 def texts_at(content: DataFrame, places: DataFrame) -> DataFrame:
@@ -100,7 +87,7 @@ def texts_at(content: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def checked(rows: DataFrame, content: DataFrame, known: DataFrame | None) -> DataFrame:
-    """classified() rows with classes in which all texts are equal byte by byte.
+    """Arrivals with class_file and class_row, by their digests, to arrivals with classes in which all texts are equal byte by byte.
 
     known: the members of earlier batches.
     """
@@ -125,33 +112,53 @@ def checked(rows: DataFrame, content: DataFrame, known: DataFrame | None) -> Dat
 
 
 def members_of(spark: SparkSession, path: str, *, text: str = "text", doc_id: str = "doc_id", work: str | None = None, files_per_batch: int | None = None, digest_bits: int = 256) -> DataFrame:
-    """Reads what is new in the Parquet files at path; key, sha, file, row, class_file, class_row, members of all read so far."""
+    """Reads what is new in the Parquet files at path; batch, key, sha, file, row, members, class_file, class_row of all read so far."""
     work = (work or f"{shared_dir(spark)}/exact-dedup-{uuid.uuid4().hex}").rstrip("/")
     schema = spark.read.parquet(path).schema
-    columns = [F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
-    reader = spark.readStream.schema(schema)
+    columns = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
+    content = spark.read.schema(schema).parquet(path).select(F.coalesce(text, F.lit("")).alias("text"), *columns)
     # as a pattern, so that the stream takes a folder of files and a single file alike
     pattern = f"{path.rstrip('/')[:-1]}[{path.rstrip('/')[-1]}]"
-    stream = (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(pattern).select(*columns)
-    held = classified(local_classes(stream, digest_bits))
+    reader = spark.readStream.schema(schema)
+    read = (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(pattern)
+    local = local_classes(read.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), *columns), digest_bits).withColumn("batch", F.lit(0))
+    arrived = local.schema
+
+    def arrive(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{work}/arrivals/{number}")
+
+    def settle(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{work}/touched/{number}")
+        touched = spark.read.schema(held.schema).parquet(f"{work}/touched/{number}")
+        known = spark.read.schema(members).parquet(*(f"{work}/members/{n}" for n in range(number))) if number else None
+        done = known.agg(F.max("batch")).first()[0] if known is not None else None
+        top, done = touched.agg(F.max("last")).first()[0], -1 if done is None else done
+        if top is None:
+            rows = spark.createDataFrame([], arrived)
+        else:
+            rows = spark.read.schema(arrived).parquet(*(f"{work}/arrivals/{n}" for n in range(done + 1, top + 1)))
+        classes = touched.select("key", F.col("first.file").alias("class_file"), F.col("first.row").alias("class_row"))
+        rows = stored(rows.join(classes, "key"), "dedup-classified")
+        checked(rows, content, known).select(members.names).write.mode("overwrite").parquet(f"{work}/members/{number}")
+
+    run(spark, local, arrive, f"{work}/arrivals-checkpoint")
+    held = first_of_each(spark.readStream.schema(arrived).parquet(f"{work}/arrivals/*"))
+    members = StructType([*arrived, *(StructField(c, t) for c, t in zip(CLASS, (StringType(), LongType())))])
+    run(spark, held, settle, f"{work}/state-checkpoint")
+    return spark.read.schema(members).option("recursiveFileLookup", "true").parquet(f"{work}/members")
 
-    def keep(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        rows = stored(batch, "dedup-classified")
-        content = session.read.schema(schema).parquet(path).select(F.coalesce(text, F.lit("")).alias("text"), *columns[2:])
-        known = session.read.schema(rows.schema).parquet(*(f"{work}/members/{n}" for n in range(number))) if number else None
-        checked(rows, content, known).select(rows.columns).write.mode("overwrite").parquet(f"{work}/members/{number}")
 
+def run(spark: SparkSession, stream: DataFrame, each, checkpoint: str) -> None:
+    """Runs a stream, its state in RocksDB, until all that is there is read."""
     old = {k: spark.conf.get(k, None) for k in ROCKSDB}
     try:
         for k, v in ROCKSDB.items():
             spark.conf.set(k, v)
-        query = held.writeStream.foreachBatch(keep).option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start()
+        query = stream.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     query.awaitTermination()
-    return spark.read.schema(held.schema).option("recursiveFileLookup", "true").parquet(f"{work}/members")
 
 
 def deduplicate(spark: SparkSession, path: str, **options) -> DataFrame:

@@ -57,6 +57,9 @@ def test_empty_table(spark, tmp_path):
     assert exact_dedup.deduplicate(spark, f"{tmp_path}/docs").collect() == []
 
 
-def test_state_is_on_disk_without_expiry():
+def test_state_is_on_disk_without_expiry(spark, tmp_path):
     assert exact_dedup.ROCKSDB["spark.sql.streaming.stateStore.providerClass"].endswith("RocksDBStateStoreProvider")
-    assert exact_dedup.GroupStateTimeout.NoTimeout == "NoTimeout"
+    write(spark, [(1, "a", "", 0), (2, "b", "", 0), (3, "a", "", 0)], f"{tmp_path}/docs")
+    exact_dedup.deduplicate(spark, f"{tmp_path}/docs", work=f"file://{tmp_path}/work").collect()
+    state = spark.read.format("statestore").load(f"file://{tmp_path}/work/state-checkpoint").selectExpr("key.key as key").collect()
+    assert {r.key for r in state} == {hashlib.sha256(t).hexdigest() for t in (b"a", b"b")}
