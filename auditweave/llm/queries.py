@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditweave.llm import ann, bpe, embed_dedup, exact_dedup, jaccard, packing, pii, quality, secrets, toxicity, url_filter
+from auditweave.llm import ann, bpe, centroids, collocations, embed_dedup, exact_dedup, jaccard, packing, pii, quality, secrets, toxicity, url_filter
 from auditweave.llm.common import id_bucket, table
 
 
@@ -58,6 +58,14 @@ def op10_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digested(pii.extract(table(spark, sf_dir, "documents")))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(spark, f"{sf_dir}/documents.parquet")
 
@@ -73,7 +81,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe_transducer": op8_bpe_transducer,
     "op9_sum_of_squares_packing": op9_sum_of_squares_packing,
     "op10_bootstrapped_pii": op10_bootstrapped_pii,
+    "op11_collocations": op11_collocations,
+    "op12_centroid_clustering": op12_centroid_clustering,
     "op13_exact_dedup": op13_exact_dedup,
 }
 
-ORACLES: dict[str, str] = {"op1_trigram_secrets": secrets.sql(), "op2_spherical_cap_dedup": embed_dedup.SQL, "op6_url_filters": url_filter.sql(), "op13_exact_dedup": exact_dedup.SQL}
+ORACLES: dict[str, str] = {
+    "op1_trigram_secrets": secrets.sql(),
+    "op2_spherical_cap_dedup": embed_dedup.SQL,
+    "op6_url_filters": url_filter.sql(),
+    "op11_collocations": collocations.sql(),
+    "op12_centroid_clustering": centroids.sql(),
+    "op13_exact_dedup": exact_dedup.SQL,
+}
