@@ -198,11 +198,12 @@ def shards(docs: DataFrame, text: str, lang: str) -> DataFrame:
 
 
 def range_ends(blocks: DataFrame, ranges: int) -> list[tuple[bytes, ...]]:
-    """(language, path) of the first path of every range but the first: `ranges` at most, whatever the corpus holds."""
+    """(language, path) of the first path of every range but the first: `ranges` at most, from about SAMPLES_A_RANGE paths each, whatever the corpus holds."""
     found = blocks.select(F.col("lang").cast("binary").alias("lang"), F.explode("cuts").alias("path"))
-    some = found.select("lang", "path").orderBy(F.xxhash64("lang", "path"), "lang", "path").limit(SAMPLES_A_RANGE * ranges).collect()
-    every = sorted((bytes(r.lang), *map(bytes, r.path)) for r in some)
-    return sorted({every[len(every) * i // ranges] for i in range(1, ranges)}) if every else []
+    every = blocks.agg(F.sum(F.size("cuts"))).first()[0] or 1
+    some = found.where(F.pmod(F.xxhash64("lang", "path"), F.lit(every)) < SAMPLES_A_RANGE * ranges).select("lang", "path").collect()
+    held = sorted((bytes(r.lang), *map(bytes, r.path)) for r in some)
+    return sorted({held[len(held) * i // ranges] for i in range(1, ranges)}) if held else []
 
 
 def position(words: list[bytes], high: np.ndarray, low: np.ndarray, path: tuple[bytes, ...]) -> int:
