@@ -341,9 +341,19 @@ def collocations(docs: DataFrame, *, least: int = LEAST, top: int = TOP, text: s
     covers = phrases.where("depth > 2").select("lang", F.explode(spans).alias("phrase"), "f").groupBy("lang", "phrase").agg(F.max("f").alias("longer"))
     kept = scored.join(covers, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (100 * exact("longer") < 80 * exact("a")))
     words = known.where("depth = 0").select("lang", F.col("f").alias("n"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    best = kept.withColumn("rank", place).where(F.col("rank") <= top)  # Spark limits each task's rows before they meet
-    return best.join(words, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    best = ranked(kept, [F.desc("score"), F.desc("a"), "phrase"]).where(F.col("rank") <= top)
+    return best.join(words, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+def ranked(rows: DataFrame, order: list) -> DataFrame:
+    """rows with rank, from 1 within each language: one sort of all rows over all tasks, then where each task's stretch begins.
+
+    The stretches of a language are counted, one number a task, so no task gets a language's rows.
+    """
+    placed = stored(rows.orderBy("lang", *order).withColumn("at", F.monotonically_increasing_id()), "phrases-in-order").withColumn("task", F.shiftrightunsigned("at", 33))
+    stretches = placed.groupBy("lang", "task").agg(F.count("*").alias("n"), F.min("at").alias("from"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("lang").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return placed.join(stretches.select("lang", "task", "from", before.alias("before")), ["lang", "task"]).withColumn("rank", F.col("at") - F.col("from") + F.col("before") + 1).drop("at", "task", "from", "before")
 
 
 def sql(least: int = LEAST, top: int = TOP) -> str:
