@@ -23,14 +23,12 @@ from bisect import bisect_left, bisect_right
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditweave.llm.common import stored
+from auditweave.llm.common import marked, stored
 
 KINDS = ("email", "ip", "card", "phone", "id")
 ROUNDS = 3
 MIN_SEEDS = 3
 MIN_CONFIDENCE = 0.7
-#: Documents with discovered spans are sent to every executor up to so many; beyond, they are joined by shuffle.
-FEW_LEARNED = 100_000
 LONG_WORD = 64  # longer words stand in patterns by their 128-bit hash
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -88,13 +86,18 @@ def plain(word: str) -> str:
 
 
 class Words:
-    """The white-space-delimited runs of a text, found in one pass."""
+    """The white-space-delimited runs of a text and the instances in them, found in one pass.
 
-    def __init__(self, text: str):
+    What a run holds beside an instance, as far as the next instance, is a word of its own. Instances of one kind don't
+    overlap, so no character is read more often than there are kinds.
+    """
+
+    def __init__(self, text: str, held: list[tuple[int, int, bool]] = ()):
         self.text = text
         self.runs = [m.span() for m in WORD.finditer(text)]
         self.starts = [a for a, _ in self.runs]
         self.said: dict[int, str] = {}  # run -> its name, once asked for
+        self.begins, self.ends = sorted(a for a, _, _ in held), sorted(b for _, b, _ in held)
 
     def name(self, k: int) -> str:
         if k not in self.said:
@@ -102,10 +105,12 @@ class Words:
         return self.said[k]
 
     def around(self, start: int, end: int) -> tuple[list[str], list[str]]:
-        """Up to two words before start and after end; what a run holds beside the instance is a word of its own."""
+        """Up to two words before start and after end."""
         first, last = bisect_right(self.starts, start) - 1, bisect_left(self.starts, end) - 1
-        before = [plain(self.text[self.runs[first][0] : start])] if self.runs[first][0] < start else []
-        after = [plain(self.text[end : self.runs[last][1]])] if end < self.runs[last][1] else []
+        i, k = bisect_right(self.ends, start), bisect_left(self.begins, end)
+        from_, to = max(self.runs[first][0], self.ends[i - 1] if i else 0), min(self.runs[last][1], self.begins[k] if k < len(self.begins) else len(self.text))
+        before = [plain(self.text[from_:start])] if from_ < start else []
+        after = [plain(self.text[end:to])] if end < to else []
         before = [self.name(k) for k in range(max(0, first - 2 + len(before)), first)] + before
         after += [self.name(k) for k in range(last + 1, min(len(self.runs), last + 3 - len(after)))]
         return before, after
@@ -144,6 +149,11 @@ def instances(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, i
 SPAN = "struct<kind:int,start:int,end:int>"
 
 
+def printed(rows: DataFrame) -> DataFrame:
+    """rows with print, a hash of their text."""
+    return rows.withColumn("print", F.xxhash64(F.coalesce("text", F.lit(""))))
+
+
 def first_pass(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, print (of the text), base spans, and the instances with their patterns."""
 
@@ -155,18 +165,17 @@ def first_pass(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
         found_type = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("seed", pa.bool_()), ("instance", pa.int64()), ("patterns", pa.list_(pa.string()))])
         signed = lambda s: xxhash.xxh3_64_intdigest(s.encode("utf-8", "replace")) - (1 << 63)
         for batch in batches:
-            prints, spans, found = [], [], []
+            spans, found = [], []
             for t in batch.column(1).to_pylist():
                 t = t or ""
                 base = base_spans(t)
                 held = instances(t, base)
-                words = Words(t) if held else None
-                prints.append(signed(t))
+                words = Words(t, held) if held else None
                 spans.append([{"kind": k, "start": a, "end": b} for k, a, b in base])
                 found.append([{"start": a, "end": b, "seed": s, "instance": signed(t[a:b]), "patterns": contexts(words, a, b)} for a, b, s in held])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(found, pa.list_(found_type))], names=["doc_id", "print", "base", "found"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(spans, pa.list_(span)), pa.array(found, pa.list_(found_type))], names=["doc_id", "print", "base", "found"])
 
-    source = docs.select(F.col(doc_id), F.col(text))
+    source = printed(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
     kind = source.schema[0].dataType.simpleString()
     return source.mapInArrow(run, f"doc_id {kind}, print long, base array<{SPAN}>, found array<struct<start:int,end:int,seed:boolean,instance:long,patterns:array<string>>>")
 
@@ -210,28 +219,30 @@ def digested(spans: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs with every span replaced by its kind, such as [EMAIL]; overlapping spans become one, named by the first."""
-    learned = extract(docs, text=text, doc_id=doc_id).where(F.size("learned") > 0).select(F.col("doc_id").alias("_doc"), F.col("print").alias("_print"), "learned").dropDuplicates(["_doc", "_print"])
-    # only documents with discovered spans match; the others are redacted from their own text alone
-    side = stored(learned.groupBy("_doc").agg(F.collect_list(F.struct("_print", "learned")).alias("_learned")), "pii-learned")
-    few = side.count() <= FEW_LEARNED
-    joined = docs.join(F.broadcast(side) if few else side, docs[doc_id].eqNullSafe(F.col("_doc")), "left").drop("_doc")
+    """docs with every span replaced by its kind, such as [EMAIL]; overlapping spans become one, named by the first.
+
+    Rows are held as they are in a column of their own, so their columns may have any names. Only texts that a bitmap marks
+    as holding discovered spans are joined with those; the others are redacted from their own text alone.
+    """
+    learned = extract(docs, text=text, doc_id=doc_id).where(F.size("learned") > 0).select("doc_id", "print", "learned").dropDuplicates(["doc_id", "print"])
+    learned = stored(learned.withColumn("at", F.xxhash64("doc_id", "print")), "pii-learned")
+    rows = printed(docs.select(F.struct("*").alias("doc"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
+    dealt = marked(rows.withColumn("at", F.xxhash64("doc_id", "print")), "at", learned.select("at"))
+    near = dealt.where("marked").select("row.*").alias("n")
+    same = (F.col("n.at") == F.col("l.at")) & F.col("n.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("n.print") == F.col("l.print"))
+    joined = near.join(learned.alias("l"), same, "left").select("n.doc", "l.learned").union(dealt.where("not marked").select("row.doc", F.lit(None).cast(f"array<{SPAN}>")))
     at = docs.columns.index(text)
 
     def run(batches):
         import pyarrow as pa
-        import xxhash
 
         for batch in batches:
-            out = []
-            for t, extra in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
+            columns, out = batch.column(0).flatten(), []
+            for t, extra in zip(columns[at].to_pylist(), batch.column(1).to_pylist()):
                 if not t:
                     out.append(t)
                     continue
-                spans = base_spans(t)
-                if extra:
-                    own = xxhash.xxh3_64_intdigest(t.encode("utf-8", "replace")) - (1 << 63)
-                    spans += [(s["kind"], s["start"], s["end"]) for e in extra if e["_print"] == own for s in e["learned"]]
+                spans = base_spans(t) + [(s["kind"], s["start"], s["end"]) for s in extra or ()]
                 parts, free = [], 0
                 for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
                     if a >= free:
@@ -239,7 +250,8 @@ def redact(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> Da
                     free = max(free, b)
                 parts.append(t[free:])
                 out.append("".join(parts))
-            columns = [pa.array(out, pa.string()) if k == at else c for k, c in enumerate(batch.columns[:-1])]
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+            columns[at] = pa.array(out, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
+    names = docs.columns
     return joined.mapInArrow(run, docs.schema)
