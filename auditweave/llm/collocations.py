@@ -56,7 +56,8 @@ class Numbers(dict):
 class Trie:
     """The paths of one language in one task."""
 
-    def __init__(self):
+    def __init__(self, chunk: int = CHUNK):
+        self.chunk = chunk
         self.reset([])
 
     def reset(self, words: list[bytes]) -> None:
@@ -79,7 +80,7 @@ class Trie:
             end = gap.start() if gap else len(text)
             self.append(text[at:end].replace(b"\n", b" \n ").split(b" "))
             at = end
-            if self.size >= CHUNK:
+            if self.size >= self.chunk:
                 yield self.paths(False)
         self.append([b"\n"])
 
@@ -164,7 +165,7 @@ def unblocked(size: int, paths: bytes, counts: bytes) -> tuple[np.ndarray, np.nd
     return steps.T, opened(counts, size, np.int64)
 
 
-def shards(docs: DataFrame, text: str, lang: str) -> DataFrame:
+def shards(docs: DataFrame, text: str, lang: str, chunk: int = CHUNK, most: int = BLOCK) -> DataFrame:
     """The tries of all tasks as blocks; cuts: some of their paths, each standing for SAMPLE."""
 
     def run(batches):
@@ -175,19 +176,19 @@ def shards(docs: DataFrame, text: str, lang: str) -> DataFrame:
         schema = pa.schema([("lang", pa.string()), ("first", pa.list_(pa.binary())), ("words", pa.list_(pa.binary())), ("size", pa.int32()), ("paths", pa.binary()), ("counts", pa.binary()), ("cuts", pa.list_(pa.list_(pa.binary())))])
 
         def rows(language, words, p, counts):
-            for a in range(0, len(p), BLOCK):
-                row = block(words, p[a : a + BLOCK], counts[a : a + BLOCK])
+            for a in range(0, len(p), most):
+                row = block(words, p[a : a + most], counts[a : a + most])
                 from_ = zlib.crc32(b" ".join(row["first"])) % SAMPLE
-                cuts = [[words[i - 1][:LONGEST_CUT] for i in p[n] if i] for n in range(a + from_, min(a + BLOCK, len(p)), SAMPLE)]
+                cuts = [[words[i - 1][:LONGEST_CUT] for i in p[n] if i] for n in range(a + from_, min(a + most, len(p)), SAMPLE)]
                 yield pa.RecordBatch.from_pylist([row | {"lang": language, "cuts": cuts}], schema)
 
         tries: dict[str, Trie] = {}
         for batch in batches:
             for language, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                trie = tries.setdefault(language, Trie())
+                trie = tries.setdefault(language, Trie(chunk))
                 for found in trie.add(value.as_buffer().to_pybytes()):
                     yield from rows(language, *found)
-                if sum(t.size for t in tries.values()) > 4 * CHUNK:  # many languages
+                if sum(t.size for t in tries.values()) > 4 * chunk:  # many languages
                     full = max(tries, key=lambda k: tries[k].size)
                     yield from rows(full, *tries.pop(full).paths(True))
         for language, trie in tries.items():
@@ -272,7 +273,7 @@ def walked(words: list[bytes], p: np.ndarray, counts: np.ndarray, least: int):
             yield tuple(words[w - 1] for w in p[row, : d + 1]), d + 1, int(total[i]), [None if v < 0 else v for v in above[row, :d].tolist()], bool(rim[i])
 
 
-def nodes(pieces: DataFrame, least: int, ranges: int) -> DataFrame:
+def nodes(pieces: DataFrame, least: int, ranges: int, most: int = HELD) -> DataFrame:
     """lang, phrase, depth, f, lefts (of each proper prefix, null if not known here), rim: of every range's merged trie."""
 
     def run(batches):
@@ -293,7 +294,7 @@ def nodes(pieces: DataFrame, least: int, ranges: int) -> DataFrame:
                     if held:
                         yield told(joined(held))
                     at, held, size, merged = (row["range"], row["lang"]), [], 0, 0
-                elif size >= max(HELD, 2 * merged):
+                elif size >= max(most, 2 * merged):
                     words, p, counts = joined(held)
                     n = position(words, p[:, 0] << 32 | p[:, 1], p[:, 2] << 32 | p[:, 3], tuple(row["first"]))
                     if n:
