@@ -175,3 +175,40 @@ MODEL_SETTINGS = ("flowMaxDepth", "flowMaxPaths")
 STATUS_LABELS = {"unreviewed": "Not reviewed", "in_review": "In review", "reviewed": "Reviewed", "blocked": "Needs context"}
 ROLE_LABELS = {"input": "External input", "parameter": "Parameter", "assignment": "Assignment", "condition": "Control check", "validation": "Validation", "security-decision": "Security decision", "sensitive-use": "Sensitive use", "reference": "Reference"}
 CONFIDENCE_LABELS = {"high": "High match", "medium": "Medium match", "review": "Check call target"}
+
+#: Function headers, name and parameters as groups.
+_JAVA = r"^\s*(?:(?:public|protected|private)\s+)(?:static\s+)?(?:final\s+)?(?:synchronized\s+)?[\w<>\[\],.?]+\s+([A-Za-z_$][\w$]*)\s*\(([^)]*)\)"
+_PHP = r"(?i)^\s*(?:(?:public|protected|private|static|final|abstract)\s+)*function\s+&?\s*([A-Za-z_]\w*)\s*\(([^)]*)\)"
+_JS_DECLARED = r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s+([A-Za-z_$][\w$]*)\s*\(([^)]*)\)"
+_JS_ARROW = r"^\s*(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?(?:\(([^)]*)\)|([A-Za-z_$][\w$]*))\s*=>"
+_JS_INLINE = r"""\(\s*(?:"[^"]*"|'[^']*'|`[^`]*`|[^,()]+)\s*,\s*(?:async\s+)?(?:function\s+([A-Za-z_$][\w$]*)|function)?\s*\(([^)]*)\)\s*(?:=>|\{)"""
+_JS_METHOD = r"^\s*(?:(?:public|private|protected|static|async|readonly|override)\s+)*([A-Za-z_$][\w$]*)\s*\((.*)\)\s*(?::[^={]+)?\s*\{"
+_PYTHON = r"^\s*(?:async\s+)?def\s+([A-Za-z_]\w*)\s*\(([^)]*)\)\s*(?:->[^:]+)?\s*:"
+_CSHARP = r"^\s*(?:(?:public|private|protected|internal|static|async|virtual|override|sealed|new|partial|extern|unsafe)\s+)+(?:[\w<>,.?\[\]]+\s+)([A-Za-z_]\w*)\s*\(([^)]*)\)"
+_GO = r"^\s*func\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)\s*\(([^)]*)\)"
+#: The header forms of each language, in order of preference.
+HEADERS = {"java": [_JAVA], "php": [_PHP], "javascript": [_JS_DECLARED, _JS_ARROW, _JS_INLINE, _JS_METHOD], "typescript": [_JS_DECLARED, _JS_ARROW, _JS_INLINE, _JS_METHOD], "python": [_PYTHON], "csharp": [_CSHARP], "go": [_GO]}
+
+#: Fixed value: parameter types of Go request handlers.
+GO_HANDLER = r"\b(?:http\.ResponseWriter|\*http\.Request|\*gin\.Context|echo\.Context)\b"
+
+#: How routes are declared, by the framework's annotations, attributes, decorators and calls.
+QUOTED_ROUTE = r"""["']([^"']+)["']"""
+SPRING_MAPPING = r"@(GetMapping|PostMapping|PutMapping|DeleteMapping|PatchMapping|RequestMapping)\s*(?:\(([^)]*)\))?"
+SPRING_METHOD = r"RequestMethod\.(GET|POST|PUT|DELETE|PATCH)"
+JAX_METHOD = r"@(GET|POST|PUT|DELETE|PATCH)\b"
+JAX_PATH = r"""@Path\s*\(\s*["']([^"']+)["']"""
+SERVLET_METHOD = r"^do(Get|Post|Put|Delete|Patch)$"
+NEST_ROUTE = r"""(?i)@(Get|Post|Put|Delete|Patch|Options|All)\s*\(\s*["']?([^"')\s]*)"""
+EXPORTED_METHOD = "^(GET|POST|PUT|DELETE|PATCH|OPTIONS)$"
+EXPORT = r"\bexport\b"
+PYTHON_ROUTE = r"""(?i)@(?:app|router|blueprint|bp)\.(get|post|put|delete|patch|options|route)\s*\(\s*["']([^"']+)["']([^)]*)"""
+PYTHON_METHOD = r"""(?i)["'](GET|POST|PUT|DELETE|PATCH|OPTIONS)["']"""
+PYTHON_REQUEST = r"\brequest\b"
+CSHARP_HTTP = r"""(?i)\[Http(Get|Post|Put|Delete|Patch|Options)(?:\s*\(\s*["']([^"']*)["'])?"""
+CSHARP_ROUTE = r"""(?i)\[Route\s*\(\s*["']([^"']+)["']"""
+PHP_ROUTE = r"""(?i)(?:Route::|\$app->)(get|post|put|delete|patch|any)\s*\(\s*["']([^"']+)["']"""
+SCRIPT_ROUTE = r"""(?i)\b(?:app|router|server|fastify)\.(get|post|put|delete|patch|options|all|use)\s*\(\s*["'`]([^"'`]+)["'`]"""
+GO_HANDLE = r"""\b(?:http\.)?HandleFunc\s*\(\s*["']([^"']+)["']\s*,\s*([A-Za-z_]\w*)"""
+GO_ROUTER = r"""\b\w+\.(GET|POST|PUT|DELETE|PATCH|OPTIONS|Any|HandleFunc)\s*\(\s*["']([^"']+)["']\s*,\s*([A-Za-z_]\w*)"""
+GO_METHODS = r"""(?i)\.Methods\s*\(\s*["'](GET|POST|PUT|DELETE|PATCH|OPTIONS)"""

@@ -36,9 +36,9 @@ def canonical_name(name: Name) -> Column:
     return F.lower(F.regexp_replace(F.coalesce(col(name), F.lit("")), "[^A-Za-z0-9]", ""))
 
 
-def language_of(path: Name) -> Column:
+def language_of(path: Name, extensions: dict[str, tuple[str, ...]] = catalog.EXTENSIONS) -> Column:
     extension = F.lower(F.regexp_extract(col(path), r"(\.[^./\\]*)$", 1))
-    return F.element_at(F.create_map(*(F.lit(x) for lang, exts in catalog.EXTENSIONS.items() for e in exts for x in (e, lang))), extension)
+    return F.element_at(F.create_map(*(F.lit(x) for lang, exts in extensions.items() for e in exts for x in (e, lang))), extension)
 
 
 def reference_path(target: Name) -> Column:
@@ -132,17 +132,15 @@ def first_line(text: Name) -> Column:
     return F.substring(F.split(F.coalesce(col(text), F.lit("")), r"\r?\n")[0], 1, 280)
 
 
-def trace_role(code: Name, identifier: str, kinds: Name) -> Column:
-    """The role of a mention: by the line's signal kinds, else by its form."""
-    import re
-
-    word, has = rf"(?<![\w$]){re.escape(identifier)}(?![\w$])", lambda k: F.array_contains(col(kinds), k)
+def trace_role(code: Name, identifier: Name, kinds: Name) -> Column:
+    """The role of a mention: by the line's signal kinds, else by its form. identifier: a column of plain identifiers."""
+    # The forms of assignments, conditions and parameters.
+    quoted = F.concat(F.lit(r"(?<![\w$])\Q"), col(identifier), F.lit(r"\E(?![\w$])"))
+    assigned, condition, parameter = F.concat(quoted, F.lit(r"\s*(?::[^=]+)?=")), F.lit(r"\b(?:if|else if|while|switch|case|match)\b"), F.concat(F.lit(r"(?:function|def|func|public|private|protected|internal).*\([^)]*"), quoted)
+    has = lambda k: F.array_contains(col(kinds), k)
     return (
         F.when(has("source"), "input").when(has("sink"), "sensitive-use").when(has("sanitizer"), "validation").when(has("auth"), "security-decision")
-        .when(F.rlike(col(code), F.lit(rf"{word}\s*(?::[^=]+)?=")), "assignment")
-        .when(F.rlike(col(code), F.lit(r"\b(?:if|else if|while|switch|case|match)\b")), "condition")
-        .when(F.rlike(col(code), F.lit(rf"(?:function|def|func|public|private|protected|internal).*\([^)]*{word}")), "parameter")
-        .otherwise("reference")
+        .when(F.rlike(col(code), assigned), "assignment").when(F.rlike(col(code), condition), "condition").when(F.rlike(col(code), parameter), "parameter").otherwise("reference")
     )
 
 

@@ -1,39 +1,66 @@
 """From source files to lines, signals, functions, entry points, scopes and operations.
 
 files: absolute_path, relative_path, language, text. Everything below is keyed by file_id; the per-file scanner state
-(comments and strings over lines, block ends) is one Arrow pass, all else is joins, windows and array functions.
+(comments and strings over lines, block ends, open functions) is one Arrow pass, all else is joins and array functions.
+
+Functions are an interval forest: one stack pass per file gives each line its `owners`, the first lines of all functions
+that hold it, outermost first. What lies in a function is an equi join on (file, owner), what lies in none has no owners.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from auditweave import catalog
+from auditweave.frontends import BUILT_IN, Frontends
 from auditweave.functions import columns as C
 
 FACTS = "struct<target:string,assigned:array<string>,calls:array<struct<callee:string,receiver:string,arguments:array<string>,argument_variables:array<array<string>>>>,branch:array<string>,returned:array<string>>"
-SIGNAL = "line int, kind string, label string, category string, code string"
+GIVEN = "struct<target:string,assigned:array<string>>"
+HEADER = "struct<name:string,parameters:string,names:array<string>,above:array<string>>"
+OWN = "struct<signals:array<struct<kind:string,label:string,category:string,code:string,variables:array<string>>>,entries:array<struct<method:string,route:string>>>"
+REFERENCES = "array<struct<local:string,target:string,kind:string>>"
+LINE = f"file_id string, language string, line int, raw string, masked string, plain string, block_end int, facts {FACTS}, given {GIVEN}, named array<string>, references {REFERENCES}, header {HEADER}, owners array<int>, own {OWN}"
 
 
 def with_ids(files: DataFrame) -> DataFrame:
     return files.withColumn("file_id", C.short_hash(C.slashed("absolute_path")))
 
 
-REFERENCES = "array<struct<local:string,target:string,kind:string>>"
-LINE = f"file_id string, language string, line int, raw string, masked string, plain string, block_end int, facts {FACTS}, given struct<target:string,assigned:array<string>>, named array<string>, references {REFERENCES}"
-
-
-def lines(files: DataFrame) -> DataFrame:
+def lines(files: DataFrame, frontends: Frontends = BUILT_IN) -> DataFrame:
     """file_id, language, line, raw, masked (no strings or comments), plain (no comments), block_end, and what each line says.
 
     facts: of the masked line, null if blank; given, named: assignment and names of the raw line; references: of the whole
-    file, on its first line. Everything that needs Python is read in this one pass.
+    file, on its first line; header: of the function that starts there, with the plain lines above it; owners: the functions
+    that hold the line; own: what the language's own parser says of the line. Everything that needs Python is read in this
+    one pass. A few small files hold much work for one task, so they are dealt to more; a large corpus is not shuffled.
     """
     from auditweave.functions import lexing
 
+    headers, parsers = frontends.headers, frontends.parsers
+
+    def of_file(file_id, language, path, text):
+        """The columns of one file's lines."""
+        text = (text or "").replace("\r\n", "\n")
+        parse = parsers.get(language)
+        raw = text.split("\n")
+        if parse:
+            told = lexing.parsed(parse(text, path))
+            raw += [""] * (told.lines - len(raw))
+            n = len(raw)
+            ends, starts, own, references = told.ends(n), told.headers(n), told.own(n), told.references
+            masked = plain = raw
+        else:
+            masked, plain = (lexing.blanked(text, language, strings).split("\n") for strings in (True, False))
+            n = len(raw)
+            ends = lexing.indent_ends(raw) if language == "python" else lexing.block_ends(masked)
+            starts, own, references = lexing.headers(masked, plain, headers.get(language, ()), language), [None] * n, lexing.file_references(plain, language)
+        return ([file_id] * n, [language] * n, range(1, n + 1), raw, masked, plain, ends, [lexing.line_facts(x) if x.strip() else None for x in masked],
+                [lexing.given(x) for x in raw], [lexing.identifiers(x.strip()) for x in raw], [references, *[None] * (n - 1)], starts, lexing.owners(starts, ends), own)
+
     def run(batches):
         import pyarrow as pa
 
@@ -41,104 +68,86 @@ def lines(files: DataFrame) -> DataFrame:
         for whole in batches:
             for from_ in range(0, whole.num_rows, 256):
                 out: list[list] = [[] for _ in kinds]
-                for file_id, language, text in zip(*(c.to_pylist() for c in whole.slice(from_, 256).columns)):
-                    text = (text or "").replace("\r\n", "\n")
-                    raw, masked, plain = (x.split("\n") for x in (text, lexing.blanked(text, language), lexing.blanked(text, language, False)))
-                    n = len(raw)
-                    of_file = ([file_id] * n, [language] * n, range(1, n + 1), raw, masked, plain, lexing.indent_ends(raw) if language == "python" else lexing.block_ends(masked),
-                               [lexing.line_facts(x) if x.strip() else None for x in masked], [lexing.given(x) for x in raw], [lexing.identifiers(x.strip()) for x in raw], [lexing.file_references(plain, language), *[None] * (n - 1)])
-                    for column, values in zip(out, of_file):
+                for row in zip(*(c.to_pylist() for c in whole.slice(from_, 256).columns)):
+                    for column, values in zip(out, of_file(*row)):
                         column.extend(values)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(out, kinds)], schema=kinds)
 
-    schema = StructType.fromDDL(LINE)
-    return with_ids(files).select("file_id", "language", "text").mapInArrow(run, schema)
+    schema, cores = StructType.fromDDL(LINE), files.sparkSession.sparkContext.defaultParallelism
+    if files.rdd.getNumPartitions() < cores:
+        files = files.repartition(2 * cores)
+    path = F.col("relative_path") if "relative_path" in files.columns else F.col("absolute_path")
+    return with_ids(files).select("file_id", "language", path, "text").mapInArrow(run, schema)
 
 
-def signals(lines: DataFrame) -> DataFrame:
-    """file_id, language, line, ordinal (in the catalogue), kind, label, category, code. One literal regex each, so Spark compiles each once."""
-    by_language = None
-    for language, rows in catalog.PATTERNS.items():
+def signals(lines: DataFrame, frontends: Frontends = BUILT_IN) -> DataFrame:
+    """file_id, language, line, ordinal (in the catalogue), kind, label, category, code, variables, given, named, owners.
+
+    One literal regex each, so Spark compiles each once; a language with a parser of its own has the parser's signals.
+    variables: what a parser says the signal reads; given, named, owners: as of the line.
+    """
+    by_language, none = None, F.lit(None).cast("array<string>")
+    for language, rows in frontends.patterns.items():
         tests = F.array_compact(F.array(*(
-            F.when(F.rlike(F.col("plain" if strings else "masked"), F.lit(regex)), F.struct(F.lit(n).alias("ordinal"), F.lit(kind).alias("kind"), F.lit(label).alias("label"), F.lit(category or kind).alias("category")))
+            F.when(F.rlike(F.col("plain" if strings else "masked"), F.lit(regex)), F.struct(F.lit(n).alias("ordinal"), F.lit(kind).alias("kind"), F.lit(label).alias("label"), F.lit(category or kind).alias("category"), F.trim("raw").alias("code"), none.alias("variables")))
             for n, (kind, label, regex, category, strings) in enumerate(rows))))
         by_language = F.when(F.col("language") == language, tests) if by_language is None else by_language.when(F.col("language") == language, tests)
-    found = lines.where(F.trim("masked") != "").select("file_id", "language", "line", F.trim("raw").alias("code"), F.explode(by_language).alias("s"))
-    return found.select("file_id", "language", "line", "s.*", "code")
+    kept = ["file_id", "language", "line", "given", "named", "owners"]
+    found = lines.where(F.trim("masked") != "").select(*kept, F.explode(by_language).alias("s"))
+    if frontends.parsers:
+        told = lines.where("own is not null").select(*kept, F.trim("raw").alias("raw"), F.posexplode("own.signals").alias("n", "p"))
+        found = found.unionByName(told.select(*kept, F.struct(F.col("n").alias("ordinal"), "p.kind", "p.label", F.coalesce("p.category", "p.kind").alias("category"), F.coalesce("p.code", "raw").alias("code"), "p.variables").alias("s")))
+    return found.select("file_id", "language", "line", "s.*", "given", "named", "owners")
+
 
+SIGNAL = ["line", "ordinal", "kind", "label", "category", "code"]
 
-_JAVA = r"^\s*(?:(?:public|protected|private)\s+)(?:static\s+)?(?:final\s+)?(?:synchronized\s+)?[\w<>\[\],.?]+\s+([A-Za-z_$][\w$]*)\s*\(([^)]*)\)"
-_PHP = r"(?i)^\s*(?:(?:public|protected|private|static|final|abstract)\s+)*function\s+&?\s*([A-Za-z_]\w*)\s*\(([^)]*)\)"
-_JS_DECLARED = r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s+([A-Za-z_$][\w$]*)\s*\(([^)]*)\)"
-_JS_ARROW = r"^\s*(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?(?:\(([^)]*)\)|([A-Za-z_$][\w$]*))\s*=>"
-_JS_INLINE = r"""\(\s*(?:"[^"]*"|'[^']*'|`[^`]*`|[^,()]+)\s*,\s*(?:async\s+)?(?:function\s+([A-Za-z_$][\w$]*)|function)?\s*\(([^)]*)\)\s*(?:=>|\{)"""
-_JS_METHOD = r"^\s*(?:(?:public|private|protected|static|async|readonly|override)\s+)*([A-Za-z_$][\w$]*)\s*\((.*)\)\s*(?::[^={]+)?\s*\{"
-_PYTHON = r"^\s*(?:async\s+)?def\s+([A-Za-z_]\w*)\s*\(([^)]*)\)\s*(?:->[^:]+)?\s*:"
-_CSHARP = r"^\s*(?:(?:public|private|protected|internal|static|async|virtual|override|sealed|new|partial|extern|unsafe)\s+)+(?:[\w<>,.?\[\]]+\s+)([A-Za-z_]\w*)\s*\(([^)]*)\)"
-_GO = r"^\s*func\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)\s*\(([^)]*)\)"
-#: The header forms of each language, in order of preference.
-HEADERS = {"java": [_JAVA], "php": [_PHP], "javascript": [_JS_DECLARED, _JS_ARROW, _JS_INLINE, _JS_METHOD], "typescript": [_JS_DECLARED, _JS_ARROW, _JS_INLINE, _JS_METHOD], "python": [_PYTHON], "csharp": [_CSHARP], "go": [_GO]}
 
+def functions(lines: DataFrame) -> DataFrame:
+    """file_id, language, name, parameters (raw), names (of the parameters), line, end_line, and the plain lines above (eight with its own)."""
+    return lines.where("header is not null").select("file_id", "language", F.when(F.col("header.name") == "", "callback").otherwise(F.col("header.name")).alias("name"), "header.parameters", "header.names", "line", F.col("block_end").alias("end_line"), "header.above")
 
-#: Fixed value: parameter types of Go request handlers.
-GO_HANDLER = r"\b(?:http\.ResponseWriter|\*http\.Request|\*gin\.Context|echo\.Context)\b"
 
+ANNOTATED = ("java", "python", "csharp", "typescript", "javascript")
 
-def functions(lines: DataFrame) -> DataFrame:
-    """file_id, language, name, parameters (raw), line, end_line."""
-    header = None
-    for language, forms in HEADERS.items():
-        tried = F.coalesce(*(
-            F.when(F.rlike("masked", F.lit(regex)), F.struct(
-                F.regexp_extract("masked", regex, 1).alias("name"),
-                (F.coalesce(F.nullif(F.regexp_extract("masked", regex, 2), F.lit("")), F.regexp_extract("masked", regex, 3)) if regex is _JS_ARROW else F.regexp_extract("masked", regex, 2)).alias("parameters")))
-            for regex in forms))
-        header = F.when(F.col("language") == language, tried) if header is None else header.when(F.col("language") == language, tried)
-    found = lines.select("file_id", "language", "line", "block_end", header.alias("h")).where("h is not null and not h.name rlike '^(?:if|for|while|switch|catch|with)$'")
-    return found.select("file_id", "language", F.when(F.col("h.name") == "", "callback").otherwise(F.col("h.name")).alias("name"), F.col("h.parameters").alias("parameters"), "line", F.col("block_end").alias("end_line"))
-
-
-def function_signals(functions: DataFrame, signals: DataFrame, lines: DataFrame) -> DataFrame:
+
+def function_signals(functions: DataFrame, signals: DataFrame) -> DataFrame:
     """Signals of each function (fn_line): those inside it, and annotations up to eight lines above it."""
-    reach = F.when(F.col("language").isin("java", "python", "csharp", "typescript", "javascript"), F.greatest(F.lit(1), F.col("line") - 8)).otherwise(F.col("line"))
-    spans = functions.select("file_id", F.col("line").alias("fn_line"), F.explode(F.sequence(reach, F.greatest("line", "end_line"))).alias("line"))
-    marked = signals.join(lines.select("file_id", "line", F.rlike("raw", F.lit(r"^\s*(?:@|\[)")).alias("annotation")), ["file_id", "line"])
-    return spans.join(marked, ["file_id", "line"]).where("line >= fn_line or annotation").drop("annotation")
+    inside = signals.withColumn("fn_line", F.explode("owners"))
+    marks = signals.where(F.rlike("code", F.lit(r"^\s*(?:@|\[)")) & F.col("language").isin(*ANNOTATED))
+    above = marks.withColumn("fn_line", F.explode(F.transform(F.array(*map(F.lit, range(1, 9))), lambda n: F.col("line") + n)))
+    return inside.unionByName(above.join(functions.select("file_id", F.col("line").alias("fn_line")), ["file_id", "fn_line"], "left_semi"))
 
 
-def uncovered(rows: DataFrame, functions: DataFrame) -> DataFrame:
-    """Rows (file_id, line) that lie in no function."""
-    spans = functions.select("file_id", F.explode(F.sequence("line", F.greatest("line", "end_line"))).alias("line")).distinct()
-    return rows.join(spans, ["file_id", "line"], "left_anti")
+def uncovered(rows: DataFrame) -> DataFrame:
+    """Rows (with owners) that lie in no function."""
+    return rows.where(F.size("owners") == 0)
 
 
 def entries(lines: DataFrame, functions: DataFrame, signals: DataFrame, files: DataFrame) -> DataFrame:
     """file_id, method, route, title, line, end_line, function_line, function_name."""
     paths = with_ids(files).select("file_id", "relative_path")
-    per_file = Window.partitionBy("file_id").orderBy("line")
-    near = lines.select("file_id", "line", "plain", F.concat_ws(" ", F.collect_list("plain").over(per_file.rowsBetween(-7, 0))).alias("eight"), F.concat_ws(" ", F.collect_list("plain").over(per_file.rowsBetween(-6, 0))).alias("seven"))
-    fn = functions.join(near, ["file_id", "line"])
+    fn = functions.withColumns({"eight": F.array_join("above", " "), "seven": F.array_join(F.slice("above", F.greatest(F.lit(1), F.size("above") - 6), 7), " "), "plain": F.element_at("above", -1)})
     get = F.regexp_extract
     empty_null = lambda c: F.nullif(c, F.lit(""))
 
-    java = r"@(GetMapping|PostMapping|PutMapping|DeleteMapping|PatchMapping|RequestMapping)\s*(?:\(([^)]*)\))?"
+    java = catalog.SPRING_MAPPING
     mapping, inside = get("eight", java, 1), get("eight", java, 2)
-    jax, servlet = get("eight", r"@(GET|POST|PUT|DELETE|PATCH)\b", 1), get("name", r"^do(Get|Post|Put|Delete|Patch)$", 1)
-    java_method = F.when(mapping == "RequestMapping", F.coalesce(empty_null(get(inside, r"RequestMethod\.(GET|POST|PUT|DELETE|PATCH)", 1)), F.lit("ANY"))).when(mapping != "", F.upper(F.replace(mapping, F.lit("Mapping"), F.lit("")))).when(jax != "", jax).otherwise(F.upper(servlet))
-    quoted = r"""["']([^"']+)["']"""
-    java_route = F.coalesce(empty_null(get(inside, quoted, 1)), empty_null(get("eight", r"""@Path\s*\(\s*["']([^"']+)["']""", 1)), F.col("name"))
+    jax, servlet = get("eight", catalog.JAX_METHOD, 1), get("name", catalog.SERVLET_METHOD, 1)
+    java_method = F.when(mapping == "RequestMapping", F.coalesce(empty_null(get(inside, catalog.SPRING_METHOD, 1)), F.lit("ANY"))).when(mapping != "", F.upper(F.replace(mapping, F.lit("Mapping"), F.lit("")))).when(jax != "", jax).otherwise(F.upper(servlet))
+    java_route = F.coalesce(empty_null(get(inside, catalog.QUOTED_ROUTE, 1)), empty_null(get("eight", catalog.JAX_PATH, 1)), F.col("name"))
 
-    nest = r"""(?i)@(Get|Post|Put|Delete|Patch|Options|All)\s*\(\s*["']?([^"')\s]*)"""
-    exported = F.rlike("name", F.lit("^(GET|POST|PUT|DELETE|PATCH|OPTIONS)$")) & F.rlike("plain", F.lit(r"\bexport\b"))
+    nest = catalog.NEST_ROUTE
+    exported = F.rlike("name", F.lit(catalog.EXPORTED_METHOD)) & F.rlike("plain", F.lit(catalog.EXPORT))
     js_method = F.when(F.rlike("seven", F.lit(nest)), F.upper(get("seven", nest, 1))).when(exported, F.col("name"))
     js_route = F.coalesce(empty_null(get("seven", nest, 2)), F.col("name"))
 
-    py = r"""(?i)@(?:app|router|blueprint|bp)\.(get|post|put|delete|patch|options|route)\s*\(\s*["']([^"']+)["']([^)]*)"""
+    py = catalog.PYTHON_ROUTE
     verb = F.upper(get("eight", py, 1))
-    py_method = F.when(F.rlike("eight", F.lit(py)), F.when(verb == "ROUTE", F.coalesce(empty_null(F.upper(get(get("eight", py, 3), r"""(?i)["'](GET|POST|PUT|DELETE|PATCH|OPTIONS)["']""", 1))), F.lit("ANY"))).otherwise(verb)).when(F.rlike("parameters", F.lit(r"\brequest\b")), "REQUEST")
+    py_method = F.when(F.rlike("eight", F.lit(py)), F.when(verb == "ROUTE", F.coalesce(empty_null(F.upper(get(get("eight", py, 3), catalog.PYTHON_METHOD, 1))), F.lit("ANY"))).otherwise(verb)).when(F.rlike("parameters", F.lit(catalog.PYTHON_REQUEST)), "REQUEST")
     py_route = F.coalesce(empty_null(get("eight", py, 2)), F.col("name"))
 
-    http, attr = r"""(?i)\[Http(Get|Post|Put|Delete|Patch|Options)(?:\s*\(\s*["']([^"']*)["'])?""", r"""(?i)\[Route\s*\(\s*["']([^"']+)["']"""
+    http, attr = catalog.CSHARP_HTTP, catalog.CSHARP_ROUTE
     cs_method = F.when(F.rlike("eight", F.lit(http)), F.upper(get("eight", http, 1))).when(F.rlike("eight", F.lit(attr)), "ANY")
     cs_route = F.coalesce(empty_null(get("eight", http, 2)), empty_null(get("eight", attr, 1)), F.col("name"))
 
@@ -148,31 +157,33 @@ def entries(lines: DataFrame, functions: DataFrame, signals: DataFrame, files: D
     headed = fn.select("file_id", method.alias("method"), route.alias("route"), "line", "end_line", F.col("line").alias("function_line"), F.col("name").alias("function_name")).where("method is not null")
 
     # entries that a line declares by itself
-    php = r"""(?i)(?:Route::|\$app->)(get|post|put|delete|patch|any)\s*\(\s*["']([^"']+)["']"""
-    js_line = r"""(?i)\b(?:app|router|server|fastify)\.(get|post|put|delete|patch|options|all|use)\s*\(\s*["'`]([^"'`]+)["'`]"""
+    php, js_line = catalog.PHP_ROUTE, catalog.SCRIPT_ROUTE
     declared = lines.where(((F.col("language") == "php") & F.rlike("plain", F.lit(php))) | (js & F.rlike("plain", F.lit(js_line))))
     pick = lambda g: F.when(F.col("language") == "php", get("plain", php, g)).otherwise(get("plain", js_line, g))
-    declared = declared.select("file_id", F.upper(pick(1)).alias("method"), pick(2).alias("route"), "line")
-    declared = _within(declared, functions)
+    declared = _within(declared.select("file_id", F.upper(pick(1)).alias("method"), pick(2).alias("route"), "line", "owners"), functions)
 
     # PHP files with input but no routes: the script itself is an entry
-    first = signals.where("kind = 'source' and language = 'php'").groupBy("file_id").agg(F.min("line").alias("line"))
+    first = signals.where("kind = 'source' and language = 'php'").groupBy("file_id").agg(F.min("line").alias("line"), F.min_by("owners", "line").alias("owners"))
     script = first.join(declared.select("file_id").distinct(), "file_id", "left_anti").join(paths, "file_id")
-    script = _within(script.select("file_id", F.lit("REQUEST").alias("method"), F.col("relative_path").alias("route"), "line"), functions).withColumn("line", F.coalesce("function_line", "line"))
+    script = _within(script.select("file_id", F.lit("REQUEST").alias("method"), F.col("relative_path").alias("route"), "line", "owners"), functions).withColumn("line", F.coalesce("function_line", "line"))
 
     # Go: handlers by name in the same file, then functions with handler parameters that no entry names
-    direct, router = r"""\b(?:http\.)?HandleFunc\s*\(\s*["']([^"']+)["']\s*,\s*([A-Za-z_]\w*)""", r"""\b\w+\.(GET|POST|PUT|DELETE|PATCH|OPTIONS|Any|HandleFunc)\s*\(\s*["']([^"']+)["']\s*,\s*([A-Za-z_]\w*)"""
+    direct, router = catalog.GO_HANDLE, catalog.GO_ROUTER
     is_direct, kind = F.rlike("plain", F.lit(direct)), get("plain", router, 1)
     named = lines.where((F.col("language") == "go") & (is_direct | F.rlike("plain", F.lit(router)))).select(
-        "file_id", F.when(is_direct, "REQUEST").when(F.lower(kind) == "handlefunc", F.coalesce(empty_null(F.upper(get("plain", r"""(?i)\.Methods\s*\(\s*["'](GET|POST|PUT|DELETE|PATCH|OPTIONS)""", 1))), F.lit("ANY"))).otherwise(F.upper(kind)).alias("method"),
+        "file_id", F.when(is_direct, "REQUEST").when(F.lower(kind) == "handlefunc", F.coalesce(empty_null(F.upper(get("plain", catalog.GO_METHODS, 1))), F.lit("ANY"))).otherwise(F.upper(kind)).alias("method"),
         F.when(is_direct, get("plain", direct, 1)).otherwise(get("plain", router, 2)).alias("route"), "line", F.when(is_direct, get("plain", direct, 2)).otherwise(get("plain", router, 3)).alias("handler"))
     handlers = functions.groupBy("file_id", F.col("name").alias("handler")).agg(F.min_by(F.struct(F.col("line").alias("function_line"), "end_line"), "line").alias("f"))
     routed = named.join(handlers, ["file_id", "handler"], "left").select("file_id", "method", "route", F.coalesce("f.function_line", "line").alias("line"), F.coalesce("f.end_line", "f.function_line", "line").alias("end_line"), "f.function_line", F.when(F.col("f").isNotNull(), F.col("handler")).alias("function_name"))
-    typed = functions.where(F.col("language").eqNullSafe("go") & F.rlike("parameters", F.lit(GO_HANDLER)))
+    typed = functions.where(F.col("language").eqNullSafe("go") & F.rlike("parameters", F.lit(catalog.GO_HANDLER)))
     typed = typed.join(routed.where("function_line is not null").select("file_id", F.col("function_line").alias("line")).distinct(), ["file_id", "line"], "left_anti")
     typed = typed.select("file_id", F.lit("REQUEST").alias("method"), F.col("name").alias("route"), "line", "end_line", F.col("line").alias("function_line"), F.col("name").alias("function_name"))
 
-    every = headed.unionByName(declared).unionByName(script).unionByName(routed).unionByName(typed)
+    # entries that a language's own parser names
+    told = lines.where("own is not null").select("file_id", "line", "owners", F.explode("own.entries").alias("e"))
+    told = _within(told.select("file_id", F.upper("e.method").alias("method"), "e.route", "line", "owners"), functions)
+
+    every = headed.unionByName(declared).unionByName(script).unionByName(routed).unionByName(typed).unionByName(told)
     # scripts can name one entry twice on a line: the first that ends stays
     script_files = with_ids(files).where(F.col("language").isin("javascript", "typescript")).select("file_id")
     key = ["file_id", "method", "route", "line"]
@@ -181,27 +192,24 @@ def entries(lines: DataFrame, functions: DataFrame, signals: DataFrame, files: D
 
 
 def _within(rows: DataFrame, functions: DataFrame) -> DataFrame:
-    """Adds the first function that contains each row's line, and the end it gives."""
-    spans = functions.select("file_id", F.explode(F.sequence("line", F.greatest("line", "end_line"))).alias("at"), F.struct(F.col("line").alias("function_line"), "end_line", F.col("name").alias("function_name")).alias("f"))
-    first = spans.groupBy("file_id", F.col("at").alias("line")).agg(F.min_by("f", "f.function_line").alias("f"))
-    return rows.join(first, ["file_id", "line"], "left").select("file_id", "method", "route", "line", F.coalesce("f.end_line", "line").alias("end_line"), "f.function_line", "f.function_name")
+    """Adds the first function that contains each row's line (of its owners the outermost), and the end it gives."""
+    first = functions.select("file_id", F.col("line").alias("function_line"), F.col("end_line").alias("fn_end"), F.col("name").alias("function_name"))
+    placed = rows.withColumn("function_line", F.get("owners", F.lit(0))).join(first, ["file_id", "function_line"], "left")
+    return placed.select("file_id", "method", "route", "line", F.coalesce("fn_end", "line").alias("end_line"), "function_line", "function_name")
 
 
 def scopes(files: DataFrame, lines: DataFrame, functions: DataFrame, signals: DataFrame, entries: DataFrame) -> DataFrame:
     """scope_id, file_id, name, parameters (names), line, end_line, language, paths, is_entry, entry_title, is_global, references."""
-    from auditweave.functions import lexing
-
-    named = F.udf(lexing.parameter_names, "array<string>", useArrow=True)
     info = with_ids(files).select("file_id", "absolute_path", "relative_path")
     titles = entries.where("function_line is not null").groupBy("file_id", F.col("function_line").alias("line")).agg(F.min("title").alias("entry_title"))
-    fn = functions.withColumn("names", named("parameters", "language")).join(info, "file_id")
+    fn = functions.join(info, "file_id")
     signature = F.concat("name", F.lit("("), F.array_join("names", ","), F.lit(")"))
     nth = F.row_number().over(Window.partitionBy("file_id", signature).orderBy("line")) - 1
     fn = fn.withColumn("scope_id", C.short_hash(F.concat_ws(":", C.slashed("relative_path"), "language", signature, nth.cast("string"))))
     fn = fn.join(titles, ["file_id", "line"], "left").select("scope_id", "file_id", "name", F.col("names").alias("parameters"), "line", "end_line", "language", "absolute_path", "relative_path", F.col("entry_title").isNotNull().alias("is_entry"), "entry_title", F.lit(False).alias("is_global"))
 
-    free = uncovered(lines.select("file_id", "language", "line"), functions)
-    wanted = uncovered(signals.select("file_id", "line"), functions).select("file_id").union(entries.where("function_line is null").select("file_id")).distinct()
+    free = uncovered(lines.select("file_id", "language", "line", "owners"))
+    wanted = uncovered(signals).select("file_id").union(entries.where("function_line is null").select("file_id")).distinct()
     loose = entries.where("function_line is null").groupBy("file_id").agg(F.min_by("title", "line").alias("entry_title"))
     rest = free.join(wanted, "file_id", "left_semi").groupBy("file_id", "language").agg(F.min("line").alias("line"), F.max("line").alias("end_line")).join(info, "file_id").join(loose, "file_id", "left")
     rest = rest.select(C.short_hash(F.concat_ws(":", C.slashed("relative_path"), "language", F.lit("global-scope"))).alias("scope_id"), "file_id", F.lit("global scope").alias("name"), F.array().cast("array<string>").alias("parameters"), "line", "end_line", "language", "absolute_path", "relative_path", F.col("entry_title").isNotNull().alias("is_entry"), "entry_title", F.lit(True).alias("is_global"))
@@ -213,24 +221,42 @@ def references(lines: DataFrame) -> DataFrame:
     return lines.where("line = 1").select("file_id", "references")
 
 
-def mentions(lines: DataFrame, signals: DataFrame, identifier: str) -> DataFrame:
-    """file_id, line, column, end_column, code, role, kinds of every mention of an identifier."""
+def postings(lines: DataFrame) -> DataFrame:
+    """identifier, file_id, line, column, end_column of every identifier in code that is no member: an index for lookups of any number of identifiers."""
     from auditweave.functions import lexing
 
-    found = F.udf(lambda masked: [{"column": b, "end_column": c} for _, b, c in lexing.occurrences([masked], identifier)], "array<struct<column:int,end_column:int>>", useArrow=True)
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [[(*m, n) for m in lexing.mentioned(code)] for n, code in enumerate(batch.column(2).to_pylist())]
+            flat = [m for each in found for m in each]
+            at = pa.array([m[3] for m in flat], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in flat], pa.string()), batch.column(0).take(at), batch.column(1).take(at), pa.array([m[1] for m in flat], pa.int32()), pa.array([m[2] for m in flat], pa.int32())], names=["identifier", "file_id", "line", "column", "end_column"])
+
+    return lines.where(F.trim("masked") != "").select("file_id", "line", "masked").mapInArrow(run, "identifier string, file_id string, line int, column int, end_column int")
+
+
+def mentions(postings: DataFrame, lines: DataFrame, signals: DataFrame, wanted: DataFrame) -> DataFrame:
+    """identifier, file_id, line, column, end_column, code, role, kinds of every mention of the wanted identifiers.
+
+    wanted: identifier, and file_id where only one file counts. Found by equi joins on the postings.
+    """
+    found = postings.join(wanted, [c for c in ("identifier", "file_id") if c in wanted.columns], "left_semi")
     kinds = signals.groupBy("file_id", "line").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
-    rows = lines.where(F.contains("masked", F.lit(identifier))).join(kinds, ["file_id", "line"], "left").withColumn("kinds", F.coalesce("kinds", F.array().cast("array<string>")))
-    return rows.select("file_id", "line", F.trim("raw").alias("code"), C.trace_role("raw", identifier, "kinds").alias("role"), "kinds", F.explode(found("masked")).alias("m")).select("file_id", "line", "m.column", "m.end_column", "code", "role", "kinds")
+    rows = found.join(lines.select("file_id", "line", "raw"), ["file_id", "line"]).join(kinds, ["file_id", "line"], "left").withColumn("kinds", F.coalesce("kinds", F.array().cast("array<string>")))
+    return rows.select("identifier", "file_id", "line", "column", "end_column", F.trim("raw").alias("code"), C.trace_role("raw", "identifier", "kinds").alias("role"), "kinds")
 
 
 def operations(scopes: DataFrame, lines: DataFrame, functions: DataFrame, signals: DataFrame) -> DataFrame:
     """The events of every scope: scope_id, line, kind, ord (their order on a line), nth, code, variables, target, label, category, kinds, guards, call."""
-    own = scopes.where("not is_global").select("scope_id", "file_id", F.col("line").alias("fn_line"))
-    inside = function_signals(functions, signals, lines).join(own, ["file_id", "fn_line"]).select("scope_id", "file_id", "line", "ordinal", "kind", "label", "category", "code")
-    outside = uncovered(signals, functions).join(scopes.where("is_global").select("scope_id", "file_id"), "file_id").select("scope_id", "file_id", "line", "ordinal", "kind", "label", "category", "code")
-    seen = inside.union(outside).join(scopes.select("scope_id", F.col("line").alias("scope_line"), "parameters"), "scope_id")
-    seen = seen.join(lines.select("file_id", "line", F.col("given").alias("a"), "named"), ["file_id", "line"])
+    # a scope is met by its file and first line, the global one by line 0
+    place = F.when(F.col("is_global"), 0).otherwise(F.col("line"))
+    scope = scopes.select("scope_id", "file_id", place.alias("fn_line"), "name", F.col("line").alias("scope_line"), "parameters")
+    every = function_signals(functions, signals).unionByName(uncovered(signals).withColumn("fn_line", F.lit(0)))
+    seen = every.withColumn("a", F.col("given")).join(scope, ["file_id", "fn_line"])
     held = F.when((F.col("kind") == "source") & F.col("a").isNotNull(), F.array("a.target")).otherwise(F.coalesce("a.assigned", "named"))
+    held = F.coalesce("variables", held)
     held = F.when((F.col("line") <= F.col("scope_line")) & (F.size("parameters") > 0), F.array_distinct(F.concat("parameters", held))).otherwise(held)
     guards = F.when(F.col("kind").isin("auth", "sanitizer"), C.guard_capabilities("kind", "label", "code")).otherwise(F.array().cast("array<string>"))
     no_call = F.lit(None).cast("struct<callee:string,receiver:string,arguments:array<string>,argument_variables:array<array<string>>>")
@@ -238,10 +264,9 @@ def operations(scopes: DataFrame, lines: DataFrame, functions: DataFrame, signal
         "scope_id", "line", F.when(F.col("kind").isin("source", "sink"), F.col("kind")).otherwise("control").alias("kind"), F.col("ordinal").alias("nth"), "code", held.alias("variables"), F.lit(None).cast("string").alias("target"),
         "label", "category", F.when(F.col("kind") == "source", C.source_kind("label", "code")).alias("source_kind"), F.when(F.col("kind") == "sink", C.sink_kind("category")).alias("sink_kind"), guards.alias("guards"), no_call.alias("call"))
 
-    spans = scopes.where("not is_global").select("scope_id", "file_id", "name", F.col("line").alias("scope_line"), F.explode(F.sequence("line", F.greatest("line", "end_line"))).alias("line"))
-    free = uncovered(lines.select("file_id", "line"), functions).join(scopes.where("is_global").select("scope_id", "file_id", "name", F.col("line").alias("scope_line")), "file_id")
-    told = lines.where(F.trim("masked") != "").select("file_id", "line", F.trim("raw").alias("code"), F.col("facts").alias("f"))
-    told = spans.unionByName(free.select(spans.columns)).join(told, ["file_id", "line"])
+    owned = F.when(F.size("owners") > 0, F.col("owners")).otherwise(F.array(F.lit(0)))
+    told = lines.where(F.trim("masked") != "").select("file_id", "line", F.trim("raw").alias("code"), F.col("facts").alias("f"), F.explode(owned).alias("fn_line"))
+    told = told.join(scope, ["file_id", "fn_line"])
     # a header's own name on its line is its declaration, not a call
     real = F.filter("f.calls", lambda c: ~((F.col("line") == F.col("scope_line")) & (c.callee == F.col("name"))))
     told = told.withColumn("real", real)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -116,13 +117,14 @@ def q_text_pattern_scan(spark, sf_dir):
     return with_path(structure.signals(structure.lines(files)), files).select("relative_path", F.col("line").cast("bigint").alias("line"), "kind", "label", "category")
 
 
-@query("""select 'm' || c_custkey || '.js' as relative_path, 'x = ' || repeat(' ', length(c_name) + 2) || '; ' || repeat(' ', length(c_name) + 3) as masked,
-'x = "' || c_name || '"; ' || repeat(' ', length(c_name) + 3) as plain from customer""")
+@query("""with m as (select 'm' || c_custkey || '.js' as relative_path, c_name, length(c_name) as n from customer), rows as (
+select relative_path, unnest([1, 2, 3, 4]) as line, unnest(['x = ' || repeat(' ', n + 2) || '; ' || repeat(' ', n + 3), 'y =   ', '  ; ' || repeat(' ', 4), repeat(' ', n + 3) || ' z']) as masked,
+unnest(['x = "' || c_name || '"; ' || repeat(' ', n + 3), 'y = `a', 'b`; ' || repeat(' ', 4), repeat(' ', n + 3) || ' z']) as plain from m)
+select relative_path, line::bigint as line, masked, plain from rows""")
 def q_html_mask(spark, sf_dir):
     text = F.concat(F.lit('x = "'), F.col("c_name"), F.lit('"; // '), F.col("c_name"), F.lit("\ny = `a\nb`; /* c\n"), F.col("c_name"), F.lit(" */ z"))
     files = as_files(table(spark, sf_dir, "customer"), many("m", "c_custkey", ".js"), F.lit("javascript"), text)
-    masked = with_path(structure.lines(files), files)
-    return masked.where("line = 1").select("relative_path", "masked", "plain")
+    return with_path(structure.lines(files), files).select("relative_path", F.col("line").cast("bigint").alias("line"), "masked", "plain")
 
 
 _EXTENSIONS = [".java", ".PHTML", ".mjs", ".tsx", ".py", ".cs", ".go", ".md", ""]
@@ -159,7 +161,7 @@ join (values (1, 2, 3), (2, 2, 5), (2, 4, 5)) v(k, fn_line, line) on o_orderkey
 def q_interval_containment(spark, sf_dir):
     files = nested_files(table(spark, sf_dir, "orders"))
     lines = stored(structure.lines(files), "nested-lines")
-    held = structure.function_signals(structure.functions(lines), structure.signals(lines), lines)
+    held = structure.function_signals(structure.functions(lines), structure.signals(lines))
     return with_path(held, files).select("relative_path", F.col("fn_line").cast("bigint").alias("fn_line"), F.col("line").cast("bigint").alias("line"))
 
 
@@ -167,7 +169,7 @@ def q_interval_containment(spark, sf_dir):
 def q_uncovered_anti(spark, sf_dir):
     files = nested_files(table(spark, sf_dir, "orders"))
     lines = stored(structure.lines(files), "nested-lines")
-    free = structure.uncovered(structure.signals(lines), structure.functions(lines))
+    free = structure.uncovered(structure.signals(lines))
     return with_path(free, files).select("relative_path", F.col("line").cast("bigint").alias("line"))
 
 
@@ -271,13 +273,39 @@ def q_priority_groups(spark, sf_dir):
 _RULES = "(values " + ", ".join(f"('{r[0]}', '{r[1]}', '{r[7]}')" for r in catalog.RULES) + ") r(id, title, cwe)"
 
 
-@query(_EXPLORED + f""" select '- **' || severity || '** ' || title || ' (' || cwe || ') at `' || path || ':' || (case when checked then 4 else 3 end) || '`, 1 path(s)' as line from explored join {_RULES} on r.id = rule_id
-union all select '# Audit report' union all select '## Findings' union all select '## Review targets' union all select '## Evidence' union all select 'Coverage: 0% of ' || count(*) || ' targets' from files""")
+_CHECKS = "['- [ ] Identify caller, trust boundary and expected input — 1 input signal(s)', '- [ ] Confirm authentication is required and enforced — No local authentication signal', '- [ ] Verify object- and action-level authorization — Requires reviewer confirmation', case when checked then '- [x] Trace validation, canonicalization and output encoding — Schema or input validation' else '- [ ] Trace validation, canonicalization and output encoding — No local validation signal' end, '- [ ] Trace every sensitive operation back to its source — 1 sensitive operation(s)', '- [ ] Review failure paths, logging and sensitive data exposure — Manual review required', '']"
+_REASONS = "'1 untrusted input signal; 1 sensitive operation: ' || category || case when checked then '' else '; No obvious validation or encoding signal in local scope' end"
+
+
+@query(_EXPLORED + f""", t as (select *, 18 + case when category = 'command' then 10 else 0 end + case when checked then 0 else 8 end as score from files), k as (select count(*) as n from explored), w as (select count(*) as n, sum(case when checked then 5 else 4 end) as lines from files)
+select '- **' || upper(severity) || ' impact / high confidence** · ' || title || ' (' || cwe || ') — ' || path || ':' || (case when checked then 4 else 3 end) as line from explored join {_RULES} on r.id = rule_id
+union all select unnest(['### ' || (case when score >= 50 then 'P0' when score >= 32 then 'P1' else 'P2' end) || ' · route' || o_orderkey || '()', '', '- Location: `' || path || ':1`', '- Status: **unreviewed**', '- Review reasons: ' || {_REASONS}, '', 'Checklist:'] || {_CHECKS}) from t
+union all select unnest(['# Audit report', '', '## Review coverage', '', '- Coverage: **0%** (0/' || w.n || ' targets reviewed)', '- Indexed: ' || w.n || ' files, ' || w.n || ' functions, ' || w.lines || ' lines', '- Attack surface: 0 entry points',
+'- Potential findings: ' || k.n || case when w.n > k.n then ' (prioritized subset of at least ' || k.n || ' candidate paths)' else '' end, '- Evidence records: 0', '', '## Attack surface', '', '', '## Potential findings', '', '', '## Review targets', '', '', '## Evidence notebook', '', '---', 'Audit signals are reviewer aids, not proof that code is secure or vulnerable.', '']) from k, w""")
 def q_report_lines(spark, sf_dir):
-    a = audit(spark, sf_dir)
-    notes = spark.createDataFrame([], "id string, type string, note string, code string, created_at string")
+    notes = spark.createDataFrame([], "id string, type string, note string, code string, relative_path string, line int, created_at string")
     statuses = spark.createDataFrame([], "item_id string, status string")
-    return sessions.report(a.findings, a.targets, notes, a.snapshot(statuses)).where("part <> 5").select(F.col("text").alias("line"))
+    return audit(spark, sf_dir).report(statuses, notes).select(F.col("text").alias("line"))
+
+
+def two_file_corpus(customer: DataFrame) -> DataFrame:
+    """Per customer a route that hands its input to an imported function with a sink, and gets it back from one that is not imported."""
+    k = F.col("c_custkey").cast("string")
+    route = F.concat(F.lit("import { run"), k, F.lit(' } from "./svc'), k, F.lit('";\nfunction entry'), k, F.lit("(req, res) {\n  const v = req.query.v;\n  run"), k, F.lit("(v);\n  const w = id"), k, F.lit("(v);\n  res.send(w);\n}\n"))
+    service = F.concat(F.lit("function run"), k, F.lit("(value) {\n"), F.when(F.col("c_custkey") % 2 == 0, "  validate(value);\n").otherwise("  step;\n"), F.lit("  exec(value);\n}\n"))
+    back = F.concat(F.lit("function id"), k, F.lit("(x) {\n  return x;\n}\n"))
+    files = customer.select(F.explode(F.array(*(F.struct(F.concat(F.lit(name), k, F.lit(".js")).alias("relative_path"), text.alias("text")) for name, text in (("a", route), ("svc", service), ("ids", back))))).alias("f")).select("f.*")
+    return as_files(files, F.col("relative_path"), F.lit("javascript"), F.col("text"))
+
+
+@query("""select 'a' || c_custkey || '.js,svc' || c_custkey || '.js' as files, 'command' as category, 'high' as confidence, case when c_custkey % 2 = 0 then 'source,call,validation,sink' else 'source,call,sink' end as steps, 'import ./svc' || c_custkey as reason from customer
+union all select 'a' || c_custkey || '.js,ids' || c_custkey || '.js', 'output', 'medium', 'source,call,return,sink', 'nearest file' from customer""")
+def q_cross_file_flow(spark, sf_dir):
+    customer = table(spark, sf_dir, "customer")
+    files = two_file_corpus(customer).select("absolute_path", "relative_path", "language", "text")
+    found = Audit(files, max_paths=2 * customer.count(), exhaustive=True).paths
+    reason = F.filter("steps", lambda s: s.kind == "call")[0].candidate_reason
+    return found.select(F.array_join("files", ",").alias("files"), "category", "confidence", F.array_join(F.transform("steps", lambda s: s.kind), ",").alias("steps"), reason.alias("reason"))
 
 
 @query("""select l_orderkey, arg_min(l_partkey, (-l_extendedprice, l_partkey, l_suppkey, l_linenumber)) as l_partkey, string_agg(l_linenumber, ',' order by -l_extendedprice, l_partkey, l_suppkey, l_linenumber) as lines, count(*)::bigint as n from lineitem group by l_orderkey""")
@@ -326,15 +354,18 @@ def q_upsert_delete(spark, sf_dir):
 
 
 @query("""select 'u' || c_custkey as item_id, case c_custkey % 3 when 0 then 'reviewed' when 1 then 'in_review' else 'blocked' end as status,
-case when c_custkey % 5 = 0 then '2026-02-03 00:00:00' end as orphaned_at from customer where c_custkey <= 5000 and c_custkey % 4 <> 0""")
+case when c_custkey % 5 = 0 then '2026-02-03 00:00:00' end as orphaned_at from customer where c_custkey % 4 <> 0""")
 def q_session_import(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").where("c_custkey <= 5000")  # a session holds 10,000 statuses at most
+    c = table(spark, sf_dir, "customer")
     status = F.when(F.col("c_custkey") % 4 == 0, "odd").when(F.col("c_custkey") % 3 == 0, "reviewed").when(F.col("c_custkey") % 3 == 1, "in_review").otherwise("blocked")
     at = F.to_timestamp(F.lit("2026-02-03 00:00:00"))
-    statuses = c.select(many("u", "c_custkey", "").alias("item_id"), status.alias("status"), at.alias("updated_at"), F.when(F.col("c_custkey") % 5 == 0, at).alias("orphaned_at"))
+    statuses = c.select("c_custkey", many("u", "c_custkey", "").alias("item_id"), status.alias("status"), at.alias("updated_at"), F.when(F.col("c_custkey") % 5 == 0, at).alias("orphaned_at"))
     notes = spark.createDataFrame([], "id string, type string, note string, code string, relative_path string, absolute_path string, line int, end_line int, created_at string, audit_item_id string")
-    text = sessions.export(statuses, notes, "2026-02-04").first().json
-    return sessions.parse(spark, text, {"ws": "/ws"})[0].select("item_id", "status", F.date_format("orphaned_at", "yyyy-MM-dd HH:mm:ss").alias("orphaned_at"))
+    # a session holds 10,000 statuses at most, so the customers are dealt to several
+    parts = -(-c.count() // 5_000)
+    texts = [sessions.export(statuses.where(F.col("c_custkey") % parts == n).drop("c_custkey"), notes, "2026-02-04").first().json for n in range(parts)]
+    read = [sessions.parse(spark, text, {"ws": "/ws"})[0] for text in texts]
+    return reduce(DataFrame.unionByName, read).select("item_id", "status", F.date_format("orphaned_at", "yyyy-MM-dd HH:mm:ss").alias("orphaned_at"))
 
 
 @query("""with g as (select *, case when ts - lag(ts) over (partition by user_id order by ts, event_id) < interval 30 minute then 0 else 1 end as new from events),
@@ -360,7 +391,7 @@ union all select path, 3, 12, 'validation' from files where checked
 union all select path, case when checked then 4 else 3 end, case category when 'command' then 8 when 'database' then 12 when 'network' then 9 when 'redirect' then 16 else 12 end, 'sensitive-use' from files""")
 def q_symbol_trace(spark, sf_dir):
     a = audit(spark, sf_dir)
-    found = with_path(structure.mentions(a.lines, a.signals, "target"), a.files)
+    found = with_path(structure.mentions(a.postings, a.lines, a.signals, spark.range(1).select(F.lit("target").alias("identifier"))), a.files)
     return found.select("relative_path", F.col("line").cast("bigint").alias("line"), F.col("column").cast("bigint").alias("column"), "role")
 
 

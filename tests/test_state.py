@@ -63,6 +63,8 @@ def test_sessions(spark):
     assert {n["id"]: n["createdAt"] for n in back["evidence"]} == {"n1": "2026-08-01", "n3": "1970-01-01T00:00:00.000Z"}
     got = {r.id: r for r in notes.collect()}
     assert set(got) == {"n1", "n3"} and got["n3"].type == "Observation" and (got["n3"].line, got["n3"].end_line) == (1, 1)
+    twice = sessions.export(rows(spark, ("t1", "reviewed", "2026-08-01", None), ("t1", "blocked", "2026-08-02", None)), evidence.limit(0), "2026-08-21").first().json
+    assert json.loads(twice)["statuses"]["t1"]["status"] == "blocked"
     for bad in ('{"version": 99}', "nonsense"):
         with pytest.raises(ValueError):
             sessions.parse(spark, bad, {"ws": "/ws"})
@@ -82,29 +84,88 @@ def test_workspace_scan(spark, tmp_path):
     assert workspace.resolve({"a": "/x", "b": "/y"}, "b/z.js") == "/y/z.js" and workspace.resolve({"a": "/x", "b": "/y"}, "z.js") is None and workspace.resolve({"a": "/x"}, "../z") is None
 
 
+def change(path, version, op, second, text=None):
+    return {"absolute_path": path, "relative_path": path, "language": "python", "text": text or f"v{version}", "version": version, "op": op, "ts": f"2026-01-01T00:{second // 60:02}:{second % 60:02}Z"}
+
+
+def write_changes(folder, name, *rows):
+    folder.mkdir(exist_ok=True)
+    (folder / f"{name}.json").write_text("".join(json.dumps(r) + "\n" for r in rows))
+
+
 def test_live_index(spark, tmp_path):
     folder = tmp_path / "in"
-    folder.mkdir()
-    change = lambda p, v, op, t: json.dumps({"absolute_path": p, "relative_path": p, "language": "python", "text": f"v{v}", "version": v, "op": op, "ts": t}) + "\n"
-    (folder / "1.json").write_text(change("/a.py", 2, "save", "2026-01-01T00:00:02Z") + change("/a.py", 1, "save", "2026-01-01T00:00:01Z") + change("/b.py", 1, "create", "2026-01-01T00:00:01Z"))
-    index = live.LiveIndex(spark, str(tmp_path / "index"))
+    write_changes(folder, 1, change("/a.py", 2, "save", 2), change("/a.py", 1, "save", 1), change("/b.py", 1, "create", 1))
+    index = live.LiveIndex(spark, f"file://{tmp_path}/index")
     index.start(live.changes(spark, str(folder)), str(tmp_path / "cp")).awaitTermination()
     assert {(r.absolute_path, r.text) for r in index.current.collect()} == {("/a.py", "v2"), ("/b.py", "v1")}
-    (folder / "2.json").write_text(change("/b.py", 2, "delete", "2026-01-01T00:01:00Z") + change("/c.py", 1, "create", "2026-01-01T00:01:00Z"))
-    index = live.LiveIndex(spark, str(tmp_path / "index"))  # a restart
-    assert index.batch == 0
+    write_changes(folder, 2, change("/b.py", 2, "delete", 60), change("/c.py", 1, "create", 60), change("/a.py", 1, "save", 90, "late and old"))
+    index = live.LiveIndex(spark, f"file://{tmp_path}/index")  # a restart
+    assert list(index.done.values()) == [0]
     index.start(live.changes(spark, str(folder)), str(tmp_path / "cp")).awaitTermination()
-    assert {r.absolute_path for r in index.current.collect()} == {"/a.py", "/c.py"}
-    index.apply(index.read(index.parts).limit(0), index.batch)  # comes again
-    assert {r.absolute_path for r in live.LiveIndex(spark, str(tmp_path / "index")).current.collect()} == {"/a.py", "/c.py"}
+    assert {(r.absolute_path, r.text) for r in index.current.collect()} == {("/a.py", "v2"), ("/c.py", "v1")}
+    stream, number = next(iter(index.done.items()))
+    index.apply(index.current.limit(0), number, stream)  # comes again
+    assert {r.absolute_path for r in live.LiveIndex(spark, f"file://{tmp_path}/index").current.collect()} == {"/a.py", "/c.py"}
 
-    def fail(files):
+    def fail(changed, current):
         raise RuntimeError("no")
 
     index.rebuild, held = fail, dict(index.parts)
     with pytest.raises(RuntimeError):
-        index.apply(index.read(index.parts).drop("bucket"), index.batch + 1)
-    assert index.parts == held and live.LiveIndex(spark, str(tmp_path / "index")).parts == held
+        index.apply(index.current, number + 1, stream)
+    assert index.parts == held and live.LiveIndex(spark, f"file://{tmp_path}/index").parts == held
+
+
+def test_live_index_takes_a_new_checkpoint_and_a_second_stream(spark, tmp_path):
+    index = live.LiveIndex(spark, f"file://{tmp_path}/index")
+    write_changes(tmp_path / "in", 1, change("/a.py", 1, "save", 1))
+    index.start(live.changes(spark, str(tmp_path / "in")), str(tmp_path / "cp1")).awaitTermination()
+    write_changes(tmp_path / "in", 2, change("/b.py", 1, "save", 2))
+    index.start(live.changes(spark, str(tmp_path / "in")), str(tmp_path / "cp1")).awaitTermination()
+    write_changes(tmp_path / "in", 3, change("/c.py", 1, "save", 3))
+    index.start(live.changes(spark, str(tmp_path / "in")), str(tmp_path / "cp2")).awaitTermination()  # numbers start at 0 again
+    write_changes(tmp_path / "other", 1, change("/d.py", 1, "save", 4))
+    index.start(live.changes(spark, str(tmp_path / "other")), str(tmp_path / "cp3")).awaitTermination()
+    assert {r.absolute_path for r in live.LiveIndex(spark, f"file://{tmp_path}/index").current.collect()} == {"/a.py", "/b.py", "/c.py", "/d.py"} and len(index.done) == 3
+
+
+def test_live_index_writes_what_changes(spark, tmp_path):
+    """Parts hold their batch's rows; merges keep few parts; deleted files and replaced parts leave."""
+    index = live.LiveIndex(spark, f"file://{tmp_path}/index")
+    frame = lambda *rows: spark.read.schema(live.CHANGE).json(spark.sparkContext.parallelize([json.dumps(r) for r in rows]))
+    index.apply(frame(*(change(f"/f{i}.py", 1, "save", 1) for i in range(300))), 0, "s")
+    first = next(iter(index.parts))
+    want = {f"/f{i}.py": "v1" for i in range(300)}
+    for n in range(1, 9):
+        index.apply(frame(change(f"/f{n}.py", 2, "save", 10 + n), change(f"/F{n + 100}.py", 2, "delete", 10 + n)), n, "s")
+        want[f"/f{n}.py"] = "v2"
+        del want[f"/f{n + 100}.py"]
+        if n == 1:
+            assert [r for _, r in index.parts.values()] == [300, 2]
+    assert {r.absolute_path: r.text for r in index.current.collect()} == want
+    assert len(index.parts) <= 4 and first not in index.parts
+    index.vacuum()
+    again = live.LiveIndex(spark, f"file://{tmp_path}/index")
+    assert {r.absolute_path: r.text for r in again.current.collect()} == want and again.parts == index.parts
+
+
+def test_live_index_refuses_a_log_it_cannot_read(spark, tmp_path):
+    (tmp_path / "index" / "log").mkdir(parents=True)
+    (tmp_path / "index" / "log" / "part-0.parquet").write_text("not parquet")
+    with pytest.raises(Exception):
+        live.LiveIndex(spark, f"file://{tmp_path}/index")
+
+
+def test_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from auditweave import storage
+
+    unset = lambda master: SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: {}, master=master, applicationId="x"), conf={})
+    assert storage.shared_dir(unset("local[2]")) == storage.shared_dir(unset("local[2]")) != ""
+    with pytest.raises(ValueError):
+        storage.shared_dir(unset("spark://host:7077"))
 
 
 def test_cache_of_files(spark):
