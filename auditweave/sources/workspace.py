@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,31 +10,32 @@ from pyspark.sql import functions as F
 
 from auditweave import catalog
 from auditweave.functions import columns as C
+from auditweave.sources import datasource
+from auditweave.storage import stored
 
 
-def listing(roots: dict[str, str]) -> list[tuple[str, str]]:
-    """(absolute path, path relative to its workspace) of all source files; several roots prefix their names."""
-    found = []
-    known = tuple(e for exts in catalog.EXTENSIONS.values() for e in exts)
-    for name, root in roots.items():
-        for folder, folders, names in os.walk(root):
-            folders[:] = [d for d in folders if d not in catalog.EXCLUDED_DIRS]
-            for n in names:
-                if n.lower().endswith(known):
-                    path = os.path.join(folder, n)
-                    relative = os.path.relpath(path, root).replace(os.sep, "/")
-                    found.append((path, f"{name}/{relative}" if len(roots) > 1 else relative))
-    return sorted(found, key=lambda x: x[1])
+def listed(spark: SparkSession, roots: dict[str, str], extensions: dict[str, tuple[str, ...]] = catalog.EXTENSIONS) -> DataFrame:
+    """absolute_path and relative_path of all source files, listed by the tasks; several roots prefix their names."""
+    datasource.register(spark)
+    return spark.read.format("workspace").option("roots", json.dumps(roots)).option("extensions", ",".join(e for exts in extensions.values() for e in exts)).load()
+
+
+def saves(spark: SparkSession, roots: dict[str, str], *, largest: int = catalog.MAX_FILE_BYTES) -> DataFrame:
+    """A stream of files as they are saved, for a live index: at first all, then what is newer; deletions don't show in it."""
+    datasource.register(spark)
+    stream = spark.readStream.format("workspace-saves").option("roots", json.dumps(roots)).option("largest", largest).load()
+    return stream.withColumn("language", C.language_of("relative_path"))
 
 
-def scan(spark: SparkSession, roots: dict[str, str], *, most: int = catalog.MAX_FILES, largest: int = catalog.MAX_FILE_BYTES) -> tuple[DataFrame, dict]:
+def scan(spark: SparkSession, roots: dict[str, str], *, most: int = catalog.MAX_FILES, largest: int = catalog.MAX_FILE_BYTES, extensions: dict[str, tuple[str, ...]] = catalog.EXTENSIONS) -> tuple[DataFrame, dict]:
     """files (absolute_path, relative_path, language, text, size_bytes, error) and counts: discovered, truncated.
 
-    Names are listed on the driver, at most `most`; sizes are checked and texts read by the tasks. Files that are too large
-    or can't be read have an error and no text.
+    The first `most` files by path are read. Names are listed, sizes checked and texts read by the tasks. Files that are too
+    large or can't be read have an error and no text.
     """
-    found = listing(roots)
-    paths = spark.createDataFrame(found[:most], "absolute_path string, relative_path string")
+    found = stored(listed(spark, roots, extensions), "workspace-files")
+    discovered = found.count()
+    paths = found if discovered <= most else found.orderBy("relative_path").limit(most)
 
     def read(batches):
         import pyarrow as pa
@@ -56,7 +58,7 @@ def scan(spark: SparkSession, roots: dict[str, str], *, most: int = catalog.MAX_
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], names=["absolute_path", "relative_path", "text", "size_bytes", "error"])
 
     files = paths.mapInArrow(read, "absolute_path string, relative_path string, text string, size_bytes long, error string")
-    return files.withColumn("language", C.language_of("relative_path")), {"discovered": len(found), "truncated": len(found) > most}
+    return files.withColumn("language", C.language_of("relative_path", extensions)), {"discovered": discovered, "truncated": discovered > most}
 
 
 def one(spark: SparkSession, roots: dict[str, str], absolute_path: str, *, largest: int = catalog.MAX_FILE_BYTES) -> DataFrame:
