@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from auditweave.storage import stored
 
-__all__ = ["WordHashes", "give_back", "id_bucket", "marked", "mix64", "partitions", "rows_of", "stored", "table"]
+__all__ = ["WordHashes", "free_name", "give_back", "id_bucket", "marked", "mix64", "partitions", "rows_of", "stored", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,14 @@ def id_bucket(doc_id: str | Column, modulus: int) -> Column:
     return F.crc32((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string")) % modulus
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, lengthened until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: Bits of a bitmap of hashed keys, 2 MB at most in words of 64.
 MARK_BITS = 24
 

@@ -1,6 +1,6 @@
 import corpus_pipeline
 from auditweave.llm import jaccard
-from auditweave.llm.common import WordHashes, table
+from auditweave.llm.common import WordHashes, stored, table
 
 SF = "/root/testdata/sf0.01"
 
@@ -9,8 +9,6 @@ def test_stages(spark):
     docs = table(spark, SF, "documents")
     before = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        from auditweave.storage import stored
-
         after = stored(stage(spark, before, SF), name)
         assert after.columns == docs.columns and after.schema == docs.schema
         assert 0 < after.count() <= before.count()
@@ -29,8 +27,17 @@ def test_stages(spark):
 
 
 def test_odd_inputs(spark, odd_docs, no_docs):
-    for docs in (odd_docs, no_docs):
+    """Columns of any names come through the first four stages as they were, and rows only go where a stage may drop them."""
+    named = odd_docs.withColumnsRenamed({"component": "_quality", "rep": "_toxicity", "hi": "_evidence", "source": "_doc"})
+    for docs in (named, no_docs):
         out = docs
-        for _, stage in corpus_pipeline.STAGES:
-            out = stage(spark, out, SF)
-        out.collect()
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            before, out = out, stored(stage(spark, out, SF), f"odd-{name}")
+            assert out.schema == before.schema and out.count() <= before.count()
+            if name == "personal_data":
+                assert out.count() == before.count()
+        held = {r.doc_id: r for r in out.collect()}
+        if docs is named:
+            assert held[4].text is None and held[13]._quality == "c" and held[13]._toxicity == 1 and held[13]._evidence == 2 and len(held[8].text) > 100_000 and (1 in held) + (2 in held) == 1
+        pieces = corpus_pipeline.STAGES[-1][1](spark, out, SF).collect()
+        assert {r.doc_id for r in pieces} == set(held) and {r.doc_tokens for r in pieces if r.doc_id in (4, 5)} <= {1}
