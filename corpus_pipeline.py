@@ -8,6 +8,10 @@
 
 The first four return the columns of their input; the last returns the packed pieces. Labels of held-out rows (by id, as
 in the registered queries) are never used for training.
+
+Defined results: null texts count as empty ones and stay null; rows with a null id are scored, and each stays unless its score
+rejects it; repeated rows are one group of copies; extra columns of any names come through as they are; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -16,17 +20,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditweave.llm import bpe, jaccard, packing, pii, quality, toxicity
-from auditweave.llm.common import id_bucket, stored, table
+from auditweave.llm.common import free_name, id_bucket, stored, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.train(docs, table(spark, sf_dir, "labels"), "quality", lambda doc_id: id_bucket(doc_id, 5) != 0)
-    return quality.score(docs, model, output="_quality").where(F.col("_quality") >= quality.THRESHOLD).select(docs.columns)
+    score = free_name(docs, "_quality")
+    return quality.score(docs, model, output=score).where(F.col(score) >= quality.THRESHOLD).select(docs.columns)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), "toxic", lambda doc_id: id_bucket(doc_id, 4) != 2)
-    return toxicity.score(docs, model, output="_toxicity", evidence="_evidence").where(F.col("_toxicity") < toxicity.THRESHOLD).select(docs.columns)
+    score, evidence = free_name(docs, "_toxicity"), free_name(docs, "_evidence")
+    return toxicity.score(docs, model, output=score, evidence=evidence).where(F.col(score) < toxicity.THRESHOLD).select(docs.columns)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
