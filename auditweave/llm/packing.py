@@ -3,8 +3,9 @@
 Every partition of the scan packs its own stream, so nothing is shuffled and no window depends on another task. A document
 is cut at the window size; each full window closes at once and the rest (under one window) goes, as it comes, to the fill
 level whose choice makes the sum of squared counts of partly filled windows smallest. The counts stand in one array
-indexed by level. What is still open at a partition's end, or when more than MOST_OPEN windows are open, is closed by
-cutting the emptiest windows' pieces into the gaps of the fullest, so one partly filled window is left per partition.
+indexed by level. When more than MOST_OPEN windows are open the fullest are retired, down to half: their gaps are filled with what
+is cut from the emptiest, and the others stay as they are. At a partition's end all are, so one partly filled window is
+left per partition.
 
 Defined results: null text is the empty text, one token (the closing id); documents of any length are packed whole; equal
 rows are packed each for itself; an empty table gives no pieces. Sequence ids are partition number x 2^40 + count.
@@ -71,7 +72,7 @@ class Packer:
                 self.counts[level + size] += 1
                 self.n_open += 1
                 if self.n_open > self.most_open:
-                    yield from self.close()
+                    yield from self.close(self.most_open // 2)
 
     @staticmethod
     def _placed(sequence: int, pieces: list[Piece]) -> Iterator[tuple[Piece, int, int]]:
@@ -80,11 +81,11 @@ class Packer:
             yield piece, sequence, at
             at += len(piece[2])
 
-    def close(self) -> Iterator[tuple[Piece, int, int]]:
-        """Fills the fullest open windows with what is cut from the emptiest."""
+    def close(self, keep: int = 0) -> Iterator[tuple[Piece, int, int]]:
+        """Fills the fullest open windows with what is cut from the emptiest, until at most `keep` are open."""
         left = [(level, s, p) for level, found in enumerate(self.open) for s, p in found]  # emptiest first
         emptiest = 0
-        while left and len(left) > emptiest:
+        while len(left) - emptiest > keep:
             level, sequence, pieces = left.pop()
             while level < self.window and emptiest < len(left):
                 have, other, source = left[emptiest]
@@ -99,9 +100,11 @@ class Packer:
                 left[emptiest] = (have - take, other, source)
                 emptiest += not source
             yield from self._placed(sequence, pieces)
-        self.counts[:] = 0
-        self.open = [[] for _ in range(self.window)]
-        self.n_open = 0
+        left = left[emptiest:]
+        self.counts[:], self.open, self.n_open = 0, [[] for _ in range(self.window)], len(left)
+        for level, sequence, pieces in left:
+            self.counts[level] += 1
+            self.open[level].append((sequence, pieces))
 
 
 def pack(docs: DataFrame, vocabulary: str, *, window: int = WINDOW, end_id: int = END_ID, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
