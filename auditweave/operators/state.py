@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from auditweave import catalog
@@ -48,6 +50,21 @@ def set_status_at(targets: DataFrame, statuses: DataFrame, absolute_path: str, l
     return set_status(statuses, row.target_id, status, now, [row.legacy_id]) if row else statuses
 
 
+def focus_at(targets: DataFrame, statuses: DataFrame, absolute_path: str, line: int, now: str, reindex: Callable[[], DataFrame] | None = None) -> tuple[DataFrame, Row | None]:
+    """(statuses, target) after the innermost target at a place was opened for review: what was unreviewed is in review now.
+
+    If none is there, reindex() reads the file again, as it may have changed, and gives the targets to look among once more.
+    """
+    row = innermost(targets, absolute_path, line).first()
+    if row is None and reindex is not None:
+        targets = reindex()
+        row = innermost(targets, absolute_path, line).first()
+    if row is None:
+        return statuses, None
+    items = targets.select(F.col("target_id").alias("item_id"), F.array("legacy_id").alias("legacy_ids"))
+    return focus(items, statuses, row.target_id, now), row
+
+
 def with_status(items: DataFrame, statuses: DataFrame) -> DataFrame:
     """items (item_id, legacy_ids) with their status, by id or the first legacy id that has one; else unreviewed."""
     known = statuses.select("item_id", F.col("status").alias("_own"))

@@ -135,3 +135,13 @@ class IncrementalAudit:
         from auditweave.operators import review
 
         return review.targets(self.table("files").drop("file_id"), *(self.table(t) for t in ("lines", "functions", "signals", "entries")))
+
+    def focus_at(self, statuses: DataFrame, file: DataFrame, line: int, now: str) -> tuple[DataFrame, object]:
+        """(statuses, target) after the function at a line of a file (one row, as read now) was opened; the file is indexed again if nothing is there."""
+        from auditweave.operators.state import focus_at
+
+        def reindex() -> DataFrame:
+            self.apply(file)
+            return self.targets
+
+        return focus_at(self.targets, statuses, file.first().absolute_path, line, now, reindex)

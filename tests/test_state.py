@@ -191,3 +191,16 @@ def test_focus_and_status_at_a_place(spark):
     at = state.set_status_at(targets, statuses, "/WS/a.js", 6, "blocked", "2026-08-02")
     assert {(r.item_id, r.status) for r in at.collect()} == {("a", "reviewed"), ("t2", "blocked")}
     assert state.set_status_at(targets, statuses, "/ws/a.js", 60, "blocked", "2026-08-02").count() == 1
+
+
+def test_focus_at_a_place_indexes_again_if_nothing_is_there(spark):
+    statuses = rows(spark, ("l2", "blocked", "2026-08-01", None))
+    columns = "target_id string, legacy_id string, absolute_path string, line int, end_line int"
+    targets, later = spark.createDataFrame([("t1", "l1", "/ws/a.js", 1, 20)], columns), spark.createDataFrame([("t1", "l1", "/ws/a.js", 1, 20), ("t2", "l2", "/ws/a.js", 30, 40)], columns)
+    asked = []
+    reindex = lambda: asked.append(1) or later
+    opened, row = state.focus_at(targets, statuses, "/WS/a.js", 5, "2026-08-02", reindex)
+    assert row.target_id == "t1" and not asked and {(r.item_id, r.status) for r in opened.collect()} == {("l2", "blocked"), ("t1", "in_review")}
+    opened, row = state.focus_at(targets, statuses, "/ws/a.js", 35, "2026-08-02", reindex)
+    assert row.target_id == "t2" and asked == [1] and opened.collect() == statuses.collect()  # it has a status by its legacy id
+    assert state.focus_at(targets, statuses, "/ws/a.js", 90, "2026-08-02", reindex)[1] is None and state.focus_at(targets, statuses, "/ws/a.js", 90, "2026-08-02")[1] is None
