@@ -29,13 +29,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def put(spark: SparkSession, name: str, data: bytes) -> str:
+    """Writes one file of bounded size there; its path."""
+    path = f"{shared_dir(spark)}/{name}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+    return path
+
+
 def remove(spark: SparkSession, *paths: str) -> None:
     """Deletes folders in whatever store they lie; what isn't there is left out."""
     for path in paths:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
