@@ -19,7 +19,6 @@ import json
 import os
 import re
 import struct
-import tempfile
 import unicodedata
 import uuid
 from collections.abc import Iterator
@@ -31,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditweave.llm.common import stored
+from auditweave.storage import put
 
 LEXICON_WORDS = 100_000
 MEMO_WORDS = 250_000
@@ -336,10 +336,8 @@ def build_lexicon(docs: DataFrame, vocabulary: str, words: int = LEXICON_WORDS,
     top = counted.where(F.col("count") >= least).select("word").collect()
     merge = merger(vocabulary)
     name = f"lexicon-{uuid.uuid4().hex}.bin"
-    with open(os.path.join(tempfile.mkdtemp(prefix="spark-"), name), "wb") as f:
-        # the encoder's own split decides which strings are words to it
-        f.write(compile_lexicon([r.word for r in top if words_of(r.word) == [r.word]], merge.ids))
-    spark.sparkContext.addFile(f.name)
+    # the encoder's own split decides which strings are words to it
+    spark.sparkContext.addFile(put(spark, name, compile_lexicon([r.word for r in top if words_of(r.word) == [r.word]], merge.ids)))
     return name
 
 
