@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from auditweave.storage import stored
 
-__all__ = ["WordHashes", "free_name", "give_back", "id_bucket", "marked", "mix64", "partitions", "rows_of", "stored", "table"]
+__all__ = ["WordHashes", "free_name", "give_back", "id_bucket", "marked", "mix64", "partitions", "rows_of", "slices", "stored", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,6 +91,13 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+def slices(batches: Iterator, rows: int = 512) -> Iterator:
+    """The batches in pieces of few rows, so that what a task makes of one at a time stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def rows_of(batches: Iterator, *names: str) -> Iterator[tuple[list, ...]]:
     """Columns of each Arrow batch as Python lists."""
     for batch in batches:

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditweave.llm.common import WordHashes, give_back, marked, mix64, stored
+from auditweave.llm.common import WordHashes, give_back, marked, mix64, slices, stored
 from auditweave.llm.groups import block_pairs, components, forest_of, map_groups
 
 SHINGLE = 5
@@ -153,7 +153,7 @@ def digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
 
         give_back()  # what earlier tasks of this worker left
         hashes = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[], [], [], []]
             for t in batch.column(2).to_pylist():
                 found = shingles(t, hashes)
@@ -173,7 +173,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, text: str = "text", doc_id: str
         import pyarrow as pa
 
         hashes, sent = WordHashes(), set()
-        for batch in batches:
+        for batch in slices(batches):
             kept = []
             for t in batch.column(0).to_pylist():
                 found = shingles(t, hashes)

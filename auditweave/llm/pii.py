@@ -23,7 +23,7 @@ from bisect import bisect_left, bisect_right
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditweave.llm.common import marked, stored
+from auditweave.llm.common import give_back, marked, slices, stored
 
 KINDS = ("email", "ip", "card", "phone", "id")
 ROUNDS = 3
@@ -164,7 +164,8 @@ def first_pass(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
         span = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
         found_type = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("seed", pa.bool_()), ("instance", pa.int64()), ("patterns", pa.list_(pa.string()))])
         signed = lambda s: xxhash.xxh3_64_intdigest(s.encode("utf-8", "replace")) - (1 << 63)
-        for batch in batches:
+        give_back()  # what earlier tasks of this worker left
+        for batch in slices(batches):
             spans, found = [], []
             for t in batch.column(1).to_pylist():
                 t = t or ""
@@ -236,7 +237,8 @@ def redact(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> Da
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        give_back()
+        for batch in slices(batches):
             columns, out = batch.column(0).flatten(), []
             for t, extra in zip(columns[at].to_pylist(), batch.column(1).to_pylist()):
                 if not t:
