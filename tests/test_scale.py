@@ -1,7 +1,10 @@
 """What must not grow with the input: broadcasts of tables, work per pair, rows through the driver."""
 
+import pytest
 from pyspark.sql import functions as F
 
+from auditweave import queries
+from auditweave.operators import structure
 from auditweave.plans.audit import Audit
 
 SCHEMA = "absolute_path string, relative_path string, language string, text string"
@@ -24,3 +27,27 @@ def test_band_reaches_35_lines_both_ways(spark):
         lines[at] = read
     files = spark.createDataFrame([("/ws/a.js", "a.js", "javascript", "\n".join(lines))], SCHEMA)
     assert [(r.line, r.sources) for r in Audit(files).targets.collect()] == [(101, 2)]
+
+
+def test_lines_work_out_only_what_is_asked_for(spark):
+    files = spark.createDataFrame([("/ws/a.js", "a.js", "javascript", "function f(a) {\n  exec(a);\n}\n"), ("/ws/b.py", "b.py", "python", None)], SCHEMA)
+    some = structure.lines(files, columns=["relative_path", "line", "owners", "facts"])
+    assert some.columns == ["relative_path", "line", "owners", "facts"]
+    every = structure.with_ids(files).select("file_id", "relative_path").join(structure.lines(files), "file_id")
+    assert sorted(map(str, some.collect())) == sorted(map(str, every.select(some.columns).collect()))
+
+
+def test_equal_lines_are_read_once():
+    pa = pytest.importorskip("pyarrow")
+    seen = []
+    got = structure.repeated(["a", "b", "a", "a"], lambda x: seen.append(x) or {"target": x}, pa.struct([("target", pa.string())]))
+    assert seen == ["a", "b"] and [x["target"] for x in got.to_pylist()] == ["a", "b", "a", "a"]
+
+
+def test_facts_and_names_read_later_are_the_same(spark):
+    code = "function f(a) {\n  const b = g(a.x, 1); // c\n\n  exec(b);\n  return b;\n}"
+    files = spark.createDataFrame([("/ws/a.js", "a.js", "javascript", code)], SCHEMA)
+    whole, lean = structure.lines(files), structure.lines(files, columns=structure.PLACES)
+    rows = lambda df, *c: sorted(map(str, df.select(*c).collect()))
+    assert rows(whole.where(F.trim("masked") != ""), "line", "facts") == rows(structure.with_facts(lean), "line", "facts")
+    assert rows(structure.signals(whole), "line", "given", "named") == rows(structure.with_names(structure.signals(lean)), "line", "given", "named")
