@@ -51,3 +51,20 @@ def test_facts_and_names_read_later_are_the_same(spark):
     rows = lambda df, *c: sorted(map(str, df.select(*c).collect()))
     assert rows(whole.where(F.trim("masked") != ""), "line", "facts") == rows(structure.with_facts(lean), "line", "facts")
     assert rows(structure.signals(whole), "line", "given", "named") == rows(structure.with_names(structure.signals(lean)), "line", "given", "named")
+
+
+def test_candidates_meet_few_suppliers(spark, tmp_path):
+    """All suppliers of one nation, alike or not: a part meets no more than its kinds' first six."""
+    spark.range(1, 4).selectExpr("id * 25 as p_partkey", "case when id < 3 then cast(id as int) end as p_size").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(1, 2001).selectExpr("id as s_suppkey", "0 as s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    df = queries.q_call_candidates_topk(spark, str(tmp_path))
+    got = {(r.p_partkey, r.place): (r.s_suppkey, r.score, r.quality) for r in df.collect()}
+    want = {}
+    for p, size in ((25, 1), (50, 2), (75, None)):
+        scored = [(16 * (s % 7 == size) + 6 * (s % 3 == p % 3) + 2, s) for s in range(1, 2001)]
+        strong = [x for x in scored if x[0] >= 16]
+        best = sorted(strong or [x for x in scored if x[0] == max(scored)[0]], key=lambda x: (-x[0], x[1]))[:6]
+        want |= {(p, n): (s, score, "high" if strong else "review") for n, (score, s) in enumerate(best, 1)}
+    assert got == want
+    joined = plan_of(df)
+    assert "WindowGroupLimit" in joined  # suppliers are cut before they meet a question
