@@ -68,3 +68,17 @@ def test_candidates_meet_few_suppliers(spark, tmp_path):
     assert got == want
     joined = plan_of(df)
     assert "WindowGroupLimit" in joined  # suppliers are cut before they meet a question
+
+
+def test_sessions_stay_with_the_tasks(spark):
+    from auditweave.sources import sessions
+
+    rows = spark.range(30).selectExpr("id % 3 as session", "concat('u', id) as item_id", "'reviewed' as status", "timestamp'2026-02-03' as updated_at", "cast(null as timestamp) as orphaned_at")
+    notes = spark.createDataFrame([(7, "n", "note", "t", "c", "a.js", "/ws/a.js", 1, 1, "2026", "u1")], "session long, id string, type string, note string, code string, relative_path string, absolute_path string, line int, end_line int, created_at string, audit_item_id string")
+    texts = sessions.export_many(rows, notes, "2026-02-04", "session")
+    assert sorted(r.session for r in texts.select("session").collect()) == [0, 1, 2, 7]  # a session of notes alone, too
+    statuses, found = sessions.parse_many(texts.select(F.col("json").alias("text")), {"ws": "/ws"})
+    assert statuses.count() == 30 and found.count() == 1
+    bad = texts.select(F.col("json").alias("text")).union(spark.createDataFrame([("{}",)], "text string"))
+    with pytest.raises(ValueError, match="unsupported"):
+        sessions.parse_many(bad, {"ws": "/ws"})
