@@ -1,5 +1,6 @@
 import hashlib
 import random
+from pathlib import Path
 
 import pytest
 
@@ -62,3 +63,17 @@ def test_state_is_on_disk_without_expiry(spark, tmp_path):
     exact_dedup.deduplicate(spark, f"{tmp_path}/docs", work=f"file://{tmp_path}/work").collect()
     state = spark.read.format("statestore").load(f"file://{tmp_path}/work/state-checkpoint").selectExpr("key.key as key").collect()
     assert {r.key for r in state} == {hashlib.sha256(t).hexdigest() for t in (b"a", b"b")}
+
+
+def test_stores_take_disk_for_what_they_hold(spark, tmp_path):
+    """A store a partition: none has space set aside, so many partitions do not fill the disk."""
+    local = Path(spark._jvm.org.apache.spark.util.Utils.getLocalDir(spark.sparkContext._jsc.sc().conf()))
+    before, parts = set(local.rglob("MANIFEST-*")), spark.conf.get("spark.sql.shuffle.partitions")
+    write(spark, [(k, f"t{k}", "", 0) for k in range(100)], f"{tmp_path}/docs")
+    spark.conf.set("spark.sql.shuffle.partitions", 12)
+    try:
+        exact_dedup.members_of(spark, f"{tmp_path}/docs").count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    taken = [512 * p.stat().st_blocks for p in set(local.rglob("MANIFEST-*")) - before]
+    assert len(taken) >= 12 and max(taken) < 1 << 20
