@@ -21,6 +21,7 @@ import re
 import struct
 import unicodedata
 import uuid
+from array import array
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
 
@@ -40,7 +41,7 @@ BLANK = re.compile(f"[{SPACE}]+")
 #: str.split() would also split at these.
 ODD = re.compile("[\x1c-\x1f]")
 #: A full stop or comma next to other punctuation.
-BESIDE = re.compile(r"[.,][^\w\s]|[.,]_"), re.compile(r"[^\w\s.,][.,]"), re.compile("_[.,]")
+BESIDE = re.compile(r"[.,](?:[^\w\s]|_|(?<=[^\w\s.,][.,])|(?<=_[.,]))")
 ASTRAL = re.compile("[\U00010000-\U0010ffff]")
 
 
@@ -83,7 +84,11 @@ def normalise(text: str) -> str:
 
 
 def words_of(text: str) -> list[str]:
-    text = normalise(text)
+    return words_in(normalise(text))
+
+
+def words_in(text: str) -> list[str]:
+    """Words of normalised text."""
     if text.isalpha():
         return [text]
     return splitter(0x110000 if ASTRAL.search(text) else 0x10000)(text)
@@ -110,8 +115,8 @@ class Merger:
         parts = self._few(parts) if len(parts) <= 48 else self._many(parts)
         return tuple(map(self.vocab.__getitem__, parts))
 
-    def batch(self, words: list[str]) -> list[tuple[int, ...]]:
-        """ids() of many words: words of about one length merge side by side, the best pair of each in every step."""
+    def batch(self, words: list[str]) -> list[bytes]:
+        """ids() of many words, as unsigned 32-bit integers: words of about one length merge side by side, the best pair of each in every step."""
         out: list = [None] * len(words)
         data = [w.encode("utf-8", "replace") for w in words]
         size = np.fromiter(map(len, data), np.int64, len(data))
@@ -119,49 +124,46 @@ class Merger:
             for at in np.array_split(np.flatnonzero((size > low) & (size <= high)), 1 + len(words) // 50_000):
                 if len(at):
                     for i, ids in zip(at.tolist(), self._side_by_side([data[i] for i in at.tolist()], high)):
-                        out[i] = tuple(ids)
+                        out[i] = ids
         for i in np.flatnonzero(size > 48).tolist():
-            out[i] = self.ids(words[i])
+            out[i] = packed(self.ids(words[i]))
         return out
 
     @cached_property
     def tables(self):
-        """Symbol ids of bytes within and at the end of words; sorted pair keys with their ranks; the ids that ranks make."""
+        """Symbol ids of bytes within and at the end of words; sorted pair keys with their ranks; the ids that ranks make; ranks of pairs of bytes, within and at the end."""
         inner = np.array([self.vocab[x] for x in self.symbols], np.int32)
         ending = np.array([self.vocab[x + self.suffix] for x in self.symbols], np.int32)
         keys = np.array([(self.vocab[a] << 20) | self.vocab[b] for a, b in self.rank], np.int64)
         made = np.array([self.vocab[a + b] for a, b in self.rank], np.int32)
         order = np.argsort(keys)
-        return inner, ending, keys[order], order.astype(np.int32), made
-
-    def _side_by_side(self, data: list[bytes], width: int) -> list[list[int]]:
-        inner, ending, keys, ranks, made = self.tables
-        none = np.int32(1 << 30)
-        flat = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in data), np.uint8).reshape(len(data), width)
+        keys, ranks = keys[order], order.astype(np.int32)
+        pairs = [rank_of(keys, ranks, np.repeat(inner, 256), np.tile(second, 256)) for second in (inner, ending)]
+        return inner, ending, keys, ranks, made, *pairs
+
+    def _side_by_side(self, data: list[bytes], width: int) -> list[bytes]:
+        inner, ending, keys, ranks, made, within, at_end = self.tables
+        none = np.int32(NO_RANK)
+        flat = np.frombuffer(b"".join([x.ljust(width, b"\0") for x in data]), np.uint8).reshape(len(data), width)
         size = np.fromiter(map(len, data), np.int64, len(data))
-        cols = np.arange(width)
+        cols, rows = np.arange(width), np.arange(len(data))
         parts = np.where(cols < size[:, None], inner[flat], np.int32(-1))
-        parts[np.arange(len(data)), size - 1] = ending[flat[np.arange(len(data)), size - 1]]
-
-        def rank(a, b):
-            key = (a.astype(np.int64) << 20) | b
-            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            return np.where((keys[at] == key) & (a >= 0) & (b >= 0), ranks[at], none)
-
-        best = rank(parts[:, :-1], parts[:, 1:]) if width > 1 else np.full((len(data), 1), none)
-        out: list = [None] * len(data)
-        rows = np.arange(len(data))
+        parts[rows, size - 1] = ending[flat[rows, size - 1]]
+        pair = flat[:, :-1].astype(np.uint16) << 8 | flat[:, 1:]
+        best = np.where(cols[1:] < size[:, None] - 1, within[pair], none)
+        two = np.flatnonzero(size > 1)
+        best[two, size[two] - 2] = at_end[pair[two, size[two] - 2]]
+        whole = np.full(parts.shape, -1, np.int32)
         while True:
             i = best.argmin(1)
             least = best[np.arange(len(rows)), i]
             done = least == none
             if done.any():
-                for r, ids in zip(rows[done].tolist(), parts[done].tolist()):
-                    out[r] = ids[: ids.index(-1)] if ids[-1] < 0 else ids
+                whole[rows[done]] = parts[done]
                 keep = ~done
                 rows, parts, best, i, least = rows[keep], parts[keep], best[keep], i[keep], least[keep]
             if not len(rows):
-                return out
+                break
             n = np.arange(len(rows))
             parts[n, i] = made[least]
             later = cols[1:-1] > i[:, None]  # what stands behind the pair moves up by one
@@ -170,8 +172,12 @@ class Merger:
             best[:, :-1] = np.where(cols[: width - 2] > i[:, None] - 1, best[:, 1:], best[:, :-1])
             best[:, -1] = none
             left = np.flatnonzero(i > 0)
-            best[left, i[left] - 1] = rank(parts[left, i[left] - 1], parts[left, i[left]])
-            best[n, np.minimum(i, width - 2)] = np.where(i <= width - 2, rank(parts[n, i], parts[n, np.minimum(i + 1, width - 1)]), best[n, width - 2])
+            best[left, i[left] - 1] = rank_of(keys, ranks, parts[left, i[left] - 1], parts[left, i[left]])
+            best[n, i] = rank_of(keys, ranks, parts[n, i], parts[n, i + 1])
+        there = whole >= 0
+        ends = (4 * np.cumsum(there.sum(1))).tolist()
+        ids = whole[there].tobytes()
+        return [ids[a:b] for a, b in zip([0, *ends], ends)]
 
     def _few(self, parts: list[str]) -> list[str]:
         rank, none = self.rank.get, 1 << 30
@@ -209,6 +215,25 @@ class Merger:
         return [p for p in parts if p]
 
 
+#: Of pairs that no merge joins.
+NO_RANK = 1 << 30
+
+
+def rank_of(keys: np.ndarray, ranks: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Merge ranks of the pairs of a and b; -1 stands for no symbol and makes a key below all others."""
+    key = (a.astype(np.int64) << 20) | b
+    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+    return np.where(keys[at] == key, ranks[at], np.int32(NO_RANK))
+
+
+def packed(ids) -> bytes:
+    return array("I", ids).tobytes()
+
+
+def unpacked(ids: bytes, names: dict[int, str] | None = None) -> list[int]:
+    return memoryview(ids).cast("I").tolist()
+
+
 @lru_cache(2)
 def merger(path: str) -> Merger:
     return Merger(path)
@@ -308,8 +333,8 @@ class Lexicon:
             alive = alive[~done]
         return out
 
-    def ids(self, row: int) -> tuple[int, ...]:
-        return tuple(self.tokens[self.offsets[row] : self.offsets[row + 1]].tolist())
+    def ids(self, row: int) -> bytes:
+        return self.tokens[self.offsets[row] : self.offsets[row + 1]].tobytes()
 
 
 @lru_cache(2)
@@ -348,31 +373,28 @@ class Encoder:
     The memo keeps what comes from the lexicon and drops the rest whenever its bound of entries or characters is reached.
     """
 
-    def __init__(self, vocabulary: str, lexicon_file: str | None = None, make=lambda ids, names: ids):
+    def __init__(self, vocabulary: str, lexicon_file: str | None = None, make=unpacked):
         self.merge = merger(vocabulary)
         self.lexicon = lexicon(SparkFiles.get(lexicon_file)) if lexicon_file else None
-        self.make = make  # what is kept of a run's ids
+        self.make = make  # what is kept of a run's ids, which are unsigned 32-bit integers; None: these
         self.memo: dict = {}
         self.common: dict = {}
         self.held = 0
 
     def _learn(self, runs: list[str]) -> None:
-        special = self.merge.special
-        split = [[run] if run in special else words_of(run) for run in runs]
+        special, names, make = self.merge.special, self.merge.names, self.make
+        # no run holds a line feed, and nothing is joined or lower-cased over one
+        split = [[run] if run in special else words_in(text) for run, text in zip(runs, normalise("\n".join(runs)).split("\n"))]
         new = list(set().union(*split) - special.keys())
         rows = self.lexicon.rows(new) if self.lexicon else np.full(len(new), -1)
-        words = dict(zip(special, ((i,) for i in special.values())))
         listed = {new[i]: self.lexicon.ids(int(rows[i])) for i in np.flatnonzero(rows >= 0).tolist()}
         unseen = [new[i] for i in np.flatnonzero(rows < 0).tolist()]
-        words |= listed
-        words |= dict(zip(unseen, self.merge.batch(unseen)))
-        names, make = self.merge.names, self.make
-        for run, own in zip(runs, split):
-            kept = make(words[own[0]] if len(own) == 1 else tuple(x for w in own for x in words[w]), names)
-            if run in listed:
-                self.common[run] = kept
-            self.memo[run] = kept
-            self.held += len(run)
+        words = {s: packed((i,)) for s, i in special.items()} | listed | dict(zip(unseen, self.merge.batch(unseen)))
+        kept = [words[own[0]] if len(own) == 1 else b"".join([words[w] for w in own]) for own in split]
+        learnt = dict(zip(runs, [make(ids, names) for ids in kept] if make else kept))
+        self.common |= {run: learnt[run] for run in listed.keys() & learnt.keys()}
+        self.memo |= learnt
+        self.held += sum(map(len, runs))
 
     def runs(self, text: str) -> list[str]:
         special = self.merge.at_special
@@ -381,7 +403,7 @@ class Encoder:
             for part in re.split(f"({'|'.join(map(re.escape, self.merge.special))})", text):
                 runs += [part] if part in self.merge.special else BLANK.split(part)
             return [r for r in runs if r]
-        if not any(x.search(text) for x in BESIDE):  # full stops and commas that are words by themselves: fewer different runs to keep
+        if not BESIDE.search(text):  # full stops and commas that are words by themselves: fewer different runs to keep
             text = text.replace(".", " . ").replace(",", " , ")
         return text.split()
 
@@ -394,8 +416,8 @@ class Encoder:
             gc.enable()
 
     def _entries(self, texts: list[str | None]) -> Iterator[list]:
-        for from_ in range(0, len(texts), 128):
-            split = [self.runs(text) if text else [] for text in texts[from_ : from_ + 128]]
+        for some in together(texts):
+            split = [self.runs(text) if text else [] for text in some]
             if len(self.memo) > MEMO_WORDS or self.held > 16 * MEMO_WORDS:
                 self.memo = dict(self.common)
                 self.held = 0
@@ -407,13 +429,23 @@ class Encoder:
                 yield list(map(get, runs))
 
 
+def together(texts: list[str | None], most: int = 1 << 21) -> Iterator[list[str | None]]:
+    """The texts in pieces of about `most` characters."""
+    from_, held = 0, 0
+    for to, text in enumerate(texts, 1):
+        held += len(text or "")
+        if held >= most or to == len(texts):
+            yield texts[from_:to]
+            from_, held = to, 0
+
+
 def encode(docs: DataFrame, vocabulary: str, lexicon_file: str | None = None, *, keep_ids: bool = True, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_tokens, ids, decoded of every whole text; with keep_ids False the two digests instead of ids and decoded."""
 
     def run(batches):
         import pyarrow as pa
 
-        encoder = Encoder(vocabulary, lexicon_file, lambda ids, names: (len(ids), " ".join(map(str, ids)), " ".join(names[i] for i in ids), ids))
+        encoder = Encoder(vocabulary, lexicon_file, lambda data, names: (len(ids := unpacked(data)), " ".join(map(str, ids)), " ".join([names[i] for i in ids]), ids))
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1).to_pylist()
             counts, first, second = [], [], []

@@ -14,14 +14,13 @@ rows are packed each for itself; an empty table gives no pieces. Sequence ids ar
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditweave.llm.bpe import Encoder
+from auditweave.llm.bpe import Encoder, packed
 
 WINDOW = 2048
 END_ID = 1
@@ -114,8 +113,8 @@ def pack(docs: DataFrame, vocabulary: str, *, window: int = WINDOW, end_id: int
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder = Encoder(vocabulary, make=lambda ids, names: array("I", ids).tobytes())  # documents are then joined as bytes
-        packer, base, end = Packer(window), TaskContext.get().partitionId() << 40, array("I", [end_id]).tobytes()
+        encoder = Encoder(vocabulary, make=None)  # documents are then joined as bytes
+        packer, base, end = Packer(window), TaskContext.get().partitionId() << 40, packed([end_id])
         sizes: list[int] = []
         keys: list = []
 
@@ -134,7 +133,7 @@ def pack(docs: DataFrame, vocabulary: str, *, window: int = WINDOW, end_id: int
             for from_ in range(0, len(texts), 512):
                 placed = []
                 for key, entries in zip(keys_now[from_ : from_ + 512], encoder.entries(texts[from_ : from_ + 512])):
-                    ids = np.frombuffer(b"".join(entries) + end, np.uint32)
+                    ids = np.frombuffer(b"".join([*entries, end]), np.uint32)
                     keys.append(key)
                     sizes.append(len(ids))
                     placed += packer.add(len(keys) - 1, ids)

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from auditweave.llm import bpe
 from auditweave.llm.packing import Packer
 
 
@@ -29,3 +30,14 @@ def test_retiring_keeps_every_id_and_the_other_windows(seed):
         assert at == windows.get(sequence, 0)
         windows[sequence] = at + len(piece)
     assert max(windows.values()) <= 16 and sum(v < 16 for v in windows.values()) <= 1
+
+
+def test_new_words_of_many_texts_are_merged_together(monkeypatch):
+    """One by one, or by few texts, the steps of merging cost more than the words; the ids are those of single words."""
+    rng, calls, batch = np.random.default_rng(1), [], bpe.Merger.batch
+    monkeypatch.setattr(bpe.Merger, "batch", lambda self, words: (calls.append(words), batch(self, words))[1])
+    texts = [" ".join("".join(rng.choice(list("abcdeéß7_𝔘İ"), rng.integers(1, 60))) for _ in range(6)) for _ in range(500)]
+    encoder = bpe.Encoder(bpe.default_vocabulary())
+    got = [[x for ids in entries for x in ids] for entries in encoder.entries(texts)]
+    assert len(calls) == 1
+    assert got == [[x for run in t.split() for w in bpe.words_of(run) for x in encoder.merge.ids(w)] for t in texts]
