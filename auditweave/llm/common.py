@@ -55,7 +55,10 @@ def marked(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
 
 
 def give_back() -> None:
-    """Returns freed memory to the system where the C library can: the driver and workers that are used again keep it otherwise."""
+    """Returns freed memory to the system where Arrow and the C library can: the driver and workers that are used again keep it otherwise."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)

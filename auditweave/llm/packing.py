@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditweave.llm.bpe import Encoder, packed
+from auditweave.llm.common import give_back
 
 WINDOW = 2048
 END_ID = 1
@@ -140,6 +141,8 @@ def pack(docs: DataFrame, vocabulary: str, *, window: int = WINDOW, end_id: int
                 yield batch_of(placed)
         if keys:
             yield batch_of(packer.close())
+        del encoder, packer
+        give_back()
 
     columns = [doc_id, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
     source = docs.select(F.col(doc_id), F.col(text))

@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditweave.llm.common import WordHashes, give_back
+from auditweave.llm.common import slices as pieces
 from auditweave.llm.quality import one_label, sample_labels
 
 MAX_EXAMPLES = 12_000
@@ -165,17 +166,29 @@ class Index:
         self.ready = True
         n, self.n_blocks = len(self.ids), -(-len(self.ids) // BLOCK)
         self.offsets = np.cumsum(self.sizes) - self.sizes
-        self.place = np.full(len(self.keys), -1)
+        self.place = np.full(len(self.keys), -1, np.int32)
         self.place[self.common] = np.arange(len(self.common))
-        row, place = np.repeat(np.arange(n), self.sizes), self.place[self.i]
         self.dense = np.zeros((self.n_blocks, len(self.common), BLOCK), np.float32)
-        own = place >= 0
-        self.dense[row[own] // BLOCK, place[own], row[own] % BLOCK] = self.v[own]
+        rare = np.zeros(len(self.i), bool)
+        for b in range(self.n_blocks):  # in parts, so that little is held beside the index
+            sizes = self.sizes[b * BLOCK : (b + 1) * BLOCK]
+            part = slice(self.offsets[b * BLOCK], self.offsets[b * BLOCK] + sizes.sum())
+            place, row = self.place[self.i[part]], np.repeat(np.arange(len(sizes)), sizes)
+            own = place >= 0
+            self.dense[b, place[own], row[own]] = self.v[part][own]
+            rare[part] = ~own
         self.most = self.dense.max(2).T.copy() if n else np.zeros((len(self.common), 0), np.float32)
-        t, row, v = self.i[~own], row[~own], self.v[~own]
+        t = self.i[rare]
+        self.starts = np.concatenate(([0], np.cumsum(np.bincount(t, minlength=len(self.keys)))))
         order = np.argsort(t, kind="stable")
-        self.rows, self.weights = row[order].astype(np.int32), v[order].astype(np.float32)
-        self.starts = np.searchsorted(t[order], np.arange(len(self.keys) + 1))
+        del t
+        at = np.flatnonzero(rare).astype(np.int32)[order]
+        del order, rare
+        self.rows, self.weights = np.empty(len(at), np.int32), np.empty(len(at), np.float32)
+        for lo in range(0, len(at), 1 << 17):
+            part = slice(lo, lo + (1 << 17))
+            self.rows[part] = np.searchsorted(self.offsets, at[part], "right") - 1
+            self.weights[part] = self.v[at[part]]
         self.query = np.zeros(len(self.keys))
 
     def __getstate__(self) -> dict:
@@ -279,8 +292,13 @@ def monotone(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 class Model:
-    def __init__(self, index: Index, rate: float, silent: float, levels: np.ndarray, rates: np.ndarray):
-        self.index, self.rate, self.silent, self.levels, self.rates = index, rate, silent, levels, rates
+    """sent: a broadcast of the index, if there is one; tasks then get the model without it."""
+
+    def __init__(self, index: Index, rate: float, silent: float, levels: np.ndarray, rates: np.ndarray, sent=None):
+        self.index, self.rate, self.silent, self.levels, self.rates, self.sent = index, rate, silent, levels, rates, sent
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | ({"index": None} if self.sent else {})
 
     def score(self, text: str | None) -> tuple[float, list[int]]:
         return self.scores([text], Places(self.index.keys))[0]
@@ -300,6 +318,7 @@ def document_frequencies(docs: DataFrame, keys: np.ndarray, text: str = "text")
     def count(batches):
         import pyarrow as pa
 
+        give_back()  # what earlier tasks of this worker left
         known, total, words = sent.value, 0, Counter()
         found = np.zeros(len(known) + (1 << OTHER_BITS), np.int64)
 
@@ -336,8 +355,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str, use: Callable[[Column]
     def counts_of(batches):
         import pyarrow as pa
 
+        give_back()  # what earlier tasks of this worker left
         hashes = WordHashes()
-        for batch in batches:
+        for batch in pieces(batches):
             found = [term_counts(t, hashes) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([w.view(np.int64) for w, _ in found], pa.list_(pa.int64())), pa.array([n.astype(np.int32) for _, n in found], pa.list_(pa.int32()))],
@@ -364,33 +384,33 @@ def train(docs: DataFrame, labels: DataFrame, label: str, use: Callable[[Column]
     def votes_of(batches):
         import pyarrow as pa
 
+        give_back()  # what earlier tasks of this worker left
         own = sent.value
         places = Places(own.keys)
-        for whole in batches:
-            for lo in range(0, whole.num_rows, BATCH):
-                batch = whole.slice(lo, BATCH)
-                all_ids, y, counts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), places.counted(batch.column(2).to_pylist())
-                found = own.nearest_of([own.placed(*c) for c in counts], but=all_ids)
-                made = [(i, c, vote(own.labels[r], cosines, rate)) for i, c, (w, _), (r, cosines) in zip(all_ids, y, counts, found) if len(w)]
-                yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.int32()), pa.array([m[2] for m in made], pa.float64())], names=["doc_id", "label", "vote"])
+        for batch in pieces(batches, BATCH):
+            all_ids, y, counts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), places.counted(batch.column(2).to_pylist())
+            found = own.nearest_of([own.placed(*c) for c in counts], but=all_ids)
+            made = [(i, c, vote(own.labels[r], cosines, rate)) for i, c, (w, _), (r, cosines) in zip(all_ids, y, counts, found) if len(w)]
+            yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.int32()), pa.array([m[2] for m in made], pa.float64())], names=["doc_id", "label", "vote"])
 
     votes = sorted(map(tuple, rows.mapInArrow(votes_of, "doc_id long, label int, vote double").collect()))  # at most `most` documents
-    sent.unpersist()
-    return Model(index, rate, silent, *monotone(np.array([v for _, _, v in votes]), np.array([y for _, y, _ in votes], float)))
+    return Model(index, rate, silent, *monotone(np.array([v for _, _, v in votes]), np.array([y for _, y, _ in votes], float)), sent)
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", output: str = "score", evidence: str = "evidence") -> DataFrame:
     """docs with a score (0 to 1) and the ids of the nearest examples, nearest first, in columns that replace any of those names."""
     docs = docs.select([c for c in docs.columns if c.lower() not in (output.lower(), evidence.lower())])
-    sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
+    model.sent, at = model.sent or docs.sparkSession.sparkContext.broadcast(model.index), docs.columns.index(text)
 
     def run(batches):
         import pyarrow as pa
 
-        places = Places(sent.value.index.keys)
-        for batch in batches:
+        give_back()  # what earlier tasks of this worker left
+        model.index = model.sent.value  # the same in all tasks of a worker, those that voted too
+        places = Places(model.index.keys)
+        for batch in pieces(batches):
             texts = batch.column(at)
-            found = [x for lo in range(0, len(texts), BATCH) for x in sent.value.scores(texts.slice(lo, BATCH).to_pylist(), places)]
+            found = [x for lo in range(0, len(texts), BATCH) for x in model.scores(texts.slice(lo, BATCH).to_pylist(), places)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], pa.list_(pa.int64()))], names=[*batch.schema.names, output, evidence])
         places.clear()
         give_back()

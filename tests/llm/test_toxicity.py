@@ -1,10 +1,13 @@
 """Neighbours over all words of a text."""
 
 import math
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 
+from pyspark import SparkContext
+
 from auditweave.llm import toxicity
 
 
@@ -41,3 +44,26 @@ def test_every_word_counts(spark):
     factor = 1 + math.sqrt(toxicity.likelihood_ratios(np.array([2.0]), np.array([0.0]), 2, 60)[0])
     known, rest = idf["schmaehung"] * factor, [idf[w] for w in ("neu", "ganz", "anders", "lang")]
     assert len(i) == 1 and math.isclose(v[0], known / math.sqrt(known**2 + sum(x * x for x in rest)), rel_tol=1e-6)
+
+
+def test_inverting_holds_little_beside_the_index():
+    """Each Python worker inverts the index for itself, so what that takes counts for every worker of an executor."""
+    rng = np.random.default_rng(5)
+    counts = [(np.unique(rng.integers(0, 40_000, 150).astype(np.uint64)), None) for _ in range(4000)]
+    counts = [(w, np.ones(len(w), np.int64)) for w, _ in counts]
+    index = toxicity.Index.of(list(range(4000)), [k % 2 for k in range(4000)], counts, np.arange(40_000, dtype=np.uint64), np.full(40_000, 15), np.zeros(1 << toxicity.OTHER_BITS), 4000)
+    tracemalloc.start()
+    index.invert()
+    held, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert most - held < 20 * len(index.i)  # bytes an entry, of which the order takes 8
+
+
+def test_the_index_is_sent_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"wort{k % 3} schmaehung{k % 2}") for k in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(20)], "doc_id long, toxic int")
+    sent, broadcast = [], SparkContext.broadcast
+    monkeypatch.setattr(SparkContext, "broadcast", lambda self, value: (sent.append(value), broadcast(self, value))[1])
+    model = toxicity.train(docs, labels, "toxic", lambda doc_id: doc_id.isNotNull())
+    assert {r.score > 0.5 for r in toxicity.score(docs, model).collect() if r.doc_id % 2} == {True}
+    assert sum(isinstance(x, (toxicity.Index, toxicity.Model)) for x in sent) == 1
