@@ -35,6 +35,8 @@ from auditweave.storage import put
 
 LEXICON_WORDS = 100_000
 MEMO_WORDS = 250_000
+#: Of texts that are cut together, but for a longer one.
+MOST_BYTES = 1 << 21
 #: White space as the vocabulary's pre-tokeniser sees it (Unicode White_Space).
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 BLANK = re.compile(f"[{SPACE}]+")
@@ -42,6 +44,8 @@ BLANK = re.compile(f"[{SPACE}]+")
 ODD = re.compile("[\x1c-\x1f]")
 #: A full stop or comma next to other punctuation.
 BESIDE = re.compile(r"[.,](?:[^\w\s]|_|(?<=[^\w\s.,][.,])|(?<=_[.,]))")
+#: What lower() puts behind the i of a dotted capital I.
+DOT = "\u0307"
 ASTRAL = re.compile("[\U00010000-\U0010ffff]")
 
 
@@ -94,6 +98,46 @@ def words_in(text: str) -> list[str]:
     return splitter(0x110000 if ASTRAL.search(text) else 0x10000)(text)
 
 
+#: Kinds of bytes in UTF-8: white space, letter, digit, other ASCII, apostrophe, other.
+BLANK_BYTE, LETTER, DIGIT, MARK, APOSTROPHE, OTHER = range(6)
+KIND = bytes(
+    BLANK_BYTE if b in b"\t\n\v\f\r " else OTHER if b > 127 else APOSTROPHE if b == 39 else LETTER if chr(b).isalpha() else DIGIT if 48 <= b < 58 else MARK
+    for b in range(256)
+)
+#: By 8 * kind + next kind, whether a piece ends between the two. Nothing is cut beside apostrophes and other bytes, but at white space.
+CUT = bytes(
+    (a != b and (BLANK_BYTE in (a, b) or max(a, b) < APOSTROPHE)) or a == b == DIGIT if max(a, b) <= OTHER else 0 for a, b in (divmod(i, 8) for i in range(256))
+)
+
+
+def pieces_of(raw: bytes, starts: np.ndarray, fixed: list[tuple[int, int]]):
+    """Cuts joined UTF-8 texts where no word and no normalisation can reach over: the pieces, their number before each start, and those at the fixed spans.
+
+    Most pieces are words. What has other bytes than ASCII and Latin letters, or apostrophes, is left for words_in().
+    ASCII letters are lower-cased unless a combining mark may follow.
+    """
+    import pyarrow as pa
+
+    data, kind = np.frombuffer(raw, np.uint8), np.frombuffer(raw.translate(KIND), np.uint8).copy()
+    lead = np.flatnonzero(data == 0xC3)  # U+00C0 to U+00FF: letters but for two
+    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+    kind[lead] = kind[lead + 1] = LETTER
+    low = np.frombuffer(raw.lower(), np.uint8).copy()
+    before_other = np.maximum(np.flatnonzero(kind == OTHER) - 1, 0)
+    low[before_other] = data[before_other]
+    cut = np.ones(len(data), bool)
+    cut[1:] = np.frombuffer(((kind[:-1] << 3) | kind[1:]).tobytes().translate(CUT), bool)
+    cut[starts[starts < len(data)]] = True
+    for a, b in fixed:
+        cut[a:b] = False
+        cut[[a, *([b] if b < len(data) else [])]] = True
+    filled = kind != BLANK_BYTE
+    first, held = np.flatnonzero(cut & filled), low[filled]
+    ends = np.append(np.flatnonzero(cut[filled]), len(held)).astype(np.int32)
+    pieces = pa.StringArray.from_buffers(len(first), pa.py_buffer(ends), pa.py_buffer(held))
+    return pieces, np.searchsorted(first, starts), np.searchsorted(first, [a for a, _ in fixed])
+
+
 class Merger:
     """Exact byte-pair merging of single words by merge rank."""
 
@@ -118,12 +162,16 @@ class Merger:
     def batch(self, words: list[str]) -> list[bytes]:
         """ids() of many words, as unsigned 32-bit integers: words of about one length merge side by side, the best pair of each in every step."""
         out: list = [None] * len(words)
-        data = [w.encode("utf-8", "replace") for w in words]
-        size = np.fromiter(map(len, data), np.int64, len(data))
+        data = np.frombuffer("".join([w + "\n" for w in words]).encode("utf-8", "replace"), np.uint8)
+        ends = np.flatnonzero(data == 10)  # no word holds a line feed
+        start = np.concatenate(([0], ends[:-1] + 1)) if len(words) else ends
+        size = ends - start
         for low, high in ((0, 5), (5, 7), (7, 9), (9, 11), (11, 14), (14, 18), (18, 26), (26, 48)):
-            for at in np.array_split(np.flatnonzero((size > low) & (size <= high)), 1 + len(words) // 50_000):
+            which = np.flatnonzero((size > low) & (size <= high))
+            for at in np.array_split(which, 1 + len(which) // 8_000):
                 if len(at):
-                    for i, ids in zip(at.tolist(), self._side_by_side([data[i] for i in at.tolist()], high)):
+                    cols = np.minimum(start[at, None] + np.arange(high), len(data) - 1)
+                    for i, ids in zip(at.tolist(), self._side_by_side(data[cols], size[at])):
                         out[i] = ids
         for i in np.flatnonzero(size > 48).tolist():
             out[i] = packed(self.ids(words[i]))
@@ -131,49 +179,53 @@ class Merger:
 
     @cached_property
     def tables(self):
-        """Symbol ids of bytes within and at the end of words; sorted pair keys with their ranks; the ids that ranks make; ranks of pairs of bytes, within and at the end."""
+        """Symbol ids of bytes within and at the end of words; ranks of pairs; the ids that ranks make; ranks of pairs of bytes, within and at the end."""
         inner = np.array([self.vocab[x] for x in self.symbols], np.int32)
         ending = np.array([self.vocab[x + self.suffix] for x in self.symbols], np.int32)
-        keys = np.array([(self.vocab[a] << 20) | self.vocab[b] for a, b in self.rank], np.int64)
         made = np.array([self.vocab[a + b] for a, b in self.rank], np.int32)
-        order = np.argsort(keys)
-        keys, ranks = keys[order], order.astype(np.int32)
-        pairs = [rank_of(keys, ranks, np.repeat(inner, 256), np.tile(second, 256)) for second in (inner, ending)]
-        return inner, ending, keys, ranks, made, *pairs
-
-    def _side_by_side(self, data: list[bytes], width: int) -> list[bytes]:
-        inner, ending, keys, ranks, made, within, at_end = self.tables
-        none = np.int32(NO_RANK)
-        flat = np.frombuffer(b"".join([x.ljust(width, b"\0") for x in data]), np.uint8).reshape(len(data), width)
-        size = np.fromiter(map(len, data), np.int64, len(data))
-        cols, rows = np.arange(width), np.arange(len(data))
-        parts = np.where(cols < size[:, None], inner[flat], np.int32(-1))
+        ranks = PairRanks(np.array([(self.vocab[a] << 20) | self.vocab[b] for a, b in self.rank], np.int64))
+        pairs = [ranks.of(np.repeat(inner, 256), np.tile(second, 256)) for second in (inner, ending)]
+        return inner, ending, ranks, made, *pairs
+
+    def _side_by_side(self, flat: np.ndarray, size: np.ndarray) -> list[bytes]:
+        """flat holds a word's bytes in each row, size their number; what stands behind them counts for nothing."""
+        inner, ending, ranks, made, within, at_end = self.tables
+        none, (n, width) = np.int32(NO_RANK), flat.shape
+        cols, rows, wide = np.arange(width), np.arange(n), width + 1
+        # a column more, for what stands before the first symbol and behind the last; symbols stay in place and are linked
+        parts = np.full((n, wide), -1, np.int32)
+        parts[:, :-1] = np.where(cols < size[:, None], inner[flat], np.int32(-1))
         parts[rows, size - 1] = ending[flat[rows, size - 1]]
+        after, before = np.empty((n, wide), np.int8), np.empty((n, wide), np.int8)
+        after[:], before[:] = np.arange(1, wide + 1), np.arange(-1, width)
+        after[rows, size - 1] = before[:, 0] = width
         pair = flat[:, :-1].astype(np.uint16) << 8 | flat[:, 1:]
-        best = np.where(cols[1:] < size[:, None] - 1, within[pair], none)
+        best = np.full((n, wide), none, np.int32)
+        best[:, : width - 1] = np.where(cols[1:] < size[:, None] - 1, within[pair], none)
         two = np.flatnonzero(size > 1)
         best[two, size[two] - 2] = at_end[pair[two, size[two] - 2]]
-        whole = np.full(parts.shape, -1, np.int32)
+        whole, parts, after, before = parts, parts.ravel(), after.ravel(), before.ravel()
+        base = rows * wide
         while True:
             i = best.argmin(1)
-            least = best[np.arange(len(rows)), i]
-            done = least == none
-            if done.any():
-                whole[rows[done]] = parts[done]
-                keep = ~done
-                rows, parts, best, i, least = rows[keep], parts[keep], best[keep], i[keep], least[keep]
-            if not len(rows):
+            own = np.arange(len(best)) * wide
+            least = best.ravel()[own + i]
+            open_ = np.flatnonzero(least < none)
+            if len(open_) < len(best):
+                best, base, i, least, own = best[open_], base[open_], i[open_], least[open_], own[: len(open_)]
+            if not len(open_):
                 break
-            n = np.arange(len(rows))
-            parts[n, i] = made[least]
-            later = cols[1:-1] > i[:, None]  # what stands behind the pair moves up by one
-            parts[:, 1:-1] = np.where(later, parts[:, 2:], parts[:, 1:-1])
-            parts[:, -1] = -1
-            best[:, :-1] = np.where(cols[: width - 2] > i[:, None] - 1, best[:, 1:], best[:, :-1])
-            best[:, -1] = none
-            left = np.flatnonzero(i > 0)
-            best[left, i[left] - 1] = rank_of(keys, ranks, parts[left, i[left] - 1], parts[left, i[left]])
-            best[n, i] = rank_of(keys, ranks, parts[n, i], parts[n, i + 1])
+            at = base + i
+            second = after[at].astype(np.int64)
+            behind = after[base + second].astype(np.int64)
+            ahead = before[at].astype(np.int64)
+            parts[at] = joined = made[least]
+            parts[base + second] = -1
+            after[at], before[base + behind] = behind, i
+            left = best.ravel()
+            left[own + second] = none
+            left[own + i] = ranks.of(joined, parts[base + behind])
+            left[own + ahead] = ranks.of(parts[base + ahead], joined)
         there = whole >= 0
         ends = (4 * np.cumsum(there.sum(1))).tolist()
         ids = whole[there].tobytes()
@@ -219,11 +271,31 @@ class Merger:
 NO_RANK = 1 << 30
 
 
-def rank_of(keys: np.ndarray, ranks: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Merge ranks of the pairs of a and b; -1 stands for no symbol and makes a key below all others."""
-    key = (a.astype(np.int64) << 20) | b
-    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-    return np.where(keys[at] == key, ranks[at], np.int32(NO_RANK))
+class PairRanks:
+    """Merge ranks of pairs of symbols, looked up many at once; -1 stands for no symbol and makes a key below all others.
+
+    A key that shares its slot with another is found by binary search.
+    """
+
+    BITS = 20
+
+    def __init__(self, keys: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.ranks = np.append(keys[order], -1), np.append(order, NO_RANK).astype(np.int32)
+        self.slots = np.full(1 << self.BITS, len(keys), np.int32)
+        self.slots[self._slot(self.keys[:-1])] = np.arange(len(keys))
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)).view(np.int64)
+
+    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = (a.astype(np.int64) << 20) | b
+        at = self.slots[self._slot(key)]
+        other = np.flatnonzero((self.keys[at] != key) & (at < len(self.keys) - 1))
+        if len(other):
+            found = np.minimum(np.searchsorted(self.keys[:-1], key[other]), len(self.keys) - 2)
+            at[other] = np.where(self.keys[found] == key[other], found, len(self.keys) - 1)
+        return self.ranks[at]
 
 
 def packed(ids) -> bytes:
@@ -371,15 +443,18 @@ class Encoder:
 
     No word reaches over white space and no normalisation joins over it, so runs can be split, normalised and merged alone.
     The memo keeps what comes from the lexicon and drops the rest whenever its bound of entries or characters is reached.
+    documents() gives plain ids without the lexicon: bytes of many texts are cut into pieces at once, and each different
+    piece is looked up once.
     """
 
     def __init__(self, vocabulary: str, lexicon_file: str | None = None, make=unpacked):
         self.merge = merger(vocabulary)
         self.lexicon = lexicon(SparkFiles.get(lexicon_file)) if lexicon_file else None
-        self.make = make  # what is kept of a run's ids, which are unsigned 32-bit integers; None: these
+        self.make = make  # what is kept of a run's ids, which are unsigned 32-bit integers
         self.memo: dict = {}
         self.common: dict = {}
         self.held = 0
+        self.pieces: dict[str, bytes] = {}  # the memo of documents()
 
     def _learn(self, runs: list[str]) -> None:
         special, names, make = self.merge.special, self.merge.names, self.make
@@ -391,7 +466,7 @@ class Encoder:
         unseen = [new[i] for i in np.flatnonzero(rows < 0).tolist()]
         words = {s: packed((i,)) for s, i in special.items()} | listed | dict(zip(unseen, self.merge.batch(unseen)))
         kept = [words[own[0]] if len(own) == 1 else b"".join([words[w] for w in own]) for own in split]
-        learnt = dict(zip(runs, [make(ids, names) for ids in kept] if make else kept))
+        learnt = dict(zip(runs, [make(ids, names) for ids in kept]))
         self.common |= {run: learnt[run] for run in listed.keys() & learnt.keys()}
         self.memo |= learnt
         self.held += sum(map(len, runs))
@@ -428,6 +503,65 @@ class Encoder:
             for runs in split:
                 yield list(map(get, runs))
 
+    def documents(self, texts) -> Iterator[np.ndarray]:
+        """The ids of each text of an Arrow column of strings; null counts as empty."""
+        import pyarrow as pa
+
+        texts = texts.cast(pa.large_string()).fill_null("")
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        data = memoryview(texts.buffers()[2] or b"")
+        from_ = 0
+        while from_ < len(texts):
+            to = max(from_ + 1, int(np.searchsorted(offsets, offsets[from_] + MOST_BYTES, "right")) - 1)
+            yield from self._documents(bytes(data[offsets[from_] : offsets[to]]), offsets[from_ : to + 1] - offsets[from_])
+            from_ = to
+
+    def _documents(self, raw: bytes, starts: np.ndarray) -> Iterator[np.ndarray]:
+        special = {s.encode(): i for s, i in self.merge.special.items()}
+        fixed: list[tuple[int, int]] = []
+        if any(s in raw for s in special):
+            find = re.compile(b"|".join(map(re.escape, special))).finditer
+            fixed = [m.span() for a, b in zip(starts.tolist(), starts[1:].tolist()) for m in find(raw, a, b)]
+        pieces, counts, at = pieces_of(raw, starts, fixed)
+        coded = pieces.dictionary_encode()
+        del pieces
+        names, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().copy()
+        codes[at] = np.arange(len(names), len(names) + len(at))
+        ids = self._ids(names) + [packed((special[raw[a:b]],)) for a, b in fixed]
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        first, flat = np.cumsum(size) - size, np.frombuffer(b"".join(ids), np.uint32)
+        del coded, names, ids
+        long = size[codes]
+        ends = np.concatenate(([0], np.cumsum(long)))
+        flat = flat[np.repeat(first[codes] - ends[:-1], long) + np.arange(ends[-1])]
+        bounds = ends[counts].tolist()
+        for a, b in zip(bounds, bounds[1:]):
+            yield flat[a:b]
+
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        """Ids of different pieces, as bytes; the memo keeps at least those of the last call."""
+        gc.disable()  # as in entries()
+        try:
+            memo = self.pieces
+            known = list(map(memo.get, pieces))
+            new = [p for p, ids in zip(pieces, known) if ids is None]
+            text = normalise("\n".join(new))
+            split = [words_in(x) for x in text.split("\n")] if new else []
+            words = set().union(*split)
+            # a word alone is a piece with the same ids, unless lower() made its dot of a capital: marks behind that stay in their order
+            dotted = [w for w in words if DOT in w] if DOT in text else []
+            own = dict(zip(dotted, self.merge.batch(dotted)))
+            plain = list(words - own.keys() - memo.keys())
+            memo.update(zip(plain, self.merge.batch(plain)))
+            memo.update([(p, b"".join([own[w] if w in own else memo[w] for w in ws])) for p, ws in zip(new, split) if p not in memo])
+            out = [memo[p] if ids is None else ids for p, ids in zip(pieces, known)]
+            self.held += len(text)
+            if len(memo) > MEMO_WORDS or self.held > 16 * MEMO_WORDS:
+                self.pieces, self.held = dict(zip(pieces, out)), sum(map(len, pieces))
+            return out
+        finally:
+            gc.enable()
+
 
 def together(texts: list[str | None], most: int = 1 << 21) -> Iterator[list[str | None]]:
     """The texts in pieces of about `most` characters."""

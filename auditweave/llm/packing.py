@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditweave.llm.bpe import Encoder, packed
+from auditweave.llm.bpe import Encoder
 from auditweave.llm.common import give_back
 
 WINDOW = 2048
@@ -114,8 +114,8 @@ def pack(docs: DataFrame, vocabulary: str, *, window: int = WINDOW, end_id: int
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder = Encoder(vocabulary, make=None)  # documents are then joined as bytes
-        packer, base, end = Packer(window), TaskContext.get().partitionId() << 40, packed([end_id])
+        encoder = Encoder(vocabulary)
+        packer, base, end = Packer(window), TaskContext.get().partitionId() << 40, np.uint32(end_id)
         sizes: list[int] = []
         keys: list = []
 
@@ -129,16 +129,15 @@ def pack(docs: DataFrame, vocabulary: str, *, window: int = WINDOW, end_id: int
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=columns)
 
         for batch in batches:
-            key_type = batch.schema.field(0).type
-            keys_now, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for from_ in range(0, len(texts), 512):
-                placed = []
-                for key, entries in zip(keys_now[from_ : from_ + 512], encoder.entries(texts[from_ : from_ + 512])):
-                    ids = np.frombuffer(b"".join([*entries, end]), np.uint32)
-                    keys.append(key)
-                    sizes.append(len(ids))
-                    placed += packer.add(len(keys) - 1, ids)
-                yield batch_of(placed)
+            key_type, placed = batch.schema.field(0).type, []
+            for key, ids in zip(batch.column(0).to_pylist(), encoder.documents(batch.column(1))):
+                keys.append(key)
+                sizes.append(len(ids) + 1)
+                placed += packer.add(len(keys) - 1, np.append(ids, end))
+                if len(placed) >= 512:
+                    yield batch_of(placed)
+                    placed = []
+            yield batch_of(placed)
         if keys:
             yield batch_of(packer.close())
         del encoder, packer

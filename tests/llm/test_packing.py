@@ -1,7 +1,11 @@
 """The packer with few open windows allowed: the fullest are retired, nothing is lost."""
 
+import random
+
 import numpy as np
+import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 
 from auditweave.llm import bpe
 from auditweave.llm.packing import Packer
@@ -41,3 +45,26 @@ def test_new_words_of_many_texts_are_merged_together(monkeypatch):
     got = [[x for ids in entries for x in ids] for entries in encoder.entries(texts)]
     assert len(calls) == 1
     assert got == [[x for run in t.split() for w in bpe.words_of(run) for x in encoder.merge.ids(w)] for t in texts]
+
+
+ATOMS = ["a", "A", "h", "H", "J", "I", "T", "\u0331", "\u0307", "\u030a", "\u0338", "\u0301", "'", "'s", "'S", "'re", "'LL", "'t", "é", "É", "ß", "×", "÷", "ü", ".", ",", "!", "<", "<|", "|>", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|startof", "text|>", "1", "23", "²", "½", "٣", " ", "\n", "\t", "\x0b", "\x0c", "\x1c", "\x1f", "\x85", "\xa0", "\u2003", "\u2028", "\u3000", "“", "…", "漢", "한", "\u1112\u1161", "ΑΣ", "İ", "ŉ", "ẞ", "ﬁ", "𝔘", "😀", "_", "the", "Hello", "\x00", "\u200b", "a" * 60, "\xad", "Ⅷ", "ª"]
+
+
+@pytest.mark.parametrize("at_once, memo", [(1 << 22, 250_000), (500, 100)])
+def test_texts_cut_together_have_the_ids_of_each_alone(monkeypatch, at_once, memo):
+    monkeypatch.setattr(bpe, "MOST_BYTES", at_once)
+    monkeypatch.setattr(bpe, "MEMO_WORDS", memo)
+    rng, whole = random.Random(1), Tokenizer.from_file(bpe.default_vocabulary())
+    texts = ["".join(rng.choices(ATOMS, k=rng.randint(0, 30))) for _ in range(6000)] + ["", None, "   ", "x" * 5000, "<|startof", "text|>", "e", "\u0301", None]
+    encoder = bpe.Encoder(bpe.default_vocabulary())
+    for kind in (pa.string(), pa.large_string()):
+        got = [ids.tolist() for ids in encoder.documents(pa.array(texts, kind).slice(2))]
+        assert got == [x.ids for x in whole.encode_batch([t or "" for t in texts[2:]], add_special_tokens=False)]
+    assert list(encoder.documents(pa.array([], pa.string()))) == []
+
+
+def test_what_is_learnt_grows_with_words_and_not_with_what_they_stand_beside():
+    words, marks = [f"wort{chr(97 + i)}{chr(97 + j)}" for i in range(20) for j in range(10)], [a + b for a in "$#%*&!" for b in "$#%*&!;?"]
+    encoder = bpe.Encoder(bpe.default_vocabulary())
+    assert len(list(encoder.documents(pa.array([" ".join(w + m for w in words) + f" {7 * n:04d}" for n, m in enumerate(marks)])))) == len(marks)
+    assert len(encoder.pieces) <= len(words) + len(marks) + 10  # whole runs: nearly 10,000
