@@ -405,7 +405,10 @@ class Lexicon:
             alive = alive[~done]
         return out
 
-    def ids(self, row: int) -> bytes:
+    def ids(self, row: int) -> tuple[int, ...]:
+        return tuple(self.tokens[self.offsets[row] : self.offsets[row + 1]].tolist())
+
+    def packed(self, row: int) -> bytes:
         return self.tokens[self.offsets[row] : self.offsets[row + 1]].tobytes()
 
 
@@ -462,7 +465,7 @@ class Encoder:
         split = [[run] if run in special else words_in(text) for run, text in zip(runs, normalise("\n".join(runs)).split("\n"))]
         new = list(set().union(*split) - special.keys())
         rows = self.lexicon.rows(new) if self.lexicon else np.full(len(new), -1)
-        listed = {new[i]: self.lexicon.ids(int(rows[i])) for i in np.flatnonzero(rows >= 0).tolist()}
+        listed = {new[i]: self.lexicon.packed(int(rows[i])) for i in np.flatnonzero(rows >= 0).tolist()}
         unseen = [new[i] for i in np.flatnonzero(rows < 0).tolist()]
         words = {s: packed((i,)) for s, i in special.items()} | listed | dict(zip(unseen, self.merge.batch(unseen)))
         kept = [words[own[0]] if len(own) == 1 else b"".join([words[w] for w in own]) for own in split]
