@@ -30,7 +30,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditweave.llm.common import stored
+from auditweave.llm.common import give_back, stored
 from auditweave.storage import put
 
 LEXICON_WORDS = 100_000
@@ -582,7 +582,7 @@ def encode(docs: DataFrame, vocabulary: str, lexicon_file: str | None = None, *,
     def run(batches):
         import pyarrow as pa
 
-        encoder = Encoder(vocabulary, lexicon_file, lambda data, names: (len(ids := unpacked(data)), " ".join(map(str, ids)), " ".join([names[i] for i in ids]), ids))
+        encoder = Encoder(vocabulary, lexicon_file, lambda data, names: (len(ids := unpacked(data)), " ".join(map(str, ids)), " ".join([names[i] for i in ids]), ids if keep_ids else ()))
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1).to_pylist()
             counts, first, second = [], [], []
@@ -596,6 +596,8 @@ def encode(docs: DataFrame, vocabulary: str, lexicon_file: str | None = None, *,
                     first.append(hashlib.sha256(" ".join(ids).encode()).hexdigest())
                     second.append(hashlib.sha256(" ".join(names).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([keys, pa.array(counts, pa.int64()), pa.array(first, pa.list_(pa.int32()) if keep_ids else pa.string()), pa.array(second, pa.string())], names=columns)
+        del encoder
+        give_back()
 
     columns = [doc_id, "n_tokens", *(("ids", "decoded") if keep_ids else ("ids_sha256", "decoded_sha256"))]
     kinds = ["long", "array<int>" if keep_ids else "string", "string"]
