@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from auditweave.storage import stored
 
-__all__ = ["WordHashes", "free_name", "give_back", "id_bucket", "marked", "mix64", "partitions", "rows_of", "slices", "stored", "table"]
+__all__ = ["WordHashes", "free_name", "give_back", "id_bucket", "marked", "mix64", "partitions", "rows_of", "slices", "small_batches", "stored", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,7 +78,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """word -> 64-bit hash, memoised; emptied when it holds `bound` words, so memory stays bounded on any corpus."""
 
-    def __init__(self, bound: int = 300_000):
+    def __init__(self, bound: int = 100_000):
         super().__init__()
         self.bound = bound
 
@@ -101,6 +101,17 @@ def slices(batches: Iterator, rows: int = 512) -> Iterator:
             yield batch.slice(at, rows)
 
 
+#: Bytes of an Arrow batch in the pipeline; Spark's own 64 MB take several times that in the JVM and in each Python worker.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches end at BATCH_BYTES, unless the session sets a limit itself; results don't depend on it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def rows_of(batches: Iterator, *names: str) -> Iterator[tuple[list, ...]]:
     """Columns of each Arrow batch as Python lists."""
     for batch in batches:

@@ -96,7 +96,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, use: Callable[[Column]
         order = np.argsort(rows.column("turn").to_numpy(), kind="stable")
         y, i, v = rows.column("y").to_numpy(), rows.column("i").combine_chunks(), rows.column("v").combine_chunks()
         off, i, v = i.offsets.to_numpy(), i.values.to_numpy(), v.values.to_numpy()
-        at, w = ftrl([(i[off[k] : off[k + 1]], v[off[k] : off[k + 1]].astype(float), y[k]) for k in order.tolist()])
+        at, w = ftrl([(i[off[k] : off[k + 1]], v[off[k] : off[k + 1]], y[k]) for k in order.tolist()])
         return pa.table({"i": pa.array(at, pa.int32()), "w": pa.array(w, pa.float64())})
 
     sparse = rows.select("turn", "label", text).mapInArrow(featurise, "part int, turn long, y int, i array<int>, v array<float>")

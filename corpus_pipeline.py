@@ -20,30 +20,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditweave.llm import bpe, jaccard, packing, pii, quality, toxicity
-from auditweave.llm.common import free_name, id_bucket, stored, table
+from auditweave.llm.common import free_name, id_bucket, small_batches, stored, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     model = quality.train(docs, table(spark, sf_dir, "labels"), "quality", lambda doc_id: id_bucket(doc_id, 5) != 0)
     score = free_name(docs, "_quality")
     return quality.score(docs, model, output=score).where(F.col(score) >= quality.THRESHOLD).select(docs.columns)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), "toxic", lambda doc_id: id_bucket(doc_id, 4) != 2)
     score, evidence = free_name(docs, "_toxicity"), free_name(docs, "_evidence")
     return toxicity.score(docs, model, output=score, evidence=evidence).where(F.col(score) < toxicity.THRESHOLD).select(docs.columns)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return jaccard.keep_one(docs)
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return pii.redact(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return packing.pack(docs, bpe.default_vocabulary())
 
 

@@ -1,3 +1,5 @@
+import pyarrow as pa
+
 import corpus_pipeline
 from auditweave.llm import jaccard
 from auditweave.llm.common import WordHashes, stored, table
@@ -41,3 +43,18 @@ def test_odd_inputs(spark, odd_docs, no_docs):
             assert held[4].text is None and held[13]._quality == "c" and held[13]._toxicity == 1 and held[13]._evidence == 2 and len(held[8].text) > 100_000 and (1 in held) + (2 in held) == 1
         pieces = corpus_pipeline.STAGES[-1][1](spark, out, SF).collect()
         assert {r.doc_id for r in pieces} == set(held) and {r.doc_tokens for r in pieces if r.doc_id in (4, 5)} <= {1}
+
+
+def test_stages_read_small_batches(spark):
+    """Executors hold a few MB of a stage's texts at a time, whatever a partition has; a limit that the session sets stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    texts = spark.range(12).selectExpr("id AS doc_id", "repeat('wort ', 200000) AS text").coalesce(1)
+    rows = lambda batches: (pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())}) for batch in batches)
+    for stage in (corpus_pipeline.quality_stage, corpus_pipeline.toxicity_stage, corpus_pipeline.near_duplicates_stage, corpus_pipeline.personal_data_stage, corpus_pipeline.packing_stage):
+        spark.conf.unset(key)
+        stage(spark, table(spark, SF, "documents").limit(0), SF)
+        assert max(r.n for r in texts.mapInArrow(rows, "n long").collect()) <= 5
+    spark.conf.set(key, "1m")
+    corpus_pipeline.packing_stage(spark, texts, SF)
+    assert spark.conf.get(key) == "1m"
+    spark.conf.unset(key)
