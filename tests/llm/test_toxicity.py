@@ -59,6 +59,22 @@ def test_inverting_holds_little_beside_the_index():
     assert most - held < 20 * len(index.i)  # bytes an entry, of which the order takes 8
 
 
+def test_words_are_those_of_the_pattern():
+    """Texts that Latin-1 holds are split as bytes, others by the pattern: the same words in the same order."""
+    every = "".join(map(chr, range(0x250)))
+    odd = ["", None, "a_b-c\u00b2 \u00aaX\u00b5\u00d7\u00c9t\u00c9", every, every[:256], *(f"x{c}Y{c}" for c in every), "\u0130I \u212a \ud800 \u4e2d\u6587 \u017fs", "a\x1cb\x85c\xa0d\u2003e"]
+    for text in odd:
+        assert toxicity.words_of(text) == toxicity.WORDS.findall((text or "").lower())
+
+
+def test_looking_words_up_holds_those_of_one_piece():
+    """Words of earlier pieces are not kept, and each different word of a piece is looked up once."""
+    places = toxicity.Places(np.arange(10, dtype=np.uint64))
+    for k in range(60):
+        got = places.counted([" ".join(f"w{k}_{i}" for i in range(1000)), f"w{k}_1 w{k}_1"])
+        assert len(places) == 1000 and got[1][1].tolist() == [2] and got[1][0][0] == got[0][0][1]
+
+
 def test_the_index_is_sent_once(spark, monkeypatch):
     docs = spark.createDataFrame([(k, f"wort{k % 3} schmaehung{k % 2}") for k in range(20)], "doc_id long, text string")
     labels = spark.createDataFrame([(k, k % 2) for k in range(20)], "doc_id long, toxic int")
