@@ -82,3 +82,11 @@ def test_sessions_stay_with_the_tasks(spark):
     bad = texts.select(F.col("json").alias("text")).union(spark.createDataFrame([("{}",)], "text string"))
     with pytest.raises(ValueError, match="unsupported"):
         sessions.parse_many(bad, {"ws": "/ws"})
+
+
+def test_findings_of_more_files_than_the_trace_explores(spark, tmp_path):
+    """The interactive trace explores 10,000 paths at most; the audit's queries report every one."""
+    spark.range(10_050).selectExpr("id as o_orderkey", "'F' as o_orderstatus", "case when id % 2 = 0 then '1-URGENT' else '5-LOW' end as o_orderpriority").write.parquet(f"{tmp_path}/orders.parquet")
+    assert {(r.severity, r.findings) for r in queries.q_findings_by_severity(spark, str(tmp_path)).collect()} == {("critical", 5_025), ("medium", 5_025)}
+    assert queries.q_findings(spark, str(tmp_path)).count() == queries.q_flow_paths(spark, str(tmp_path)).count() == 10_050
+    assert queries.q_report_lines(spark, str(tmp_path)).where("line like '%impact /%'").count() == 10_050
