@@ -90,3 +90,35 @@ def test_findings_of_more_files_than_the_trace_explores(spark, tmp_path):
     assert {(r.severity, r.findings) for r in queries.q_findings_by_severity(spark, str(tmp_path)).collect()} == {("critical", 5_025), ("medium", 5_025)}
     assert queries.q_findings(spark, str(tmp_path)).count() == queries.q_flow_paths(spark, str(tmp_path)).count() == 10_050
     assert queries.q_report_lines(spark, str(tmp_path)).where("line like '%impact /%'").count() == 10_050
+
+
+def test_rows_of_batches_are_those_of_arrow():
+    pa = pytest.importorskip("pyarrow")
+    from auditweave.functions.arrow import rows_of
+
+    kind = pa.struct([("s", pa.string()), ("l", pa.list_(pa.struct([("n", pa.int32()), ("t", pa.list_(pa.string()))]))), ("b", pa.bool_())])
+    values = [None, {"s": "ä", "l": [], "b": True}, {"s": None, "l": [{"n": 1, "t": None}, None, {"n": None, "t": ["x", None]}], "b": None}, {"s": "", "l": None, "b": False}]
+    batch = pa.RecordBatch.from_arrays([pa.array(values, kind), pa.array([1, None, 3, 4], pa.int64()), pa.nulls(4, pa.string()), pa.array([[1], [], None, [2, 3]], pa.list_(pa.int32()))], names=["a", "b", "c", "d"])
+    for part in (batch, batch.slice(1), batch.slice(2, 1), batch.slice(1, 0)):
+        assert rows_of(part) == part.to_pylist()
+
+
+def test_operations_read_lines_and_signals_once_in_python(spark):
+    files = spark.createDataFrame([("/ws/a.js", "a.js", "javascript", "function f(a) {\n  exec(a);\n}\nconst v = req.query.v;")], SCHEMA)
+    a = Audit(files)
+    assert plan_of(structure.operations(a.scopes, a.lines, a.functions, a.signals)).count("MapInArrow") == 2
+
+
+def test_calls_of_names_that_no_function_has_meet_none(spark):
+    """Only names that are both called and defined go on to the candidates' joins."""
+    text = "function f(a) {\n  exec(a);\n  send(a);\n  G(a);\n}\nfunction g(b) {\n  exec(b);\n}"
+    a, kept = Audit(spark.createDataFrame([("/ws/a.js", "a.js", "javascript", text)], SCHEMA)), {}
+    from auditweave.operators import calls
+
+    def keep(df, name):
+        kept[name] = a.keep(df, name)
+        return kept[name]
+
+    found = calls.candidates(a.operations, a.scopes, keep)
+    assert [r.callee_name for r in found.collect()] == ["g"]
+    assert [r.called for r in kept["made-calls"].select("called").distinct().collect()] == ["g"] and kept["called-functions"].count() == 1
