@@ -122,3 +122,12 @@ def test_calls_of_names_that_no_function_has_meet_none(spark):
     found = calls.candidates(a.operations, a.scopes, keep)
     assert [r.callee_name for r in found.collect()] == ["g"]
     assert [r.called for r in kept["made-calls"].select("called").distinct().collect()] == ["g"] and kept["called-functions"].count() == 1
+
+
+def test_all_paths_walk_every_root_at_once(spark, tmp_path, monkeypatch):
+    """Paths that no limit cuts need no numbers, no slices of roots and no order."""
+    from auditweave.operators import flow
+
+    monkeypatch.setattr(flow, "numbered_roots", None)
+    spark.range(1, 4).selectExpr("id as c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    assert queries.q_cross_file_flow(spark, str(tmp_path)).count() == 6
