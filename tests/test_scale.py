@@ -131,3 +131,11 @@ def test_all_paths_walk_every_root_at_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(flow, "numbered_roots", None)
     spark.range(1, 4).selectExpr("id as c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
     assert queries.q_cross_file_flow(spark, str(tmp_path)).count() == 6
+
+
+def test_report_sorts_targets_not_lines(spark):
+    """A target's lines come from one sorted row."""
+    files = spark.createDataFrame([("/ws/a.js", "a.js", "javascript", "function f(a) {\n  exec(a);\n}\n")], SCHEMA)
+    lines = Audit(files).report(spark.createDataFrame([], "item_id string, status string"), spark.createDataFrame([], "id string, type string, note string, code string, relative_path string, line int, created_at string"))
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate posexplode(lines") < plan.index("Sort [part")
