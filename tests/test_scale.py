@@ -139,3 +139,13 @@ def test_report_sorts_targets_not_lines(spark):
     lines = Audit(files).report(spark.createDataFrame([], "item_id string, status string"), spark.createDataFrame([], "id string, type string, note string, code string, relative_path string, line int, created_at string"))
     plan = lines._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate posexplode(lines") < plan.index("Sort [part")
+
+
+def test_signals_send_no_null_lists_to_python(spark, monkeypatch):
+    """Spark sizes an Arrow batch after every row, which counts a column of null lists from its start."""
+    files = spark.createDataFrame([("/ws/a.js", "a.js", "javascript", "function f(a) {\n  exec(a);\n}\nconst v = req.query.v;")], SCHEMA)
+    found, sent, read = structure.signals(structure.lines(files, columns=structure.PLACES)), [], structure.read_again
+    monkeypatch.setattr(structure, "read_again", lambda rows, *more, **kernels: sent.append(rows) or read(rows, *more, **kernels))
+    named = structure.with_names(found)
+    assert sent[0].where("variables is null").isEmpty() and named.where("variables is null").count() == found.count() == 2
+    assert named.columns == [*found.columns, "given", "named"]
